@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -23,7 +24,7 @@ from .stash import Stash
 from .textkit import Words, ragged, slices
 
 CAPACITY = 2048
-CACHE_WORDS = 700_000
+CACHE_WORDS = 2_500_000
 
 
 class WordTokenizer:
@@ -42,37 +43,54 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.slot = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.bounds = np.zeros(1, np.int64)
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
+        slot = np.arange(len(keys)) + len(self.keys)
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))))
         self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(lengths)))
-        self.index.update(zip(keys, range(len(self.index), len(self.index) + len(keys)), strict=True))
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.slot = np.insert(self.keys, at, keys[order]), np.insert(self.slot, at, slot[order])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, where each row's ids start, and the end)."""
         words = Words(column)
-        keys, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        if len(self.index) > CACHE_WORDS:
+        which, keys = pd.factorize(words.hash)
+        first = np.empty(len(keys), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        if len(self.keys) > CACHE_WORDS:
             self.clear()
-        at = list(map(self.index.get, keys))
-        new = [k for k, x in enumerate(at) if x is None]
-        if new:
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
             raw = words.raw.tobytes()
-            self._learn([keys[k] for k in new], [raw[words.starts[i] : words.ends[i]].decode() for i in first[new]])
-            at = list(map(self.index.get, keys))
-        at = np.array(at, np.int64)[which]
+            where = first[new]
+            spans = zip(words.starts[where].tolist(), words.ends[where].tolist(), strict=True)
+            self._learn(keys[new], [raw[s:e].decode() for s, e in spans])
+            at = np.searchsorted(self.keys, keys)
+        at = self.slot[at][which] if len(keys) else np.zeros(0, np.int64)
         starts = self.bounds[at]
         counts = self.bounds[at + 1] - starts
         before = np.concatenate(([0], np.cumsum(counts)))
         return self.ids[ragged(starts, counts)], before[words.first]
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer and cache for all tasks of a worker process."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 PIECES = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, local_rank long"
 
 
@@ -84,11 +102,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = word_tokenizer(tokenizer_path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=2 << 20):
                 found, at = tokenizer.encode(rows.column("text"))
                 doc_ids = rows.column("doc_id").to_pylist()
                 out: list[tuple] = []
