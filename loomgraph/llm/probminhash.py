@@ -25,6 +25,7 @@ from .textkit import Words, mix, slices
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5  # a pair at 0.8 meets in some band with probability 0.9996
+BLOCK, BLOCK_BYTES = 256, 4 << 20  # texts and characters of one block where a family is compared in full
 SIZE = 101  # a prime: steps of any stride visit every component once
 
 
@@ -143,6 +144,99 @@ def _compare(pairs: DataFrame) -> DataFrame:
     return pairs.select("node", "lead", "node_text", "lead_text").mapInArrow(run, "node long, lead long, similarity double")
 
 
+def _merge(classes: DataFrame | None, links: DataFrame, stash: Stash) -> DataFrame:
+    """(node, component) after new links; only classes that they join are worked on."""
+    if classes is None:
+        return stash.keep(components(links, stash), "classes")
+    name = classes.withColumnRenamed("component", "c")
+    ends = links.join(name.withColumnRenamed("node", "u"), "u", "left").withColumn("u", F.coalesce("c", "u")).drop("c")
+    ends = stash.keep(ends.join(name.withColumnRenamed("node", "v"), "v", "left").select("u", F.coalesce("c", "v").alias("v")).filter("u <> v").distinct(), "joined")
+    if not ends.limit(1).count():
+        return classes
+    after = components(ends, stash)
+    moved = classes.join(after.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    return stash.keep(moved.unionByName(after.join(classes, "node", "left_anti").select("node", "component")), "classes")
+
+
+def _families(kept: DataFrame, classes: DataFrame, stash: Stash) -> DataFrame:
+    """(node, component, family) of the texts in buckets that hold several classes; buckets with a text in common are one family."""
+    named = kept.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.min("node").alias("least")).filter("a < z").select("bucket", "least")
+    open_ = stash.keep(named.join(several, "bucket").select("node", "component", "least"), "open")
+    joined = components(open_.select(F.col("node").alias("u"), F.col("least").alias("v")), stash)
+    return open_.select("node", "component").distinct().join(joined.withColumnRenamed("component", "family"), "node")
+
+
+def _spans(left: tuple, right: tuple, same: bool, threshold: float) -> Iterator[tuple[int, int]]:
+    """Pairs of a block pair's texts with at least the similarity; only those of different classes are judged.
+
+    A pair must share the threshold's part of the weight of either text, which
+    matrix products over slices of the vocabulary find for all pairs at once.
+    """
+    sides = []
+    for nodes, classes, column in (left, right):
+        row, shingle, weight = shingles(column)
+        sides.append((nodes, classes, row, shingle, weight, np.searchsorted(row, np.arange(len(nodes) + 1))))
+    vocabulary = np.intersect1d(sides[0][3], sides[1][3])
+    n, m = len(sides[0][0]), len(sides[1][0])
+    of_left, of_right = np.zeros((n, m)), np.zeros((n, m))
+    for k in range(0, len(vocabulary), 4096):
+        words = vocabulary[k : k + 4096]
+        tables = []
+        for nodes, _, row, shingle, weight, _ in sides:
+            at = np.minimum(np.searchsorted(words, shingle), len(words) - 1)
+            hit = words[at] == shingle
+            table = np.zeros((len(nodes), len(words)), np.float32)
+            table[row[hit], at[hit]] = (weight / np.bincount(row, weight, len(nodes))[row])[hit]
+            tables.append(table)
+        of_left += tables[0] @ (tables[1] > 0).T.astype(np.float32)
+        of_right += (tables[0] > 0).astype(np.float32) @ tables[1].T
+    close = (of_left >= threshold - 1e-4) & (of_right >= threshold - 1e-4) & (left[1][:, None] != right[1][None, :])
+    root = {c: c for c in np.concatenate((left[1], right[1])).tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(close, 1) if same else close), strict=True):
+        a, b = find(int(left[1][i])), find(int(right[1][j]))
+        if a == b:
+            continue
+        x, y = (s[3:5] for s in sides)
+        p, q = slice(*sides[0][5][i : i + 2]), slice(*sides[1][5][j : j + 2])
+        if similarity(x[0][p], x[1][p], y[0][q], y[1][q]) >= threshold:
+            root[max(a, b)] = min(a, b)
+            yield int(left[0][i]), int(right[0][j])
+
+
+def _family_links(families: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links that join the classes of each family, from all its pairs taken in blocks.
+
+    A block has about ``BLOCK`` texts or ``BLOCK_BYTES``; two blocks make one
+    group, and a group reports at most one link per class that it joins.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        first, second = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        found: list[tuple[int, int]] = []
+        sides = []
+        for block in (first, second):
+            part = group.filter(pa.array(side == block)).combine_chunks()
+            sides.append((part.column("node").to_numpy(), part.column("component").to_numpy(), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string())))
+        if len(sides[0][0]) and len(sides[1][0]):
+            found = list(_spans(*sides, first == second, threshold))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    told = families.join(texts, "node")
+    blocks = told.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_BYTES)).alias("blocks"))
+    dealt = told.join(blocks, "family").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = paired.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", "text")
+    return keyed.groupBy("family", "i", "j").applyInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, copy_of, class_id): one row per input row.
 
@@ -150,13 +244,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     smallest id of the class, the classes being the components of all links
     of at least ``threshold`` between texts that share a band.
 
-    No pair list of a bucket is ever made.  In each round a bucket's smallest
-    text is compared with the others.  Since 1 - similarity is a metric, a
+    A bucket's most central text (the one that meets most others over all
+    bands) is compared with the rest.  Since 1 - similarity is a metric, a
     text linked to it can be linked to an unlinked one only if their distances
     to it differ by at most 1 - threshold; texts for which that is impossible
-    leave the bucket, the others stay for the next round with a new smallest
-    text.  A bucket ends when fewer than two classes are left in it, so no
-    link that joins two classes is lost.
+    leave the bucket.  Buckets that still hold several classes are compared in
+    full, in blocks of bounded size (``_family_links``), so no link that joins
+    two classes is lost.
 
     Null text is empty text; texts without words only have exact copies; a
     row with a null id keeps null classes; rows with one id are one document.
@@ -168,27 +262,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = stash.keep(_signed(docs), "signatures")
     nodes = stash.keep(signed.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1").select("bucket", "lead")
-    live = stash.keep(placed.join(shared, "bucket").select("bucket", "node", "lead"), "buckets")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = stash.keep(placed.join(shared, "bucket"), "met")
+    central = met.groupBy("node").agg(F.sum("n").alias("rank"))
+    ranked = stash.keep(met.join(central, "node").select("bucket", "node", "rank"), "ranked")
+    leads = ranked.groupBy("bucket").agg(F.min(F.struct(-F.col("rank"), F.col("node").alias("lead"))).alias("best")).select("bucket", F.col("best.lead").alias("lead"))
+    live = stash.keep(ranked.join(leads, "bucket").select("bucket", "node", "lead"), "buckets")
     wanted = live.select("node").distinct()
-    texts = stash.keep(docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text"), "texts")
-    known = None
-    classes = spark.createDataFrame([], "node long, component long")
-    while live.limit(1).count():
-        pairs = live.filter("node <> lead").select("node", "lead").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["node", "lead"], "left_anti")
-        filled = pairs.join(texts.withColumnRenamed("text", "node_text"), "node").join(texts.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
-        judged = stash.keep(_compare(filled).groupBy("node", "lead").agg(F.max("similarity").alias("similarity")), "compared")
-        known = judged if known is None else known.unionByName(judged)
-        links = known.filter(F.col("similarity") >= threshold).select(F.col("node").alias("u"), F.col("lead").alias("v"))
-        classes = components(links, stash)
-        seen = live.filter("node <> lead").join(known, ["node", "lead"]).withColumn("far", 1 - F.col("similarity")).withColumn("apart", F.col("similarity") < threshold)
-        nearest = seen.filter("apart").groupBy("bucket").agg(F.min("far").alias("nearest"))
-        kept = seen.join(nearest, "bucket").filter(F.col("apart") | (F.col("far") >= F.col("nearest") - (1 - threshold) - 1e-9)).select("bucket", "node")
-        kept = kept.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = kept.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.min("node").alias("lead")).filter("a < z").select("bucket", "lead")
-        live = stash.keep(kept.join(open_, "bucket").select("bucket", "node", "lead"), "buckets")
+    texts = stash.keep(docs.hint("merge").join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text"), "texts")
+    pairs = live.filter("node <> lead").select("node", "lead").distinct()
+    filled = pairs.join(texts.withColumnRenamed("text", "node_text"), "node").join(texts.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
+    judged = stash.keep(_compare(filled).groupBy("node", "lead").agg(F.max("similarity").alias("similarity")), "compared")
+    links = judged.filter(F.col("similarity") >= threshold).select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    classes = stash.keep(components(links, stash), "classes")
+    seen = live.filter("node <> lead").join(judged, ["node", "lead"]).select("bucket", "node", (1 - F.col("similarity")).alias("far"), (F.col("similarity") < threshold).alias("apart"))
+    nearest = seen.filter("apart").groupBy("bucket").agg(F.min("far").alias("nearest"))
+    stays = F.col("apart") | (F.col("far") >= F.col("nearest") - (1 - threshold) - 1e-9)
+    kept = seen.join(nearest, "bucket").filter(stays).select("bucket", "node")
+    families = stash.keep(_families(kept, classes, stash), "families")
+    more = stash.keep(_family_links(families, texts, threshold), "links")
+    classes = _merge(classes, more, stash)
     named = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.col("node").alias("copy_of"), F.coalesce("component", "node").alias("class_id"))
     return signed.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
