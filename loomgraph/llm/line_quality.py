@@ -255,3 +255,18 @@ def apply_score(docs: DataFrame, model, threshold: float, method: str = "quality
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least the threshold; all columns stay, nothing is shuffled."""
+    rows = training_rows(docs, labels, "quality", sample)
+    model = fit([t for t, _ in rows], [q for _, q in rows]) if rows else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                if model is not None:
+                    part = part.filter(pa.array(np.round(model.quality(part.column("text")), 9) >= threshold))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
