@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_quality, packing, probminhash, secret_links, tiff, toxicity, url_filter
+from . import decontaminate, license_scan, line_quality, packing, probminhash, secret_links, substring_dedup, tiff, toxicity, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -45,6 +45,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +62,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_tiff_media, op2_best_fit_packing, op3_line_quality, op4_secret_links, op5_probminhash, op6_toxicity, op8_template_leaks, op9_url_filter, op10_license_scan]
+    found = [op1_tiff_media, op2_best_fit_packing, op3_line_quality, op4_secret_links, op5_probminhash, op6_toxicity, op7_substring_dedup, op8_template_leaks, op9_url_filter, op10_license_scan]
     return {f.__name__: f for f in found}
 
 
