@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,13 @@ class Stash:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that are done; it acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(1)  # the cleaner works beside the driver
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id's decimal text leaves 1 modulo 3; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

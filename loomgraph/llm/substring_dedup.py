@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stash import Stash
+from .stash import Stash, release
 from .textkit import Words, slices
 
 WINDOW = 13
@@ -35,11 +35,12 @@ def _cover(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[take], at[take], hashed[take]
 
 
-def _dealt(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, owner) of a batch as (key, owner, rank).
+def _dealt(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, owner) of a batch as (key, owner, later, shared), in the order in which they came.
 
-    Rank 0 marks the smallest owner of a key in the batch; only that row
-    stands for the key elsewhere, so a very common key costs one row a batch.
+    ``shared`` marks keys with several owners in the batch, ``later`` all of
+    their rows but the smallest owner's; only that row stands for the key
+    elsewhere, so a very common key costs one row a batch.
     """
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
@@ -47,15 +48,15 @@ def _dealt(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] = key[1:] != key[:-1]
     fresh = new.copy()
     fresh[1:] |= owner[1:] != owner[:-1]
-    return key[fresh], owner[fresh], (~new[fresh]).astype(np.int8)
+    key, owner, later, place = key[fresh], owner[fresh], ~new[fresh], order[fresh]
+    shared = later.copy()
+    shared[:-1] |= later[1:]  # the row before a later one has the same key
+    back = np.argsort(place)  # rows of one owner stay together, which shuffles pack well
+    return key[back], owner[back], later[back], shared[back]
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(key, owner, later, shared): anchors of whole texts; owner is the text's hash.
-
-    Where several texts of a batch have an anchor, all of them are marked
-    ``shared``, and all but the first are ``later``: they need no comparison.
-    """
+    """(key, owner, apart, shared): anchors of whole texts; ``apart`` is the owner for rows that need no comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,17 +64,15 @@ def _anchors(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 row, _, hashed = _cover(Words(part.column("text")))
                 keys.append(hashed)
-                owners.append(part.column("mark").to_numpy()[row])
-            key, owner, later = _dealt(np.concatenate(keys), np.concatenate(owners))
-            shared = later.astype(bool)
-            shared[:-1] |= (later[1:] == 1) & (key[1:] == key[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(later.astype(bool)), pa.array(shared)], ["key", "owner", "later", "shared"])
+                owners.append(part.column("doc_id").to_numpy()[row])
+            key, owner, later, shared = _dealt(np.concatenate(keys), np.concatenate(owners))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(owner, mask=~later), pa.array(shared)], ["key", "owner", "apart", "shared"])
 
-    return docs.select("mark", "text").mapInArrow(run, "key long, owner long, later boolean, shared boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, owner long, apart long, shared boolean")
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """(key, owner, later): distinct windows around the shared ``anchors`` of each document; owner is doc_id."""
+    """(key, owner, apart): distinct windows around the shared ``anchors`` of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,10 +91,10 @@ def _windows(docs: DataFrame) -> DataFrame:
                 near = sums[at + PERIOD] > sums[at]
                 keys.append(window[near])
                 owners.append(part.column("doc_id").to_numpy()[np.searchsorted(words.first, at[near], side="right") - 1])
-            key, owner, later = _dealt(np.concatenate(keys), np.concatenate(owners))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(later.astype(bool))], ["key", "owner", "later"])
+            key, owner, later, _ = _dealt(np.concatenate(keys), np.concatenate(owners))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(owner, mask=~later)], ["key", "owner", "apart"])
 
-    return docs.select("doc_id", "text", "anchors").mapInArrow(run, "key long, owner long, later boolean")
+    return docs.select("doc_id", "text", "anchors").mapInArrow(run, "key long, owner long, apart long")
 
 
 def _member(row: np.ndarray, value: np.ndarray, in_row: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -154,11 +153,6 @@ def _heads(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, mark long, check long, n_words long, all_sha256 string")
 
 
-def _least(rows: DataFrame, value: Column) -> Column:
-    """A key's aggregate over the batches' first rows; later rows of a batch stand alone."""
-    return value.over(Window.partitionBy("key", F.when(F.col("later"), F.col("owner"))))
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): one row per input row.
 
@@ -175,16 +169,23 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     heads = stash.keep(_heads(docs.select("doc_id", "mark", F.xxhash64(F.reverse("text")).alias("check"), "text")), "heads")
     firsts = heads.filter("doc_id IS NOT NULL").groupBy("mark", "check").agg(F.min("doc_id").alias("first"))
+    alone = Window.partitionBy("key", "apart")  # a key's first rows of all batches together, later rows each alone
     rows = _anchors(docs.filter("doc_id IS NOT NULL"))
-    shared = rows.withColumn("least", _least(rows, F.min("owner"))).withColumn("most", _least(rows, F.max("owner"))).withColumn("any", _least(rows, F.max("shared")))
-    shared = shared.filter(F.col("any") | (F.col("least") != F.col("most"))).select(F.col("owner").alias("mark"), "key")
-    lists = shared.groupBy("mark").agg(F.collect_list("key").alias("anchors"))
-    named = lists.join(firsts.select("mark", F.col("first").alias("doc_id")), "mark")
-    found = stash.keep(docs.join(named, ["doc_id", "mark"]).select("doc_id", "mark", "text", "anchors"), "candidates")
+    shared = rows.select("key", "owner", (F.max("shared").over(alone) | (F.min("owner").over(alone) != F.max("owner").over(alone))).alias("any"))
+    lists = stash.keep(shared.filter("any").groupBy("owner").agg(F.collect_list("key").alias("anchors")), "lists")
+    del rows, shared
+    release(docs.sparkSession)
+    copies = firsts.join(heads.select("mark", "check", "doc_id"), ["mark", "check"]).filter("doc_id = first").select("doc_id", "mark").distinct()
+    named = lists.join(copies, lists["owner"] == copies["doc_id"]).select("doc_id", "mark", "anchors")
+    found = stash.keep(docs.hint("merge").join(named, ["doc_id", "mark"]).select("doc_id", "mark", "text", "anchors"), "candidates")
+    release(docs.sparkSession)
     wins = _windows(found)
-    covered = wins.withColumn("least", _least(wins, F.min("owner"))).filter(F.col("later") | (F.col("owner") > F.col("least"))).select(F.col("owner").alias("doc_id"), "key")
-    by_doc = covered.groupBy("doc_id").agg(F.collect_list("key").alias("windows"))
-    judged = stash.keep(_kept(found.select("doc_id", "mark", "text").join(by_doc, "doc_id")), "judged")
+    covered = wins.select("key", "owner", (F.col("apart").isNotNull() | (F.col("owner") > F.min("owner").over(alone))).alias("gone")).filter("gone").select(F.col("owner").alias("doc_id"), "key")
+    by_doc = stash.keep(covered.groupBy("doc_id").agg(F.collect_list("key").alias("windows")), "windows")
+    del wins, covered
+    release(docs.sparkSession)
+    judged = stash.keep(_kept(found.select("doc_id", "mark", "text").hint("merge").join(by_doc, "doc_id")), "judged")
+    release(docs.sparkSession)
     told = heads.join(firsts, ["mark", "check"], "left").join(judged.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"], "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW), F.lit(False))
     empty = F.lit(hashlib.sha256(b"").hexdigest())
