@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Symbol kinds and text caps.
 KINDS = ["function", "class", "method", "getter", "setter", "interface", "type", "variable", "enum", "module"]
 CAPS = {"id": 500, "name": 500, "file": 1024, "signature": 400, "generic": 2000, "repo_id": 64, "sha": 64, "branch": 256, "kind": 32}
@@ -11,5 +9,5 @@ MAX_RECALL, MAX_NEIGHBOURS, MAX_DEPTH = 100, 500, 5
 DEFAULT_DEPTH, DEFAULT_LEVEL_LIMIT, FAN_IN = 3, 100, 500
 MODULE = "<module>"
 
-SYMBOLS = T.StructType.fromDDL("repo_id string, id string, name string, kind string, file string, line int, column int, end_line int, signature string, exported boolean, parent string, is_static boolean, extends array<string>, implements array<string>, seq long")
-RAW_CALLS = T.StructType.fromDDL("repo_id string, from_id string, to_name string, file string, line int, column int, seq long")
+SYMBOLS = "repo_id string, id string, name string, kind string, file string, line int, column int, end_line int, signature string, exported boolean, parent string, is_static boolean, extends array<string>, implements array<string>, seq long"
+RAW_CALLS = "repo_id string, from_id string, to_name string, file string, line int, column int, seq long"
