@@ -216,44 +216,52 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 4000, width
     starts as the best-fit solution; the search ends at the bound or after
     ``nodes`` nodes, and then returns the incumbent, which is always complete.
     """
-    counts = np.asarray(counts, np.int64).copy()
+    counts = np.asarray(counts, np.int64)
     counts = np.concatenate((counts, np.zeros(max(0, capacity + 1 - len(counts)), np.int64)))
     bound = lower_bound(counts, capacity)
     volume = int((counts * np.arange(len(counts))).sum())
     best = best_fit(counts, capacity)
     best_bins = sum(t for _, t in best)
     spent = 0
-    stack: list[tuple[np.ndarray, list[Pattern], int, int]] = [(counts, [], 0, 0)]
+    # a branch is its parent's counts and the step to take, and its patterns a chain of links: siblings share both
+    stack: list[tuple] = [(counts, None, 0, 0, None)]
     while stack and best_bins > bound and spent < nodes:
-        rest, chosen, bins, waste = stack.pop()
+        rest, chain, bins, waste, step = stack.pop()
         spent += 1
+        allowed = (best_bins - 1) * capacity - volume
+        if waste > allowed:
+            continue
+        if step:
+            pattern, times = step
+            rest = rest.copy()
+            for x in pattern:
+                rest[x] -= times
+            chain = (chain, step)
         have = np.flatnonzero(rest)
         if not have.size:
             if bins < best_bins:
-                best, best_bins = chosen, bins
+                best, best_bins = [], bins
+                while chain:
+                    chain, last = chain
+                    best.append(last)
+                best.reverse()
             continue
-        allowed = (best_bins - 1) * capacity - volume
-        if waste > allowed or (spent % 64 == 1 and bins + lower_bound(rest, capacity) >= best_bins):
+        if spent % 64 == 1 and bins + lower_bound(rest, capacity) >= best_bins:
             continue
         longest = int(have[-1])
-        rest = rest.copy()
         rest[longest] -= 1
+        found = fillings(rest, capacity - longest, width)
+        rest[longest] += 1
         branches = []
-        for filling in fillings(rest, capacity - longest, width):
-            need: dict[int, int] = {longest: 1}
-            for x in filling:
-                need[x] = need.get(x, 0) + 1
-            lost = capacity - longest - sum(filling)
+        for filling in found:
+            pattern = (longest, *filling)
+            lost = capacity - sum(pattern)
             if waste + lost > allowed:
                 continue
-            times = min((int(rest[x]) + (x == longest)) // k for x, k in need.items())
+            times = min(int(rest[x]) // pattern.count(x) for x in set(pattern))
             if lost:
                 times = max(1, min(times, (allowed - waste) // lost))
-            after = rest.copy()
-            after[longest] += 1
-            for x, k in need.items():
-                after[x] -= k * times
-            branches.append((after, [*chosen, ((longest, *filling), times)], bins + times, waste + lost * times))
+            branches.append((rest, chain, bins + times, waste + lost * times, (pattern, times)))
         stack += branches[::-1]
     return best, bound
 
