@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 #: An ASCII word boundary; Java's own also counts other letters.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
-# Label, pattern (B stands for a word boundary), replacement, in order of application.
+#: The same before a letter or digit, with which every rule that begins at a boundary goes on.
+START = r"(?<![A-Za-z0-9_])"
+
+# Label, pattern (with ASCII word boundaries), replacement, in order of application.
 PATTERNS = [
     ("pem-private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN ***REDACTED*** PRIVATE KEY-----"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "***JWT-REDACTED***"),
@@ -25,16 +28,22 @@ PATTERNS = [
 ]
 
 
+def _java(pattern: str) -> str:
+    if pattern.startswith(r"\b"):
+        pattern = START + pattern[2:]
+    return pattern.replace(r"\b", EDGE)
+
+
 def redact_secrets(text: Column) -> Column:
     """Every rule rewrites what the rules before it left."""
     for _, pattern, replacement in PATTERNS:
-        text = F.regexp_replace(text, pattern.replace(r"\b", EDGE), replacement)
+        text = F.regexp_replace(text, _java(pattern), replacement)
     return text
 
 
 def detect_secrets(text: Column) -> Column:
     """Labels whose patterns match the original text, comma-joined in rule order."""
-    return F.array_join(F.array_compact(F.array(*(F.when(text.rlike(p.replace(r"\b", EDGE)), label) for label, p, _ in PATTERNS))), ",")
+    return F.array_join(F.array_compact(F.array(*(F.when(text.rlike(_java(p)), label) for label, p, _ in PATTERNS))), ",")
 
 
 def sanitize(text: Column, most: int) -> Column:
