@@ -3,10 +3,13 @@
 import duckdb
 import pytest
 
+from loomgraph.plans import evaluation
 from loomgraph.plans import queries as graph
 
+QUERIES, SQL = graph.queries() | evaluation.queries(), graph.oracle_sql() | evaluation.oracle_sql()
+
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -22,10 +25,10 @@ def _rows(columns, rows):
     return sorted(tuple(repr(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(graph.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    df = graph.queries()[name](spark, SF)
-    other = duck.sql(graph.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    other = duck.sql(SQL[name])
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(other.columns, other.fetchall())
 
 
