@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, symbols: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Add to_id, ambiguous and candidate_count to every call.
 
     A symbol of the caller's file wins, then the first in ``seq`` order; a
     name without symbols leaves to_id null.  Both lookups have one row per
     key, so calls never multiply, and a hot name only skews the probe side.
+    ``within`` names further columns that must agree, such as the repository.
     """
-    same = symbols.groupBy(F.col("name").alias("to_name"), "file").agg(F.min_by("id", "seq").alias("_same"))
-    named = symbols.groupBy(F.col("name").alias("to_name")).agg(F.min_by("id", "seq").alias("_first"), F.count("*").alias("_n"))
-    out = calls.join(same, ["to_name", "file"], "left").join(named, "to_name", "left")
+    same = symbols.groupBy(*within, F.col("name").alias("to_name"), "file").agg(F.min_by("id", "seq").alias("_same"))
+    named = symbols.groupBy(*within, F.col("name").alias("to_name")).agg(F.min_by("id", "seq").alias("_first"), F.count("*").alias("_n"))
+    out = calls.join(same, [*within, "to_name", "file"], "left").join(named, [*within, "to_name"], "left")
     several = F.col("_n") > 1
     return out.select(*calls.columns, F.coalesce("_same", "_first").alias("to_id"), F.when(several, F.lit(True)).alias("ambiguous"), F.when(several, F.col("_n")).alias("candidate_count"))
 
