@@ -15,11 +15,12 @@ def is_test_file(path):
 
 
 def impact(targets: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int = DEFAULT_DEPTH, level_limit: int = DEFAULT_LEVEL_LIMIT, changed: DataFrame | None = None) -> DataFrame:
-    """(target_id, caller_id, depth, disc_rank, via_to_id, caller_file, is_test) for ``targets`` (target_id).
+    """(target_id, caller_id, depth, disc_rank, via_to_id, caller_file, truncated, is_test) for ``targets`` (target_id).
 
     Each level reads at most 500 edges into a symbol; the first discovery of a
     caller counts, in the order of the frontier and then of the edges.  A
-    level reports at most ``level_limit`` callers but searches on from all.
+    level reports at most ``level_limit`` callers but searches on from all;
+    ``truncated`` marks the rows of levels that hold more.
     Callers without a symbol are visited and dropped.  ``changed`` (file)
     keeps callers in those files, after the search and its caps.  A level's
     join is on the symbol id with at most 500 rows for each, and rankings are
@@ -41,7 +42,8 @@ def impact(targets: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int
         visited = visited.unionByName(fresh.select("target_id", "caller_id"))
         order = Window.partitionBy("target_id").orderBy("by")
         there = fresh.join(known, "caller_id").withColumn("disc_rank", F.row_number().over(order).cast("long"))
-        there = there.select("target_id", "caller_id", F.lit(level).alias("depth"), "disc_rank", F.col("by.via_to_id").alias("via_to_id"), "caller_file")
+        there = there.withColumn("truncated", F.max("disc_rank").over(Window.partitionBy("target_id")) > level_limit)
+        there = there.select("target_id", "caller_id", F.lit(level).alias("depth"), "disc_rank", F.col("by.via_to_id").alias("via_to_id"), "caller_file", "truncated")
         frontier = there.select("target_id", F.col("caller_id").alias("id"), F.col("disc_rank").alias("rank"))
         levels = there if levels is None else levels.unionByName(there)
     out = levels.filter(F.col("disc_rank") <= level_limit).withColumn("is_test", is_test_file(F.col("caller_file")))
@@ -49,5 +51,5 @@ def impact(targets: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int
 
 
 def impact_stats(found: DataFrame) -> DataFrame:
-    """Per target: direct, transitive and test callers and distinct files."""
-    return found.groupBy("target_id").agg(F.count_if(F.col("depth") == 1).alias("direct_count"), F.count_if(F.col("depth") > 1).alias("transitive_count"), F.count_if("is_test").alias("test_count"), F.countDistinct("caller_file").alias("file_count"))
+    """Per target: direct, transitive and test callers, distinct files, and whether any level was cut."""
+    return found.groupBy("target_id").agg(F.count_if(F.col("depth") == 1).alias("direct_count"), F.count_if(F.col("depth") > 1).alias("transitive_count"), F.count_if("is_test").alias("test_count"), F.countDistinct("caller_file").alias("file_count"), F.max("truncated").alias("truncated"))

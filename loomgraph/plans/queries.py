@@ -137,7 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "hot_symbols": f"WITH {GRAPH}, top AS (SELECT to_id AS id, count(*) AS calls FROM edges WHERE to_id IS NOT NULL GROUP BY 1 ORDER BY calls DESC, id LIMIT 30) SELECT name, max(calls) AS calls FROM top JOIN symbols USING (id) GROUP BY name ORDER BY calls DESC, name LIMIT 10",
         **{f"impact_d{n}": _impact_sql(n, 100, found) for n in (1, 2, 3)},
         "impact_uncapped": _impact_sql(3, 1 << 40, found),
-        "impact_stats": _impact_sql(3, 100, "SELECT target_id, count(*) FILTER (depth = 1) AS direct_count, count(*) FILTER (depth > 1) AS transitive_count, count(*) FILTER (is_test) AS test_count, count(DISTINCT caller_file) AS file_count") + " GROUP BY target_id",
+        "impact_stats": _impact_sql(3, 100, "SELECT target_id, count(*) FILTER (depth = 1) AS direct_count, count(*) FILTER (depth > 1) AS transitive_count, count(*) FILTER (is_test) AS test_count, count(DISTINCT caller_file) AS file_count, (SELECT bool_or(rank > 100) FROM (SELECT rank FROM l1 UNION ALL SELECT rank FROM l2 UNION ALL SELECT rank FROM l3)) AS truncated") + " GROUP BY target_id",
         "impact_since": _impact_sql(3, 100, found, "caller_file IN ('m3.ts', 'm4.ts')"),
         "redact_documents": f"SELECT doc_id, {_redact_sql('text')} AS redacted FROM documents",
         "detect_secrets": f"SELECT doc_id, {_detect_sql()} AS labels FROM documents",
