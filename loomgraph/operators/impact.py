@@ -14,7 +14,7 @@ def is_test_file(path):
     return path.rlike(r"(?i)\.(test|spec)\.(ts|tsx|js|jsx|mjs|cjs)$") | path.rlike(r"(^|/)__tests__/")
 
 
-def impact(targets: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int = DEFAULT_DEPTH, level_limit: int = DEFAULT_LEVEL_LIMIT, changed: DataFrame | None = None) -> DataFrame:
+def impact(targets: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int = DEFAULT_DEPTH, level_limit: int = DEFAULT_LEVEL_LIMIT, changed: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """(target_id, caller_id, depth, disc_rank, via_to_id, caller_file, truncated, is_test) for ``targets`` (target_id).
 
     Each level reads at most 500 edges into a symbol; the first discovery of a
@@ -22,19 +22,24 @@ def impact(targets: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int
     level reports at most ``level_limit`` callers but searches on from all;
     ``truncated`` marks the rows of levels that hold more.
     Callers without a symbol are visited and dropped.  ``changed`` (file)
-    keeps callers in those files, after the search and its caps.  A level's
-    join is on the symbol id with at most 500 rows for each, and rankings are
-    per target, so targets spread over the cluster.
+    keeps callers in those files, after the search and its caps.
+
+    A level first narrows the edges to those into its frontier, so only they
+    are shuffled and ranked; the join then has at most 500 rows for each
+    symbol.  Edges that are not ``stored`` already are written once, since
+    every level reads them.
     """
     depth = max(1, min(depth, MAX_DEPTH))
     into = Window.partitionBy("to_id").orderBy("seq", "from_id")
-    ranked = edges.filter("to_id IS NOT NULL").withColumn("rn", F.row_number().over(into)).filter(F.col("rn") <= FAN_IN).select("to_id", "from_id", "rn")
-    ranked = cut(ranked, "fan-in")
+    calls = edges.filter("to_id IS NOT NULL").select("to_id", "from_id", "seq")
+    calls = calls if stored else cut(calls, "calls")
     known = symbols.groupBy(F.col("id").alias("caller_id")).agg(F.max_by("file", "seq").alias("caller_file"))
     frontier = targets.select("target_id", F.col("target_id").alias("id"), F.lit(0).cast("long").alias("rank"))
     visited = frontier.select("target_id", F.col("id").alias("caller_id"))
     levels = None
     for level in range(1, depth + 1):
+        near = calls.join(frontier.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi")
+        ranked = near.withColumn("rn", F.row_number().over(into)).filter(F.col("rn") <= FAN_IN).select("to_id", "from_id", "rn")
         found = frontier.join(ranked, frontier["id"] == ranked["to_id"]).select("target_id", F.col("from_id").alias("caller_id"), F.col("to_id").alias("via_to_id"), "rank", "rn")
         first = found.groupBy("target_id", "caller_id").agg(F.min(F.struct("rank", "rn", "via_to_id")).alias("by"))
         fresh = first.join(visited, ["target_id", "caller_id"], "left_anti")

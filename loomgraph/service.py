@@ -145,7 +145,7 @@ class Workspace:
         target = resolve_symbol(held.graph.symbols, symbol)
         if target is None:
             raise NotFound(f"no symbol {symbol}")
-        found = impact(self.spark.createDataFrame([(target.id,)], "target_id string"), held.graph.edges, held.graph.symbols, depth, changed=changed)
+        found = impact(self.spark.createDataFrame([(target.id,)], "target_id string"), held.graph.edges, held.graph.symbols, depth, changed=changed, stored=True)
         rows = found.orderBy("depth", "disc_rank").collect()
         stats = impact_stats(found).first()
         lines = [f"{target.id}: no callers" if stats is None else f"{target.id}: {stats.direct_count} direct and {stats.transitive_count} transitive callers in {stats.file_count} files, {stats.test_count} in tests{', cut at the level limit' if stats.truncated else ''}"]
