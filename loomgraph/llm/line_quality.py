@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stash import held_out
+from .stash import held_out, release
 from .textkit import SPACE, Words, slices
 
 #: Most labelled documents that a model is fitted on, and most lines of them.
@@ -230,6 +230,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = S
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
+def fit_labelled(docs: DataFrame, labels: DataFrame, sample: int) -> LineField | None:
+    """The field fitted on the sample, or None without labelled rows; the sample leaves the driver's memory."""
+    rows = training_rows(docs, labels, "quality", sample)
+    model = fit([t for t, _ in rows], [q for _, q in rows]) if rows else None
+    del rows
+    release(docs.sparkSession)
+    return model
+
+
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -239,8 +248,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Data
     Texts alone decide a score, so equal texts get equal scores.  Without
     any labelled row all scores are 0.5.
     """
-    rows = training_rows(docs, labels, "quality", sample)
-    model = fit([t for t, _ in rows], [q for _, q in rows]) if rows else None
+    model = fit_labelled(docs, labels, sample)
     return apply_score(docs, model, 0.5)
 
 
@@ -259,8 +267,7 @@ def apply_score(docs: DataFrame, model, threshold: float, method: str = "quality
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores at least the threshold; all columns stay, nothing is shuffled."""
-    rows = training_rows(docs, labels, "quality", sample)
-    model = fit([t for t, _ in rows], [q for _, q in rows]) if rows else None
+    model = fit_labelled(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stash import Stash
+from .stash import Stash, release
 from .textkit import Words, ragged, slices
 
 CAPACITY = 2048
@@ -294,6 +294,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     """
     spark = docs.sparkSession
     stash = Stash(spark, "packing")
+    release(spark)
     cut = stash.keep(pieces(docs, tokenizer_path, capacity), "pieces")
     part = cut.filter(F.col("length") < capacity)
     by_task = part.groupBy("part", "length").agg(F.count("*").alias("n"))
@@ -301,6 +302,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     for row in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row per length
         histogram[row["length"]] = row["n"]
     patterns, _ = solve(histogram, capacity)
+    release(spark)
     plan = spark.sparkContext.broadcast(_slots(patterns, capacity))  # its size follows the lengths, not the rows
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .stash import Stash
+from .stash import Stash, release
 from .textkit import Words, mix, slices
 
 WORDS = 5
@@ -261,6 +261,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = stash.keep(_signed(docs), "signatures")
     nodes = stash.keep(signed.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    release(spark)
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = stash.keep(placed.join(shared, "bucket"), "met")
@@ -270,18 +271,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     live = stash.keep(ranked.join(leads, "bucket").select("bucket", "node", "lead"), "buckets")
     wanted = live.select("node").distinct()
     texts = stash.keep(docs.hint("merge").join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text"), "texts")
+    release(spark)
     pairs = live.filter("node <> lead").select("node", "lead").distinct()
     filled = pairs.join(texts.withColumnRenamed("text", "node_text"), "node").join(texts.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
     judged = stash.keep(_compare(filled).groupBy("node", "lead").agg(F.max("similarity").alias("similarity")), "compared")
     links = judged.filter(F.col("similarity") >= threshold).select(F.col("node").alias("u"), F.col("lead").alias("v"))
     classes = stash.keep(components(links, stash), "classes")
+    release(spark)
     seen = live.filter("node <> lead").join(judged, ["node", "lead"]).select("bucket", "node", (1 - F.col("similarity")).alias("far"), (F.col("similarity") < threshold).alias("apart"))
     nearest = seen.filter("apart").groupBy("bucket").agg(F.min("far").alias("nearest"))
     stays = F.col("apart") | (F.col("far") >= F.col("nearest") - (1 - threshold) - 1e-9)
     kept = seen.join(nearest, "bucket").filter(stays).select("bucket", "node")
     families = stash.keep(_families(kept, classes, stash), "families")
+    release(spark)
     more = stash.keep(_family_links(families, texts, threshold), "links")
     classes = _merge(classes, more, stash)
+    release(spark)
     named = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.col("node").alias("copy_of"), F.coalesce("component", "node").alias("class_id"))
     return signed.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
