@@ -4,6 +4,9 @@ Names, numbers and units become typed placeholders, so a question asked again
 with other values has the same template.  Windows of template tokens are
 hash-joined; where a document and an item agree on a diagonal, the values that
 fill the placeholders must correspond one to one before the match counts.
+Item windows with too few words beside the placeholders say little as
+templates; they are joined on their lower-cased words, so verbatim text of
+every item is found.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from .stash import Stash
 
 WINDOW = 8
 TOKENS = 13  # least matched tokens on one diagonal (all of a shorter item)
-LITERALS = 4  # least tokens of a window that are not placeholders
+LITERALS = 4  # least tokens of a window that are not placeholders; with fewer, its words are compared
 
 # Units that become a placeholder after a number.
 UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|l|ml|liters?|gallons?|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|usd|eur|euros?|cents?|percent|%|degrees?|mph|kph|kw|w|v|a|hz|khz|mhz|ghz|kb|mb|gb|tb"
@@ -59,18 +62,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least: in
     items = items.groupBy("item_id").agg(F.min("text").alias("text"))
     items = items.select("item_id", _words(F.col("text")).alias("raw"), _words(_template(F.col("text"))).alias("template")).filter(F.size("raw") > 0)
     items = stash.keep(items, "items")
+    asked = items.select("item_id", "template", F.size("raw").alias("length"), F.least(F.lit(size), F.size("raw")).alias("n"), F.transform("template", lambda w: F.xxhash64(w)).alias("hashed"), F.transform("raw", lambda w: F.xxhash64(F.lower(w))).alias("verbatim"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("n"))).alias("at"))
+    literals = F.size(F.filter(F.slice("template", F.col("at") + 1, F.col("n")), lambda w: ~w.rlike("^<[anu]>")))
+    rich = literals < F.least(F.lit(LITERALS), F.col("n"))
+    asked = asked.select("item_id", "length", "n", "at", rich.alias("rich"), F.xxhash64(F.slice(F.when(rich, F.col("verbatim")).otherwise(F.col("hashed")), F.col("at") + 1, F.col("n"))).alias("window"))
+    asked = stash.keep(asked, "asked")
     found, texts = None, docs
-    docs = docs.select("doc_id", _template(F.col("text")).alias("template"))
-    lengths = [size] + [r["n"] for r in items.filter(F.size("raw") < size).select(F.size("raw").alias("n")).distinct().collect()]  # at most size - 1 more
-    for n in sorted(lengths):
-        some = items.filter(F.size("raw") >= size if n == size else F.size("raw") == n)
-        asked = some.select("item_id", "template", F.size("raw").alias("length"), F.transform("template", lambda w: F.xxhash64(w)).alias("hashed"))
-        asked = asked.select("item_id", "template", "length", F.posexplode(_windows(F.col("hashed"), n)).alias("at", "window"))
-        literal = F.size(F.filter(F.slice("template", F.col("at") + 1, n), lambda w: ~w.rlike("^<[anu]>")))
-        asked = asked.filter(literal >= min(LITERALS, n)).select("item_id", "length", "at", "window")
-        seen = docs.select("doc_id", F.transform(_words(F.col("template")), lambda w: F.xxhash64(w)).alias("hashed"))
-        seen = seen.select("doc_id", F.posexplode(_windows(F.col("hashed"), n)).alias("place", "window"))
-        hit = seen.join(asked, "window").select("doc_id", "item_id", "length", (F.col("place") - F.col("at")).alias("shift"), "at")
+    docs = docs.select("doc_id", "text", _template(F.col("text")).alias("template"))
+    kinds = {(r["n"], r["rich"]) for r in asked.select("n", "rich").distinct().collect()} or {(size, False)}  # at most two for each n up to size
+    for n in sorted({n for n, _ in kinds}):
+        some = asked.filter(F.col("n") == n).select("item_id", "length", "at", "window")
+        sides = [_words(F.col("template"))] * ((n, False) in kinds) + [_words(F.lower("text"))] * ((n, True) in kinds)
+        seen = docs.select("doc_id", *(F.transform(side, lambda w: F.xxhash64(w)).alias(f"hashed{k}") for k, side in enumerate(sides)))
+        windows = [_windows(F.col(f"hashed{k}"), n) for k in range(len(sides))]
+        # both sides of a document have the same words, so the second begins again at place 0
+        seen = seen.select("doc_id", F.size("hashed0").alias("words"), F.posexplode(F.concat(*windows)).alias("place", "window"))
+        seen = seen.select("doc_id", (F.col("place") % (F.col("words") - (n - 1))).alias("place"), "window")
+        hit = seen.join(some, "window").select("doc_id", "item_id", "length", (F.col("place") - F.col("at")).alias("shift"), "at")
         hit = hit.groupBy("doc_id", "item_id", "length", "shift").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.size(F.collect_set("at")).alias("hits"))
         hit = hit.filter(F.col("hits") + (n - 1) >= F.least(F.lit(least), "length")).select("doc_id", "item_id", "shift", "low", (F.col("high") + n).alias("high"), (F.col("hits") + (n - 1)).alias("n_tokens"))
         found = hit if found is None else found.unionByName(hit)
