@@ -46,11 +46,30 @@ def _windows(hashed: Column, size: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(hashed, i, size)))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
+def _runs(at: Column, size: int) -> Column:
+    """The stretches that the windows at the sorted places ``at`` cover without a gap: first word, end and number of window places."""
+    firsts = F.filter(at, lambda x, i: F.coalesce(x - F.get(at, i - 1) > size, F.lit(True)))
+    lasts = F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) - x > size, F.lit(True)))
+    return F.zip_with(firsts, lasts, lambda f, l: F.struct(f.alias("first"), (l + size).alias("end"), (l - f + 1).alias("places")))
+
+
+def _consistent(slots: Column) -> Column:
+    """No asked value stands for two given words."""
+    return F.size(F.array_distinct(slots)) == F.size(F.array_distinct(F.transform(slots, lambda s: s["asked"])))
+
+
+def _changed(slots: Column) -> Column:
+    return F.exists(slots, lambda s: ~s["asked"].eqNullSafe(s["given"]))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least: int = TOKENS) -> DataFrame:
     """(doc_id, item_id, n_tokens, doc_start, reparameterised): the items that leaked into each document.
 
     ``n_tokens`` is the longest agreement on one diagonal, ``doc_start`` its
     first word, and ``reparameterised`` says whether values were changed.
+    Values are compared where windows match: a stretch without a gap that
+    gives one asked value two words does not count, and of the others those
+    that agree count together.
     Null texts and ids match nothing; rows with one id are one document; an
     item shorter than a window is matched whole; other columns are not read.
     Benchmark windows are joined as Spark finds cheapest for their size; each
@@ -80,22 +99,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least: in
         seen = seen.select("doc_id", F.size("hashed0").alias("words"), F.posexplode(F.concat(*windows)).alias("place", "window"))
         seen = seen.select("doc_id", (F.col("place") % (F.col("words") - (n - 1))).alias("place"), "window")
         hit = seen.join(some, "window").select("doc_id", "item_id", "length", (F.col("place") - F.col("at")).alias("shift"), "at")
-        hit = hit.groupBy("doc_id", "item_id", "length", "shift").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.size(F.collect_set("at")).alias("hits"))
-        hit = hit.filter(F.col("hits") + (n - 1) >= F.least(F.lit(least), "length")).select("doc_id", "item_id", "shift", "low", (F.col("high") + n).alias("high"), (F.col("hits") + (n - 1)).alias("n_tokens"))
+        hit = hit.groupBy("doc_id", "item_id", "length", "shift").agg(F.array_sort(F.collect_set("at")).alias("at"))
+        hit = hit.select("doc_id", "item_id", "shift", F.lit(n).alias("n"), F.least(F.lit(least), "length").alias("least"), _runs(F.col("at"), n).alias("runs"))
+        hit = hit.filter(F.aggregate("runs", F.lit(n - 1), lambda acc, r: acc + r["places"]) >= F.col("least"))
         found = hit if found is None else found.unionByName(hit)
     found = stash.keep(found, "diagonals")
     # the values in the placeholders, for documents with a match only
     words = texts.join(found.select("doc_id").distinct(), "doc_id").select("doc_id", _words(F.col("text")).alias("words"))
     both = found.join(words, "doc_id").join(items, "item_id")
-    slots = F.filter(
-        F.transform(F.sequence("low", F.col("high") - 1), lambda i: F.struct(F.get("template", i).alias("t"), F.lower(F.get("raw", i)).alias("asked"), F.lower(F.get("words", i + F.col("shift"))).alias("given"))),
-        lambda s: s["t"].contains("<"),
-    )
-    judged = both.withColumn("slots", slots)
-    pairs = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["asked"], s["given"]))))
-    consistent = pairs == F.size(F.array_distinct(F.transform("slots", lambda s: s["asked"])))
-    changed = F.exists("slots", lambda s: ~s["asked"].eqNullSafe(s["given"]))
-    judged = judged.select("doc_id", "item_id", "n_tokens", (F.col("low") + F.col("shift")).cast("long").alias("doc_start"), changed.alias("reparameterised"), consistent.alias("ok")).filter("ok")
+    def slots(run: Column) -> Column:
+        words = F.transform(F.sequence(run["first"], run["end"] - 1), lambda i: F.struct(F.get("template", i).alias("t"), F.lower(F.get("raw", i)).alias("asked"), F.lower(F.get("words", i + F.col("shift"))).alias("given")))
+        return F.transform(F.filter(words, lambda s: s["t"].contains("<")), lambda s: F.struct(s["asked"].alias("asked"), s["given"].alias("given")))
+
+    filled = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["places"].alias("places"), slots(r).alias("slots")))
+    judged = both.select("doc_id", "item_id", "shift", "n", "least", F.filter(filled, lambda r: _consistent(r["slots"])).alias("runs"))
+    # unchanged runs first, then long ones: each run in turn is joined by those that agree with it
+    judged = judged.withColumn("runs", F.array_sort(F.transform("runs", lambda r: F.struct(_changed(r["slots"]).alias("changed"), (-r["places"]).alias("back"), r["first"].alias("first"), r["slots"].alias("slots")))))
+    judged = judged.select("*", F.explode("runs").alias("run"))
+
+    def add(acc: Column, r: Column) -> Column:
+        both = F.concat(acc["slots"], r["slots"])
+        grown = F.struct((acc["places"] - r["back"]).alias("places"), F.least(acc["first"], r["first"]).alias("first"), both.alias("slots"))
+        return F.when((r["first"] != F.col("run.first")) & _consistent(both), grown).otherwise(acc)
+
+    alone = F.struct((-F.col("run.back")).alias("places"), F.col("run.first").alias("first"), F.col("run.slots").alias("slots"))
+    judged = judged.select("doc_id", "item_id", "shift", "n", "least", F.aggregate("runs", alone, add).alias("all"))
+    judged = judged.select("doc_id", "item_id", "least", (F.col("all.places") + F.col("n") - 1).alias("n_tokens"), (F.col("all.first") + F.col("shift")).cast("long").alias("doc_start"), _changed(F.col("all.slots")).alias("reparameterised"))
+    judged = judged.filter(F.col("n_tokens") >= F.col("least"))
     best = F.max(F.struct("n_tokens", (-F.col("doc_start")).alias("back"), (~F.col("reparameterised")).alias("same"))).alias("best")
     return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.n_tokens").cast("long").alias("n_tokens"), (-F.col("best.back")).alias("doc_start"), (~F.col("best.same")).alias("reparameterised"))
 

@@ -157,6 +157,19 @@ def test_leaks_of_items_that_are_mostly_names_and_numbers(spark):
     assert sorted((r.doc_id, r.item_id, r.n_tokens, r.doc_start, r.reparameterised) for r in found) == [(k, k, len(x.split()), 2, False) for k, x in enumerate(items)]
 
 
+def test_leaks_with_an_edit_in_a_repeated_name(spark):
+    plain = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    words = plain[:5] + ["Tom"] + plain[5:30] + ["Tom"] + plain[30:45] + ["Berlin"] + plain[45:]
+    item, near = " ".join(words), list(words)
+    near[31] = "he"
+    both = [x.replace("Tom", "Ada") for x in words[:31]] + ["he"] + [x.replace("Berlin", "Paris") for x in words[32:]]
+    clash = words[:10] + ["x"] * 10 + words[20:31] + ["Ida"] + words[32:36] + ["y"] * 30  # runs of 10 and 16, Tom as two words
+    split = ["Ida" if x == "Tom" else x for x in words[:9]] + ["x"] + words[10:19] + ["y"] * 9 + words[28:36] + ["z"] * 30  # Tom as Ida and as Tom in runs of less than 13
+    docs = _docs(spark, [" ".join(x) for x in (near, both, clash, split)])
+    found = decontaminate.matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.n_tokens, r.doc_start, r.reparameterised) for r in sorted(found)] == [(0, 31 + 31 - 7, 0, False), (1, 31 + 31 - 7, 0, True), (2, 16, 20, True)]
+
+
 def test_url_verdicts_match_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT page_id, url FROM read_parquet('{SF}/pages.parquet')")
