@@ -5,8 +5,8 @@ with other values has the same template.  Windows of template tokens are
 hash-joined; where a document and an item agree on a diagonal, the values that
 fill the placeholders must correspond one to one before the match counts.
 Item windows with too few words beside the placeholders say little as
-templates; they are joined on their lower-cased words, so verbatim text of
-every item is found.
+templates and are left out there; all windows are joined on their lower-cased
+words too, so verbatim text of every item is found in any case.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .stash import Stash
 
 WINDOW = 8
 TOKENS = 13  # least matched tokens on one diagonal (all of a shorter item)
-LITERALS = 4  # least tokens of a window that are not placeholders; with fewer, its words are compared
+LITERALS = 4  # least tokens of a window that are not placeholders; with fewer, only its words are compared
 
 # Units that become a placeholder after a number.
 UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|l|ml|liters?|gallons?|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|usd|eur|euros?|cents?|percent|%|degrees?|mph|kph|kw|w|v|a|hz|khz|mhz|ghz|kb|mb|gb|tb"
@@ -85,14 +85,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least: in
     asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("n"))).alias("at"))
     literals = F.size(F.filter(F.slice("template", F.col("at") + 1, F.col("n")), lambda w: ~w.rlike("^<[anu]>")))
     rich = literals < F.least(F.lit(LITERALS), F.col("n"))
-    asked = asked.select("item_id", "length", "n", "at", rich.alias("rich"), F.xxhash64(F.slice(F.when(rich, F.col("verbatim")).otherwise(F.col("hashed")), F.col("at") + 1, F.col("n"))).alias("window"))
+    part = {c: F.xxhash64(F.slice(c, F.col("at") + 1, F.col("n"))) for c in ("hashed", "verbatim")}
+    asked = asked.select("item_id", "length", "n", "at", F.explode(F.when(rich, F.array(part["verbatim"])).otherwise(F.array_distinct(F.array(*part.values())))).alias("window"))
     asked = stash.keep(asked, "asked")
     found, texts = None, docs
     docs = docs.select("doc_id", "text", _template(F.col("text")).alias("template"))
-    kinds = {(r["n"], r["rich"]) for r in asked.select("n", "rich").distinct().collect()} or {(size, False)}  # at most two for each n up to size
-    for n in sorted({n for n, _ in kinds}):
+    sizes = [size] + [r["n"] for r in asked.filter(F.col("n") < size).select("n").distinct().collect()]  # at most size - 1 more
+    for n in sorted(sizes):
         some = asked.filter(F.col("n") == n).select("item_id", "length", "at", "window")
-        sides = [_words(F.col("template"))] * ((n, False) in kinds) + [_words(F.lower("text"))] * ((n, True) in kinds)
+        sides = [_words(F.col("template")), _words(F.lower("text"))]
         seen = docs.select("doc_id", *(F.transform(side, lambda w: F.xxhash64(w)).alias(f"hashed{k}") for k, side in enumerate(sides)))
         windows = [_windows(F.col(f"hashed{k}"), n) for k in range(len(sides))]
         # both sides of a document have the same words, so the second begins again at place 0

@@ -153,8 +153,9 @@ def test_leaks_with_other_values_but_not_inconsistent_ones(spark):
 def test_leaks_of_items_that_are_mostly_names_and_numbers(spark):
     items = ["Who wrote Hamlet?", "What is 2+2?", "Who discovered penicillin in 1928?", "Anna Berta Carla Dora Emil met them in the garden", "ALL CAPITALS HERE AND NOTHING ELSE IN THIS ITEM OF TWELVE WORDS", "Der Hund und die Katze im Haus am See", "12 13 14 15 16 17 18 19 20 21 22 23 24 25 26"]
     docs = _docs(spark, [f"some words {x} and more" for x in items] + ["Who wrote Faust?", "Emil Dora Carla Berta Anna met them", " ".join(map(str, range(40, 55)))])
+    docs = docs.union(_docs(spark, [f"some words {x.upper()} and more" for x in items], range(100, 107)))
     found = decontaminate.matches(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id, r.n_tokens, r.doc_start, r.reparameterised) for r in found) == [(k, k, len(x.split()), 2, False) for k, x in enumerate(items)]
+    assert sorted((r.doc_id, r.item_id, r.n_tokens, r.doc_start, r.reparameterised) for r in found) == [(d + k, k, len(x.split()), 2, False) for d in (0, 100) for k, x in enumerate(items)]
 
 
 def test_leaks_with_an_edit_in_a_repeated_name(spark):
