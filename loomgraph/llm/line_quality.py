@@ -8,6 +8,7 @@ average to its quality.  Training is plain numpy on a bounded sample.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .stash import held_out, release
 from .textkit import SPACE, Words, slices
 
-#: Most labelled documents that a model is fitted on, and most lines of them.
+#: Most labelled documents that a model is fitted on, and most lines of them (long texts give an excerpt).
 SAMPLE_DOCS = 2000
 SAMPLE_LINES = 60_000
 
@@ -163,20 +164,40 @@ class LineField:
         return 1 / (1 + np.exp(-(np.log(raw / (1 - raw)) - self.cut)))
 
 
+def excerpts(texts: list[str], max_lines: int) -> list[str]:
+    """All texts, the longest ones cut to runs of equally many lines so that ``max_lines`` holds (one line each at least).
+
+    Where a run begins follows a hash of its text.
+    """
+    counts = np.array([t.count("\n") + 1 for t in texts])
+    if counts.sum() <= max_lines:
+        return texts
+    ordered, room, most = np.sort(counts), max_lines, 1
+    for k, n in enumerate(ordered.tolist()):
+        most = max(1, room // (len(ordered) - k))
+        if n > most:
+            break
+        room -= n
+    out = []
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        if n > most:
+            begin = zlib.crc32(text.encode("utf-8", "surrogatepass")) % (n - most + 1)
+            text = "\n".join(text.split("\n")[begin : begin + most])
+        out.append(text)
+    return out
+
+
 def fit(texts: list[str], labels: list[int], steps: int = 150, decay: float = 1e-4, max_lines: int = SAMPLE_LINES) -> LineField:
     """Maximise the conditional likelihood of the lines, each labelled as its document, by Adam on the full sample.
 
-    Documents whose lines would pass ``max_lines`` are left out.  The cut on
-    the mean marginal is then placed where the two kinds of error of the
-    sample balance.  With one class only, every score leans to it.
+    Every document takes part; of long ones only an excerpt where the sample
+    has more than ``max_lines``.  The cut on the mean marginal is then placed
+    where the two kinds of error of the sample balance.  With one class only,
+    every score leans to it.
     """
-    columns = pa.array(texts, pa.large_string())
+    columns = pa.array(excerpts(texts, max_lines), pa.large_string())
     features, size, first = line_features(columns)
-    keep = first[1:] <= max_lines
-    keep[:1] = True
-    n = int(first[1:][keep][-1])
-    features, size, first = features[:n], size[:n], np.concatenate(([0], first[1:][keep]))
-    truth = np.asarray(labels, np.float64)[: int(keep.sum())]
+    truth = np.asarray(labels, np.float64)
     line_truth = np.repeat(truth, np.diff(first))
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-3
     mean[-1], scale[-1] = 0, 1

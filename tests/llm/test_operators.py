@@ -197,3 +197,13 @@ def test_classifiers_on_held_out_documents(spark, query, label, cut):
     good = [r.score for r in rows if r.held_out and truth[r.doc_id] == 1]
     bad = [r.score for r in rows if r.held_out and truth[r.doc_id] == 0]
     assert np.mean([g > b for g in good for b in bad]) > cut
+
+
+def test_a_long_text_leaves_the_others_in_the_quality_sample():
+    good, bad = "the plain words of a sentence that one can read\nand a second line of them", "#$% @@ {} 77 77 77\n|| || ## ^^ 1 1 1"
+    texts, labels = ["\n".join(["## @@ 1 1"] * 700)] + [good, bad] * 40, [0] + [1, 0] * 40
+    assert [len(t.split("\n")) for t in line_quality.excerpts(texts, 500)] == [340] + [2] * 80
+    assert [len(t.split("\n")) for t in line_quality.excerpts(["a\nb\nc"] * 4, 10)] == [2] * 4
+    assert line_quality.excerpts(texts, 1000) == texts
+    scores = line_quality.fit(texts, labels, steps=40, max_lines=500).quality(pa.array([good, bad], pa.large_string()))
+    assert scores[0] > 0.5 > scores[1]
