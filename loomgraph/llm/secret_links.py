@@ -2,7 +2,8 @@
 
 Strong parts are reported wherever they stand.  Weak parts (account names,
 random-looking tokens, endpoints) are reported only where the parts that
-complete them stand within ``SCOPE`` code points of the same text.
+complete them stand within ``SCOPE`` code points of the same text, counted
+between the nearer ends.
 """
 
 from __future__ import annotations
@@ -68,17 +69,18 @@ def _parts(docs: DataFrame) -> DataFrame:
 def _linked(parts: DataFrame, key: str, scope: int) -> DataFrame:
     """(key, more): the weak spans whose complements stand within ``scope``.
 
-    An interval join on scope-sized buckets: a bucket's complements are reduced
-    to their first and last start, which decide whether any lies within reach
-    of a part in that bucket or a neighbouring one, so no pairs are made.
+    An interval join on scope-sized buckets: a span is in every bucket that it
+    touches, and a bucket's complements are reduced to their first start and
+    last end, which decide whether any lies within reach of a part in that
+    bucket or a neighbouring one, so no pairs are made.
     """
     rows = parts.filter(F.size("weak") > 0).select(key, F.explode(F.concat("base", "weak")).alias("p")).select(key, "p.*")
-    rows = rows.withColumn("bucket", F.floor(F.col("start") / scope))
+    rows = rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
     names, secrets = F.col("kind").isin(2, 4), F.col("kind").isin(1, 3, 5)
-    edges = rows.groupBy(key, "bucket").agg(*(f(F.when(c, F.col("start"))).alias(f"{n}_{f.__name__}") for n, c in (("name", names), ("secret", secrets)) for f in (F.min, F.max)))
+    edges = rows.groupBy(key, "bucket").agg(*(f(F.when(c, F.col(end))).alias(f"{n}_{end}") for n, c in (("name", names), ("secret", secrets)) for f, end in ((F.min, "start"), (F.max, "end"))))
     near = edges.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")).withColumn("bucket", F.col("bucket") + F.col("step")).drop("step")
     weak = rows.filter(F.col("kind") > STRONG).join(near, [key, "bucket"])
-    reach = {n: F.coalesce(F.max((F.col(f"{n}_max") >= F.col("start") - scope) & (F.col(f"{n}_min") <= F.col("start") + scope)), F.lit(False)).alias(n) for n in ("name", "secret")}
+    reach = {n: F.coalesce(F.max((F.col(f"{n}_end") >= F.col("start") - scope) & (F.col(f"{n}_start") <= F.col("end") + scope)), F.lit(False)).alias(n) for n in ("name", "secret")}
     judged = weak.groupBy(key, "start", "kind", "end").agg(*reach.values())
     whole = F.when(F.col("kind") == 4, F.col("secret")).when(F.col("kind") == 5, F.col("name")).otherwise(F.col("name") & F.col("secret"))
     return judged.filter(whole).groupBy(key).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))

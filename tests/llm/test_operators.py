@@ -141,6 +141,15 @@ def test_secret_spans_and_links(spark):
     assert masked[1] == far[: far.index("secret")] + "[REDACTED]" and masked[2] is None and "alice" not in masked[0]
 
 
+def test_long_secrets_link_to_both_sides(spark):
+    key = "A1b2" * 200
+    texts = [f"{key} login=bob", f"login=bob {key}", f"{key}{' z' * 145} login=bob", f"{key}{' z' * 160} login=bob", "https://a.b/" + "x/" * 400 + "?login=bob&" + "x/" * 400 + " secret=abcdefgh"]
+    rows = [r.spans for r in secret_links.scan(_docs(spark, texts)).orderBy("doc_id").collect()]
+    assert rows[:4] == ["key:0:800,ident:801:810", "ident:0:9,key:10:810", "key:0:800,ident:1091:1100", ""]
+    assert rows[4].startswith("endpoint:0:") and "assign:" in rows[4]
+    assert secret_links.redact(_docs(spark, texts[:1])).first().text == "[REDACTED] [REDACTED]"
+
+
 def test_leaks_with_other_values_but_not_inconsistent_ones(spark):
     item = "If Anna has 12 apples and gives 5 kg of them to her friend Bob then Anna keeps the other apples in a box"
     same = item.replace("Anna", "Carla").replace("12", "31").replace("Bob", "Dirk")
