@@ -178,7 +178,7 @@ class Page(dict):
 
 
 def pages(media: bytes) -> Iterator[Page]:
-    """The pages of a file in directory order; the first broken directory ends the walk with an error page."""
+    """The pages of a file in directory order; a broken image gives an error page, a broken directory one that ends the walk."""
     if media is None or media[:2] not in (b"II", b"MM"):
         yield Page(page=0, error="not a TIFF file")
         return
@@ -196,10 +196,13 @@ def pages(media: bytes) -> Iterator[Page]:
         seen.add(at)
         try:
             tags, after = _directory(media, at, order)
-            page = _image(media, tags, order)
-        except (struct.error, ValueError, KeyError, IndexError, zlib.error) as e:
+        except (struct.error, ValueError, KeyError, IndexError) as e:
             yield Page(page=number, error=f"{type(e).__name__}: {e}")
             return
+        try:
+            page = _image(media, tags, order)
+        except (struct.error, ValueError, KeyError, IndexError, ZeroDivisionError, zlib.error) as e:
+            page = Page(error=f"{type(e).__name__}: {e}")
         page["page"] = number
         yield page
         number, at = number + 1, after

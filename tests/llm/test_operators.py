@@ -53,6 +53,16 @@ def test_tiff_pages_and_errors(spark):
     assert all(r.error for r in rows if r.k != 1)
 
 
+def test_tiff_pages_after_one_that_cannot_be_decoded():
+    media = bytearray(tiff.encode(bytes(64 * 1200)))
+    assert [p["error"] for p in tiff.pages(bytes(media))] == [None] * 3
+    (at,) = tiff.struct.unpack_from("<I", media, 4)
+    (n,) = tiff.struct.unpack_from("<H", media, at)
+    (where,) = (at + 2 + 12 * k for k in range(n) if tiff.struct.unpack_from("<H", media, at + 2 + 12 * k)[0] == 258)
+    tiff.struct.pack_into("<I", media, where + 8, 4)
+    assert [(p["page"], p["error"] is None) for p in tiff.pages(bytes(media))] == [(0, False), (1, True), (2, True)]
+
+
 def test_word_cache_gives_the_tokenizer_ids():
     cache = packing.WordTokenizer(queries.tokenizer_path())
     texts = ["a\x1cb <|endoftext|>é e\u0301 x\u00a0y it's", "", "The the\x0bTHE 12 3.4!!"]
