@@ -9,6 +9,7 @@ its rank among the pieces of its length.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -143,23 +144,26 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 
 def fillings(counts: np.ndarray, room: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first.
+    """Ways to fill ``room``, least waste first.
 
     Built largest length first and maximal.  A filling is dropped if an unused
     length could take the place of one of its items with no more than the
-    waste left, or of any two of them: exchanging keeps every other bin
-    possible, so the search need not look at it.
+    waste left; exchanges of two items are not tested.  The list ends at
+    ``limit`` fillings, after 40 steps for each of them, or soon after the
+    first without waste; where it is cut, the best-fit filling is in it.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     lengths = np.flatnonzero(counts[: room + 1])[::-1]
     left = dict(zip(lengths.tolist(), counts[lengths].tolist(), strict=True))
     lengths = lengths.tolist()
-    steps = 0
+    steps, cut = 0, False
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * limit + 1000))  # a step may be one level deeper
 
     def grow(at: int, space: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
+        nonlocal steps, cut
         steps += 1
         if steps > 40 * limit or (found and len(found) >= limit):
+            cut = True
             return
         fits = False
         for i in range(at, len(lengths)):
@@ -170,12 +174,20 @@ def fillings(counts: np.ndarray, room: int, limit: int) -> list[tuple[int, ...]]
                 grow(i, space - x, (*chosen, x))
                 left[x] += 1
                 if steps > 40 * limit or len(found) >= limit or (found and found[-1][0] == 0 and i > at):
+                    cut = True
                     return
         if not fits and not any(left[y] for y in lengths[:at] if y <= space):
             if not any(y > x and left.get(y) for x in set(chosen) for y in range(x + 1, x + space + 1)):
                 found.append((space, chosen))
 
     grow(0, room, ())
+    if cut:
+        space, chosen = room, ()
+        for x in lengths:
+            k = min(left[x], space // x)
+            space, chosen = space - k * x, chosen + (x,) * k
+        if (space, chosen) not in found:
+            found.append((space, chosen))
     found.sort(key=lambda f: (f[0], len(f[1])))
     return [f for _, f in found]
 
@@ -209,8 +221,8 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
 def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 4000, width: int = 24) -> tuple[list[Pattern], int]:
     """(patterns that use every item, lower bound on the number of bins).
 
-    Branch and bound: take the longest item left, try its undominated
-    fillings, least waste first, each repeated as often as the counts allow;
+    Branch and bound: take the longest item left, try its fillings
+    (``fillings``, at most ``width`` and one), least waste first, each repeated as often as the counts allow;
     leave a branch when its waste exceeds what an improvement may waste, or
     its bins plus the bound of the rest reach the incumbent.  The incumbent
     starts as the best-fit solution; the search ends at the bound or after

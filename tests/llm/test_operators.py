@@ -93,6 +93,14 @@ def test_branch_and_bound_beats_best_fit():
     assert sum(t for _, t in patterns) == bound == 2
 
 
+def test_a_cut_bin_completion_has_the_best_fit_filling():
+    counts = np.zeros(2049, np.int64)
+    counts[1] = 3000
+    assert packing.fillings(counts, 2047, 24) == [(1,) * 2047]
+    counts[[2, 3]] = 400
+    assert packing.fillings(counts, 2047, 24)[0] == (3,) * 400 + (2,) * 400 + (1,) * 47
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(4000)}" for _ in range(150)] for _ in range(12)]
