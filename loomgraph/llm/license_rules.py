@@ -134,5 +134,5 @@ def _build() -> list[Signature]:
 
 SIGNATURES = _build()
 
-#: A text without any of these has no detection, since each rule's matches contain one of them.
-KEYWORDS = ("licen", "spdx", "copyright", "permission", "public domain", "redistribut", "all rights", "neither", "advertising", "waive", "as-is", "unless", "terms", "under", "unencumbered")
+#: A text without any of these has no detection, since each rule's matches contain one of them; they are single words, as rules allow any white space between words.
+KEYWORDS = ("licen", "spdx", "copyright", "permission", "domain", "redistribut", "reserved", "neither", "advertising", "waive", "as-is", "unless", "terms", "under", "unencumbered")

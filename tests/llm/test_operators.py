@@ -215,6 +215,11 @@ def test_license_phrases_and_labels(spark):
     assert "apache" in r.labels.split(",") and 0 <= r.score <= 1
 
 
+def test_license_rules_with_other_white_space(spark):
+    rows = license_scan.scan(_docs(spark, ["released into the public\ndomain", "all\nrights reserved"])).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["public-domain", "proprietary"]
+
+
 @pytest.mark.parametrize("query, label, cut", [(queries.op3_line_quality, "quality", 0.9), (queries.op6_toxicity, "toxic", 0.8)])
 def test_classifiers_on_held_out_documents(spark, query, label, cut):
     sf = "/root/testdata/sf0.01"
