@@ -1,12 +1,16 @@
 """Benchmark decontamination on canonical templates, in DataFrame operations only.
 
-Names, numbers and units become typed placeholders, so a question asked again
-with other values has the same template.  Windows of template tokens are
-hash-joined; where a document and an item agree on a diagonal, the values that
-fill the placeholders must correspond one to one before the match counts.
-Item windows with too few words beside the placeholders say little as
-templates and are left out there; all windows are joined on their lower-cased
-words too, so verbatim text of every item is found in any case.
+A text is read as tokens: white-space separated words without punctuation and
+symbols.  Each token has a plain form (lower case) and a template form, where
+names, numbers and units are typed placeholders, so a question asked again
+with other values has the same template and a copy in other letter case or
+punctuation has the same plain form.
+
+Benchmark windows of both forms are hash-joined with document windows that
+start at every ``stride``-th token.  The stride is such that any stretch long
+enough to be reported holds one of those windows whole, so nothing is lost by
+skipping the others.  Diagonals that meet are then compared token by token,
+and the values in the placeholders must correspond one to one.
 """
 
 from __future__ import annotations
@@ -17,121 +21,139 @@ from pyspark.sql import functions as F
 from .stash import Stash
 
 WINDOW = 8
-TOKENS = 13  # least matched tokens on one diagonal (all of a shorter item)
-LITERALS = 4  # least tokens of a window that are not placeholders; with fewer, only its words are compared
+TOKENS = 13  # least tokens of a reported stretch (all of a shorter item)
+LITERALS = 4  # least tokens of a window that are not placeholders; with fewer, it matches by its plain form alone
 
 # Units that become a placeholder after a number.
-UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|l|ml|liters?|gallons?|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|usd|eur|euros?|cents?|percent|%|degrees?|mph|kph|kw|w|v|a|hz|khz|mhz|ghz|kb|mb|gb|tb"
+UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|l|ml|liters?|gallons?|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|usd|eur|euros?|cents?|percent|degrees?|mph|kph|kw|w|v|a|hz|khz|mhz|ghz|kb|mb|gb|tb"
 NAME, NUMBER, UNIT = "<a>", "<n>", "<u>"
-BLANK = " \t\n\x0b\f\r"
-GAP = "[\\x20\\x09-\\x0D]+"
+#: Ranges of punctuation and symbols (ASCII, Latin-1, general, CJK).
+MARKS = r"!-/:-@\[-`{-~\u00A1-\u00A9\u00AB-\u00B1\u00B4\u00B6-\u00B8\u00BB\u00BF\u00D7\u00F7\u2010-\u205E\u3000-\u303F"
 
 
-def _words(text: Column) -> Column:
-    """White-space separated words; an empty array for a text without any."""
-    trimmed = F.btrim(text, F.lit(BLANK))
-    return F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, GAP, -1))
+def _bare(text: Column) -> Column:
+    """The text without punctuation and symbols, which may join the parts of a word but never two words; all white space is blanks."""
+    return F.regexp_replace(F.regexp_replace(text, f"[{MARKS}]+", ""), r"[\x09-\x0D]", " ")
 
 
-def _template(text: Column) -> Column:
-    """The text with placeholders; replacements stay inside words, so its words align with the text's."""
-    out = F.regexp_replace(text, r"(?<!\p{L})\p{Lu}\p{L}*", NAME)
-    out = F.regexp_replace(out, r"\p{Nd}+(?:[.,]\p{Nd}+)*", NUMBER)
-    return F.lower(F.regexp_replace(out, rf"(?i)(?<=<n>|<n>[\x20-])(?:{UNITS})(?!\p{{L}})", UNIT))
+def _split(bare: Column) -> Column:
+    """Its words; an empty array for a text without any."""
+    return F.array_remove(F.split(bare, " ", -1), "")
 
 
-def _windows(hashed: Column, size: int) -> Column:
-    """Hash of every run of ``size`` hashed words, in order; ``hashed`` must be a plain column, as each run reads it."""
-    count = F.size(hashed) - (size - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(hashed, i, size)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+def _template(bare: Column) -> Column:
+    """Placeholders for words that begin with a capital, for digits, and for units after them; its words align with ``bare``'s."""
+    out = F.lower(F.regexp_replace(bare, r"\p{Lu}(?<![^ ].)[^ ]*", NAME))
+    return F.regexp_replace(F.regexp_replace(out, r"\p{Nd}+", NUMBER), f"{NUMBER}( ?)(?:{UNITS})(?= |$)", f"{NUMBER}$1{UNIT}")
 
 
-def _runs(at: Column, size: int) -> Column:
-    """The stretches that the windows at the sorted places ``at`` cover without a gap: first word, end and number of window places."""
-    firsts = F.filter(at, lambda x, i: F.coalesce(x - F.get(at, i - 1) > size, F.lit(True)))
-    lasts = F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) - x > size, F.lit(True)))
-    return F.zip_with(firsts, lasts, lambda f, l: F.struct(f.alias("first"), (l + size).alias("end"), (l - f + 1).alias("places")))
+def _hash(words: Column, at: Column, size: int) -> Column:
+    """Hash of ``size`` words from ``at`` on, by places: a slice would copy the whole array for each window."""
+    return F.xxhash64(*(F.get(words, at + k) for k in range(size)))
 
 
-def _consistent(slots: Column) -> Column:
-    """No asked value stands for two given words."""
-    return F.size(F.array_distinct(slots)) == F.size(F.array_distinct(F.transform(slots, lambda s: s["asked"])))
+def _windows(words: Column, size: int, stride: int) -> Column:
+    """Hash of each run of ``size`` words that starts at a multiple of ``stride``; ``words`` must be a plain column, as each run reads it."""
+    last = F.size(words) - size
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: _hash(words, i, size))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def _changed(slots: Column) -> Column:
-    return F.exists(slots, lambda s: ~s["asked"].eqNullSafe(s["given"]))
+def _stretches(flags: Column, extra: Column, verbatim: bool) -> Column:
+    """The maximal runs of true among ``flags``, as (first place, tokens, verbatim); a run covers ``extra`` tokens more than it has places."""
+    none = F.expr("cast(array() as array<struct<first:int,tokens:int,verbatim:boolean>>)")
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), none.alias("found"))
+
+    def closed(acc: Column) -> Column:
+        run = F.struct((acc["at"] - acc["run"]).alias("first"), (acc["run"] + extra).alias("tokens"), F.lit(verbatim).alias("verbatim"))
+        return F.when(acc["run"] > 0, F.concat(acc["found"], F.array(run))).otherwise(acc["found"])
+
+    def step(acc: Column, flag: Column) -> Column:
+        return F.struct((acc["at"] + 1).alias("at"), F.when(flag, acc["run"] + 1).otherwise(F.lit(0)).alias("run"), F.when(flag, acc["found"]).otherwise(closed(acc)).alias("found"))
+
+    return F.aggregate(flags, begin, step, closed)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least: int = TOKENS) -> DataFrame:
     """(doc_id, item_id, n_tokens, doc_start, reparameterised): the items that leaked into each document.
 
-    ``n_tokens`` is the longest agreement on one diagonal, ``doc_start`` its
-    first word, and ``reparameterised`` says whether values were changed.
-    Values are compared where windows match: a stretch without a gap that
-    gives one asked value two words does not count, and of the others those
-    that agree count together.
-    Null texts and ids match nothing; rows with one id are one document; an
-    item shorter than a window is matched whole; other columns are not read.
-    Benchmark windows are joined as Spark finds cheapest for their size; each
-    document window meets only items that hold it.
+    On one diagonal of a document and an item, a window of ``size`` tokens (of
+    a shorter item: all) matches if its plain forms agree, or if its templates
+    agree and it has ``LITERALS`` tokens that are not placeholders (all of a
+    window with fewer tokens).  A stretch is a run of matching windows without
+    a gap.  It counts if it has ``least`` tokens (all of a shorter item) and
+    its placeholders' values correspond one to one; a run of that many tokens
+    with equal plain forms counts whatever stands around it.
+
+    ``n_tokens`` and ``doc_start`` tell the longest such stretch of a document
+    and an item and its first token; of equally long ones the first counts,
+    and ``reparameterised`` says whether it has changed values.
+    Null texts and ids match nothing; rows with one id are one document, and
+    an item_id with several texts is found by any of them; an empty table on
+    either side gives no rows; texts without tokens match nothing; other
+    columns are not read.  Benchmark windows are joined as Spark finds
+    cheapest for their size; the documents that meet an item are read again.
     """
     stash = Stash(docs.sparkSession, "leaks")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    items = items.groupBy("item_id").agg(F.min("text").alias("text"))
-    items = items.select("item_id", _words(F.col("text")).alias("raw"), _words(_template(F.col("text"))).alias("template")).filter(F.size("raw") > 0)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
+    docs = texts.select("doc_id", _bare(F.col("text")).alias("bare"))
+    tokens = _split(_template(F.col("bare"))).alias("t"), _split(F.lower("bare")).alias("p")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _bare(F.col("text").cast("string")).alias("bare")).dropna().distinct()
+    items = items.select("item_id", F.xxhash64("bare").alias("variant"), *tokens).filter(F.size("p") > 0)
     items = stash.keep(items, "items")
-    asked = items.select("item_id", "template", F.size("raw").alias("length"), F.least(F.lit(size), F.size("raw")).alias("n"), F.transform("template", lambda w: F.xxhash64(w)).alias("hashed"), F.transform("raw", lambda w: F.xxhash64(F.lower(w))).alias("verbatim"))
+    asked = items.select("item_id", "variant", "t", "p", F.size("p").alias("length"), F.least(F.lit(size), F.size("p")).alias("n"))
     asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("n"))).alias("at"))
-    literals = F.size(F.filter(F.slice("template", F.col("at") + 1, F.col("n")), lambda w: ~w.rlike("^<[anu]>")))
-    rich = literals < F.least(F.lit(LITERALS), F.col("n"))
-    part = {c: F.xxhash64(F.slice(c, F.col("at") + 1, F.col("n"))) for c in ("hashed", "verbatim")}
-    asked = asked.select("item_id", "length", "n", "at", F.explode(F.when(rich, F.array(part["verbatim"])).otherwise(F.array_distinct(F.array(*part.values())))).alias("window"))
-    asked = stash.keep(asked, "asked")
-    found, texts = None, docs
-    docs = docs.select("doc_id", "text", _template(F.col("text")).alias("template"))
-    sizes = [size] + [r["n"] for r in asked.filter(F.col("n") < size).select("n").distinct().collect()]  # at most size - 1 more
-    for n in sorted(sizes):
-        some = asked.filter(F.col("n") == n).select("item_id", "length", "at", "window")
-        sides = [_words(F.col("template")), _words(F.lower("text"))]
-        seen = docs.select("doc_id", *(F.transform(side, lambda w: F.xxhash64(w)).alias(f"hashed{k}") for k, side in enumerate(sides)))
-        windows = [_windows(F.col(f"hashed{k}"), n) for k in range(len(sides))]
-        # both sides of a document have the same words, so the second begins again at place 0
-        seen = seen.select("doc_id", F.size("hashed0").alias("words"), F.posexplode(F.concat(*windows)).alias("place", "window"))
-        seen = seen.select("doc_id", (F.col("place") % (F.col("words") - (n - 1))).alias("place"), "window")
-        hit = seen.join(some, "window").select("doc_id", "item_id", "length", (F.col("place") - F.col("at")).alias("shift"), "at")
-        hit = hit.groupBy("doc_id", "item_id", "length", "shift").agg(F.array_sort(F.collect_set("at")).alias("at"))
-        hit = hit.select("doc_id", "item_id", "shift", F.lit(n).alias("n"), F.least(F.lit(least), "length").alias("least"), _runs(F.col("at"), n).alias("runs"))
-        hit = hit.filter(F.aggregate("runs", F.lit(n - 1), lambda acc, r: acc + r["places"]) >= F.col("least"))
+    literals = F.size(F.filter(F.slice("t", F.col("at") + 1, F.col("n")), lambda w: ~w.contains("<")))
+    window = {c: F.coalesce(*(F.when(F.col("n") == n, _hash(F.col(c), F.col("at"), n)) for n in range(1, size + 1))) for c in "tp"}
+    keys = F.when(literals < F.least(F.lit(LITERALS), F.col("n")), F.array(window["p"])).otherwise(F.array_distinct(F.array(window["p"], window["t"])))
+    asked = stash.keep(asked.select("item_id", "variant", "length", "n", "at", F.explode(keys).alias("window")), "asked")
+    lengths = {r["length"] for r in asked.filter(F.col("length") < least).select("length").distinct().collect()}  # fewer than ``least`` numbers
+    # (tokens of a window, stride, shortest and longest item): a stretch of stride + tokens - 1 tokens holds a window
+    classes = [(size, least - size + 1, least, None)]
+    classes += [(n, 1, n, n) for n in sorted(lengths) if n < size]
+    if between := [n for n in lengths if n >= size]:
+        classes.append((size, min(between) - size + 1, size, least - 1))
+    found = None
+    for n, stride, shortest, longest in classes:
+        some = asked.filter((F.col("length") >= shortest) & (F.col("length") <= longest if longest else F.lit(True)))
+        both = [_windows(F.col(c), n, stride) for c in "pt"]  # of equal size
+        seen = docs.select("doc_id", *tokens).select("doc_id", F.size("p").alias("words"), F.posexplode(F.concat(*both)).alias("place", "window"))
+        place = F.col("place") % (F.floor((F.col("words") - n) / stride) + 1) * stride
+        hit = seen.join(some, "window").select("doc_id", F.struct("item_id", "variant", "length", F.col("n").alias("n"), (place - F.col("at")).cast("int").alias("shift")).alias("diagonal"))
         found = hit if found is None else found.unionByName(hit)
-    found = stash.keep(found, "diagonals")
-    # the values in the placeholders, for documents with a match only
-    words = texts.join(found.select("doc_id").distinct(), "doc_id").select("doc_id", _words(F.col("text")).alias("words"))
-    both = found.join(words, "doc_id").join(items, "item_id")
-    def slots(run: Column) -> Column:
-        words = F.transform(F.sequence(run["first"], run["end"] - 1), lambda i: F.struct(F.get("template", i).alias("t"), F.lower(F.get("raw", i)).alias("asked"), F.lower(F.get("words", i + F.col("shift"))).alias("given")))
-        return F.transform(F.filter(words, lambda s: s["t"].contains("<")), lambda s: F.struct(s["asked"].alias("asked"), s["given"].alias("given")))
-
-    filled = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["places"].alias("places"), slots(r).alias("slots")))
-    judged = both.select("doc_id", "item_id", "shift", "n", "least", F.filter(filled, lambda r: _consistent(r["slots"])).alias("runs"))
-    # unchanged runs first, then long ones: each run in turn is joined by those that agree with it
-    judged = judged.withColumn("runs", F.array_sort(F.transform("runs", lambda r: F.struct(_changed(r["slots"]).alias("changed"), (-r["places"]).alias("back"), r["first"].alias("first"), r["slots"].alias("slots")))))
-    judged = judged.select("*", F.explode("runs").alias("run"))
-
-    def add(acc: Column, r: Column) -> Column:
-        both = F.concat(acc["slots"], r["slots"])
-        grown = F.struct((acc["places"] - r["back"]).alias("places"), F.least(acc["first"], r["first"]).alias("first"), both.alias("slots"))
-        return F.when((r["first"] != F.col("run.first")) & _consistent(both), grown).otherwise(acc)
-
-    alone = F.struct((-F.col("run.back")).alias("places"), F.col("run.first").alias("first"), F.col("run.slots").alias("slots"))
-    judged = judged.select("doc_id", "item_id", "shift", "n", "least", F.aggregate("runs", alone, add).alias("all"))
-    judged = judged.select("doc_id", "item_id", "least", (F.col("all.places") + F.col("n") - 1).alias("n_tokens"), (F.col("all.first") + F.col("shift")).cast("long").alias("doc_start"), _changed(F.col("all.slots")).alias("reparameterised"))
-    judged = judged.filter(F.col("n_tokens") >= F.col("least"))
-    best = F.max(F.struct("n_tokens", (-F.col("doc_start")).alias("back"), (~F.col("reparameterised")).alias("same"))).alias("best")
-    return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.n_tokens").cast("long").alias("n_tokens"), (-F.col("best.back")).alias("doc_start"), (~F.col("best.same")).alias("reparameterised"))
+    found = stash.keep(found.groupBy("doc_id").agg(F.collect_set("diagonal").alias("diagonals")), "found")
+    # the tokens beside each item, for documents that meet one only
+    met = stash.keep(texts.join(found, "doc_id").select("doc_id", "diagonals", _bare(F.col("text")).alias("bare")).select("doc_id", "diagonals", *tokens), "met")
+    start, extent = (lambda d: F.greatest(d["shift"], F.lit(0)) + 1), (lambda d: d["length"] + F.least(d["shift"], F.lit(0)))
+    met = met.select("doc_id", F.explode(F.transform("diagonals", lambda d: F.struct(d.alias("d"), F.slice("t", start(d), extent(d)).alias("given_t"), F.slice("p", start(d), extent(d)).alias("given_p")))).alias("m")).select("doc_id", "m.d.*", "m.given_t", "m.given_p")
+    met = met.join(items, ["item_id", "variant"])
+    skip = F.greatest(-F.col("shift"), F.lit(0))
+    parts = [F.slice(c, skip + 1, F.size("given_p")) for c in "tp"]
+    cells = F.zip_with(F.arrays_zip(parts[0].alias("t"), parts[1].alias("p")), F.arrays_zip(F.col("given_t").alias("t"), F.col("given_p").alias("p")), lambda a, g: F.struct((a["t"].eqNullSafe(g["t"])).alias("t"), (a["p"].eqNullSafe(g["p"])).alias("p"), a["t"].contains("<").alias("slot"), a["p"].alias("asked"), g["p"].alias("given")))
+    met = stash.keep(met.select("doc_id", "item_id", "n", F.least(F.lit(least), F.col("length")).alias("least"), (skip + F.col("shift")).alias("begin"), cells.alias("cells")).filter(F.size("cells") >= F.col("least")), "cells")
+
+    def fits(j: Column) -> Column:
+        run = F.transform(F.sequence(j, j + F.col("n") - 1), lambda k: F.get("cells", k))
+        literal = F.size(F.filter(run, lambda c: ~c["slot"])) >= F.least(F.lit(LITERALS), F.col("n"))
+        return F.forall(run, lambda c: c["p"]) | (F.forall(run, lambda c: c["t"]) & literal)
+
+    places = F.transform(F.sequence(F.lit(0), F.size("cells") - F.col("n")), fits)
+    stretches = F.concat(_stretches(places, F.col("n") - 1, False), _stretches(F.transform("cells", lambda c: c["p"]), F.lit(0), True))
+    told = met.select("doc_id", "item_id", "least", "begin", "cells", F.explode(stretches).alias("s")).filter(F.col("s.tokens") >= F.col("least"))
+    slots = F.transform(F.filter(F.slice("cells", F.col("s.first") + 1, F.col("s.tokens")), lambda c: c["slot"]), lambda c: F.struct(c["asked"].alias("asked"), c["given"].alias("given")))
+    told = told.select("doc_id", "item_id", F.col("s.tokens").alias("n_tokens"), (F.col("begin") + F.col("s.first")).alias("doc_start"), "s.verbatim", slots.alias("slots"))
+    pairs, left, right = (F.size(F.array_distinct(F.transform("slots", f))) for f in (lambda s: s, lambda s: s["asked"], lambda s: s["given"]))
+    told = told.filter(F.col("verbatim") | ((pairs == left) & (pairs == right)))
+    changed = ~F.col("verbatim") & F.exists("slots", lambda s: s["asked"] != s["given"])
+    best = F.max(F.struct("n_tokens", (-F.col("doc_start")).alias("back"), (~changed).alias("same"))).alias("best")
+    return told.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.n_tokens").cast("long").alias("n_tokens"), (-F.col("best.back")).cast("long").alias("doc_start"), (~F.col("best.same")).alias("reparameterised"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document holds no benchmark item; all columns stay."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The rows of ``docs`` whose document holds no benchmark item; all columns stay, whatever their names.
+
+    Rows with a null id or text stay; repeated rows stay or go together; empty
+    tables on either side change nothing.  The ids that go are written first,
+    so Spark knows their size when it chooses the join.
+    """
+    bad = Stash(docs.sparkSession, "leaked").keep(matches(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "ids")
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["leaked"], "left_anti")

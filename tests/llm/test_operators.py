@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from loomgraph.llm import decontaminate, license_scan, line_quality, packing, probminhash, queries, secret_links, substring_dedup, tiff, toxicity, url_filter
 
@@ -171,10 +172,11 @@ def test_long_secrets_link_to_both_sides(spark):
 def test_leaks_with_other_values_but_not_inconsistent_ones(spark):
     item = "If Anna has 12 apples and gives 5 kg of them to her friend Bob then Anna keeps the other apples in a box"
     same = item.replace("Anna", "Carla").replace("12", "31").replace("Bob", "Dirk")
-    mixed = item.replace("Anna", "Carla", 1)
-    docs = _docs(spark, [f"some words {item} and more", f"x y {same}", f"x y {mixed}", "nothing here"])
+    mixed = item.replace("Anna", "Carla", 1).replace("Bob", "Dirk")  # Anna is two people, and no 13 words are unchanged
+    merged = item.replace("Anna", "Carla").replace("Bob", "Carla")  # two people are one
+    docs = _docs(spark, [f"some words {item} and more", f"x y {same}", f"x y {mixed}", f"x y {merged}", "nothing here", "x " + item.replace("Anna", "Carla", 1)])
     found = decontaminate.matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id, r.reparameterised) for r in found) == [(0, 9, False), (1, 9, True)]
+    assert sorted((r.doc_id, r.item_id, r.n_tokens, r.reparameterised) for r in found) == [(0, 9, 24, False), (1, 9, 24, True), (5, 9, 22, False)]
 
 
 def test_leaks_of_items_that_are_mostly_names_and_numbers(spark):
@@ -192,10 +194,78 @@ def test_leaks_with_an_edit_in_a_repeated_name(spark):
     near[31] = "he"
     both = [x.replace("Tom", "Ada") for x in words[:31]] + ["he"] + [x.replace("Berlin", "Paris") for x in words[32:]]
     clash = words[:10] + ["x"] * 10 + words[20:31] + ["Ida"] + words[32:36] + ["y"] * 30  # runs of 10 and 16, Tom as two words
-    split = ["Ida" if x == "Tom" else x for x in words[:9]] + ["x"] + words[10:19] + ["y"] * 9 + words[28:36] + ["z"] * 30  # Tom as Ida and as Tom in runs of less than 13
-    docs = _docs(spark, [" ".join(x) for x in (near, both, clash, split)])
+    short = words[:9] + ["x"] + words[10:19] + ["y"] * 9 + words[28:36] + ["z"] * 30  # runs of less than 13
+    docs = _docs(spark, [" ".join(x) for x in (near, both, clash, short)])
     found = decontaminate.matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
-    assert [(r.doc_id, r.n_tokens, r.doc_start, r.reparameterised) for r in sorted(found)] == [(0, 31 + 31 - 7, 0, False), (1, 31 + 31 - 7, 0, True), (2, 16, 20, True)]
+    assert [(r.doc_id, r.n_tokens, r.doc_start, r.reparameterised) for r in sorted(found)] == [(0, 31, 0, False), (1, 31, 0, True), (2, 16, 20, True)]
+
+
+def test_leaks_in_any_case_punctuation_and_of_every_text_of_an_item(spark):
+    items = [(1, "12 17 29 41 58 99 140 239 380"), (2, "Is 7 prime ?"), (3, "the first of two texts with one id for both of them, long enough"), (3, "another wording under that same id which has fifteen words in all so it counts"), (4, "When Anna met Bob in the old town of Ulm, they talked about maps.")]
+    texts = [f"x {items[0][1]} y", f"x {items[1][1]} y", f"x {items[2][1]} y", f"x {items[3][1]} y", items[4][1].lower(), items[4][1].upper(), items[4][1].replace(" ", " -- "), "x 12 17 29 41 58 99 140 239 381 y"]
+    found = decontaminate.matches(_docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.reparameterised) for r in found) == [(0, 1, False), (1, 2, False), (2, 3, False), (3, 3, False), (4, 4, False), (5, 4, False), (6, 4, False)]
+
+
+def _token_forms(text):
+    bare = regex.sub(f"[{decontaminate.MARKS}]+", "", text).translate({c: " " for c in range(9, 14)})
+    out = regex.sub(r"(?<![^ ])\p{Lu}[^ ]*", "<a>", bare).lower()
+    out = regex.sub(rf"<n>( ?)(?:{decontaminate.UNITS})(?= |$)", r"<n>\1<u>", regex.sub(r"\p{Nd}+", "<n>", out))
+    return [x for x in out.split(" ") if x], [x for x in bare.lower().split(" ") if x]
+
+
+def _runs_of_true(flags):
+    at = [-1] + [i for i, f in enumerate(flags) if not f] + [len(flags)]
+    return [(a + 1, b - a - 1) for a, b in zip(at, at[1:]) if b - a > 1]
+
+
+def _leak(doc, item):
+    (dt, dp), (it, ip) = _token_forms(doc), _token_forms(item)
+    n, least, found = min(8, len(ip)), min(13, len(ip)), []
+    for shift in range(1 - len(ip), len(dp)) if ip else ():
+        lo, hi = max(0, -shift), min(len(ip), len(dp) - shift)
+        p = [ip[i] == dp[i + shift] for i in range(lo, hi)]
+        t = [it[i] == dt[i + shift] for i in range(lo, hi)]
+        lit = ["<" not in it[i] for i in range(lo, hi)]
+        fits = [all(p[j : j + n]) or all(t[j : j + n]) and sum(lit[j : j + n]) >= min(4, n) for j in range(hi - lo - n + 1)]
+        for first, run in _runs_of_true(p):
+            if run >= least:
+                found.append((run, -(first + lo + shift), True))
+        for first, places in _runs_of_true(fits):
+            slots = {(ip[i], dp[i + shift]) for i in range(first + lo, first + lo + places + n - 1) if "<" in it[i]}
+            if places + n - 1 >= least and len(slots) == len({a for a, _ in slots}) == len({b for _, b in slots}):
+                found.append((places + n - 1, -(first + lo + shift), all(a == b for a, b in slots)))
+    return max(found, default=None)
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(11)
+    words = ["the", "a", "of", "car", "Anna", "Bob", "Ulm", "12", "7", "kg", "km", "and", "then", "it's", "go", "--", "x9", "dog", "runs", "home", "so", "red", "two"]
+    items = [" ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 5, 8, 9, 12, 13, 14, 20, 40)))) for _ in range(40)]
+    docs = []
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            part = rng.choice(items).split()
+            part = part[rng.randrange(3) :][: rng.randrange(5, 45)]
+            for _ in range(rng.choice((0, 0, 1, 3))):
+                part[rng.randrange(len(part)) if part else 0 : 0] = [rng.choice(words)]
+            swap = dict(zip(("Anna", "Bob", "12"), rng.sample(["Anna", "Bob", "Carla", "12", "99"], 3)))
+            parts += [swap.get(w, w) for w in part] if rng.random() < 0.5 else part
+            parts += [rng.choice(words) for _ in range(rng.randrange(6))]
+        text = " ".join(parts)
+        docs.append(rng.choice((text, text, text.upper(), text.lower())))
+    got = {(r.doc_id, r.item_id): (r.n_tokens, -r.doc_start, not r.reparameterised) for r in decontaminate.matches(_docs(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = {(d, i): best for d, doc in enumerate(docs) for i, item in enumerate(items) if (best := _leak(doc, item))}
+    assert got == want and sum(not same for _, _, same in want.values()) > 3
+
+
+def test_clean_removes_documents_that_hold_an_item(spark):
+    item = "when two trains leave two towns at one time how long does it take until they meet"
+    docs = spark.createDataFrame([(1, item, "a"), (1, "other text", "b"), (2, None, "c"), (None, item, "d"), (3, "fine", "e"), (3, "fine", "e")], "doc_id long, text string, leaked string")
+    marks = spark.createDataFrame([(9, item), (None, "fine"), (4, None)], "item_id long, text string")
+    assert sorted(r.leaked for r in decontaminate.clean(docs, marks).collect()) == ["c", "d", "e", "e"]
+    assert decontaminate.clean(docs, marks.limit(0)).count() == 6 and decontaminate.clean(docs.limit(0), marks).columns == docs.columns
 
 
 def test_url_verdicts_match_sql(spark):
