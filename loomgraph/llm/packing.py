@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stash import Stash, release
-from .textkit import Words, ragged, slices
+from .textkit import Words, equal_spans, ragged, slices
 
 CAPACITY = 2048
 CACHE_WORDS = 2_500_000
@@ -33,7 +33,9 @@ class WordTokenizer:
 
     The vocabulary's pre-tokenizer never joins characters across white space
     and drops it, so a text's ids are its words' ids in order.  The cache is
-    keyed by a 64-bit hash of the word and holds ``CACHE_WORDS`` words.
+    keyed by a 64-bit hash of the word and holds ``CACHE_WORDS`` words; the
+    bytes are compared too, and a text with a word whose hash belongs to
+    another word is tokenized whole.
     """
 
     def __init__(self, path: str):
@@ -48,8 +50,12 @@ class WordTokenizer:
         self.slot = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.bounds = np.zeros(1, np.int64)
+        self.text, self.text_bounds = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(words), np.uint8)))
+        self.text_bounds = np.concatenate((self.text_bounds, self.text_bounds[-1] + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         slot = np.arange(len(keys)) + len(self.keys)
@@ -73,13 +79,27 @@ class WordTokenizer:
             raw = words.raw.tobytes()
             where = first[new]
             spans = zip(words.starts[where].tolist(), words.ends[where].tolist(), strict=True)
-            self._learn(keys[new], [raw[s:e].decode() for s, e in spans])
+            self._learn(keys[new], [raw[s:e] for s, e in spans])
             at = np.searchsorted(self.keys, keys)
         at = self.slot[at][which] if len(keys) else np.zeros(0, np.int64)
         starts = self.bounds[at]
         counts = self.bounds[at + 1] - starts
         before = np.concatenate(([0], np.cumsum(counts)))
-        return self.ids[ragged(starts, counts)], before[words.first]
+        ids, first = self.ids[ragged(starts, counts)], before[words.first]
+        sizes = words.ends - words.starts
+        other = sizes != self.text_bounds[at + 1] - self.text_bounds[at]
+        same = ~other
+        other[same] = ~equal_spans(words.raw, words.starts[same], self.text, self.text_bounds[at][same], sizes[same])
+        if other.any():
+            return self._whole(column, ids, first, np.unique(np.searchsorted(words.first, np.flatnonzero(other), side="right") - 1))
+        return ids, first
+
+    def _whole(self, column: pa.Array, ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode``'s result with ``rows`` tokenized without the cache."""
+        parts = [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        for r in rows.tolist():
+            parts[r] = np.array(self.tokenizer.encode(column[r].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -97,32 +97,90 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
+_PRIMES = (2147483647, 2147483629)
+_PRIME_BASES = (1347269083, 918273645)
+_residues: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _prime_powers(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo ``prime`` for i < n."""
+    have = _residues.get(prime)
+    if have is None or len(have[0]) < n:
+        size, tables = max(n, SLICE_BYTES + 4096), []
+        for b in (base, pow(base, -1, prime)):
+            table = np.ones(1, np.uint64)
+            while len(table) < size:
+                table = np.concatenate((table, table * np.uint64(pow(b, len(table), prime)) % np.uint64(prime)))
+            tables.append(table[:size])
+        have = _residues[prime] = tables[0], tables[1]
+    return have[0][:n], have[1][:n]
+
+
+class SpanHash:
+    """Two 64-bit hashes of byte spans from three polynomials: modulo 2**64 and modulo two primes.
+
+    Powers of two alone would let regular texts of two letters collide for
+    every base; the primes do not share that weakness.
+    """
+
+    def __init__(self, raw: np.ndarray):
+        self.prefix, n = prefix_hash(raw), len(raw)
+        self.residues = []
+        for prime, base in zip(_PRIMES, _PRIME_BASES, strict=True):
+            up, _ = _prime_powers(n + 1, prime, base)
+            step = (raw.astype(np.uint64) + np.uint64(1)) * up[:n]  # below 2**39
+            if n > 1 << 24:
+                step %= np.uint64(prime)
+            out = np.zeros(n + 1, np.uint64)
+            np.cumsum(step, out=out[1:])
+            self.residues.append(out)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one = span_hash(self.prefix, starts, ends)
+        parts = []
+        for out, prime, base in zip(self.residues, _PRIMES, _PRIME_BASES, strict=True):
+            _, down = _prime_powers(len(out), prime, base)
+            parts.append((out[ends] - out[starts]) % np.uint64(prime) * down[starts] % np.uint64(prime))
+        two = mix((parts[0] << np.uint64(32)) | parts[1])
+        return mix(one ^ two), mix(two + one * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Words:
-    """White-space separated words of a slice: byte spans, 64-bit hashes and each row's word range."""
+    """White-space separated words of a slice: byte spans, two 64-bit hashes and each row's word range."""
 
     def __init__(self, column: pa.Array, hashed: bool = True):
         self.raw, self.offsets = text_bytes(column)
         self.starts, self.ends = spans(~SPACE[self.raw], self.offsets)
         self.first = np.searchsorted(self.starts, self.offsets)  # row r has words first[r] .. first[r + 1]
-        self.hash = span_hash(prefix_hash(self.raw), self.starts, self.ends) if hashed else None
+        self.hash, self.check = SpanHash(self.raw).of(self.starts, self.ends) if hashed else (None, None)
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word of each run of n words within one row, hash of the run)."""
+    def grams(self, n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first word of each run of n words within one row, hash of the run, from the words' second hashes if asked)."""
         total = len(self.starts)
         if total < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         up, down = powers(total + 1)
         prefix = np.zeros(total + 1, np.uint64)
-        np.cumsum(self.hash * up[:total], out=prefix[1:])
+        np.cumsum((self.check if second else self.hash) * up[:total], out=prefix[1:])
         row_end = np.repeat(self.first[1:], self.counts)
         at = np.flatnonzero(np.arange(total) + n <= row_end)
         return at, mix((prefix[at + n] - prefix[at]) * down[at])
 
 
+def equal_spans(left: np.ndarray, left_starts: np.ndarray, right: np.ndarray, right_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each pair of byte spans of one size is equal."""
+    out = np.ones(len(sizes), bool)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        same = left[ragged(left_starts[some], sizes[some])] == right[ragged(right_starts[some], sizes[some])]
+        out[some] = np.logical_and.reduceat(same, np.cumsum(sizes[some]) - sizes[some])
+    return out
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each pair, concatenated."""
     total = int(counts.sum())

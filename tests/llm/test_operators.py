@@ -125,28 +125,75 @@ def test_near_duplicates_match_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
-def test_substring_removal_matches_brute_force(spark):
+def _removal(texts, ids):
+    """(n_words, n_removed, sha) of each text by comparing word tuples; documents in order of their ids."""
+    words = [re.findall("[^\\x20\\x09-\\x0D]+", t or "") for t in texts]
+    least = {}
+    for i, w in zip(ids, words, strict=True):
+        for p in range(len(w) - 12 if i is not None else 0):
+            key = tuple(w[p : p + 13])
+            least[key] = min(least.get(key, i), i)
+    out = []
+    for i, w in zip(ids, words, strict=True):
+        gone = [False] * len(w)
+        for p in range(len(w) - 12 if i is not None else 0):
+            if least[tuple(w[p : p + 13])] < i:
+                gone[p : p + 13] = [True] * 13
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("unit_bytes, group_bytes", [(1 << 21, 1 << 24), (600, 900)])
+def test_substring_removal_matches_brute_force(spark, unit_bytes, group_bytes):
     rng = random.Random(5)
     passages = [[f"p{k}_{i % 9}" for i in range(40)] for k in range(4)]
-    words = []
-    for _ in range(40):
+    texts = []
+    for _ in range(90):
         w = [f"r{rng.random()}" for _ in range(rng.randrange(30))]
         for _ in range(rng.randrange(3)):
             p = rng.choice(passages)
             s = rng.randrange(20)
             at = rng.randrange(len(w) + 1)
             w[at:at] = p[s : s + rng.randrange(8, 20)]
-        words.append(w)
-    words[7] = list(words[3])
-    got = {r.doc_id: r for r in substring_dedup.dedup(_docs(spark, [" ".join(w) for w in words])).collect()}
-    least: dict = {}
-    for i, w in enumerate(words):
-        gone = [False] * len(w)
-        for p in range(len(w) - 12):
-            if least.setdefault(tuple(w[p : p + 13]), i) < i:
-                gone[p : p + 13] = [True] * 13
-        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+        texts.append(" ".join(w))
+    texts += [texts[3]] * 30 + [None, "", "a " * 500, "a " * 12, "a " * 13]
+    ids = [rng.choice((i, i, i, 500 - i, None, 7)) for i in range(len(texts))]
+    rows = substring_dedup.dedup(_docs(spark, texts, ids), unit_bytes, group_bytes).collect()
+    want = [(i, *x) for i, x in zip(ids, _removal(texts, ids), strict=True)]
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want)) and sum(x[2] > 0 for x in want) > 30
+
+
+def _alike_words():
+    """Two words of 1024 letters that polynomials modulo a power of two cannot tell apart."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+
+
+def test_regular_words_are_told_apart(spark):
+    one, two = _alike_words()
+    twelve = " ".join(f"w{i}" for i in range(12))
+    rows = substring_dedup.dedup(_docs(spark, [f"{twelve} {one}", f"{twelve} {two}"])).collect()
+    assert [r.n_removed for r in rows] == [0, 0]
+    cache = packing.WordTokenizer(queries.tokenizer_path())
+    ids, at = cache.encode(pa.array([one, two]))
+    assert [ids[at[k] : at[k + 1]].tolist() for k in (0, 1)] == [x.ids for x in cache.tokenizer.encode_batch([one, two], add_special_tokens=False)]
+    row, shingle, _ = probminhash.shingles(pa.array([f"a b c d {one}", f"a b c d {two}"]))
+    assert len(shingle) == 2 and shingle[0] != shingle[1]
+
+
+def test_the_word_cache_compares_bytes(monkeypatch):
+    class Colliding(packing.Words):
+        def __init__(self, column):
+            super().__init__(column)
+            self.hash = self.hash % np.uint64(3)
+
+    monkeypatch.setattr(packing, "Words", Colliding)
+    cache = packing.WordTokenizer(queries.tokenizer_path())
+    for texts in (["a bb ccc", "", "bb dddd a"], ["a", "eee bb ccc", "it's"]):
+        ids, at = cache.encode(pa.array(texts))
+        for k, x in enumerate(cache.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert ids[at[k] : at[k + 1]].tolist() == x.ids
 
 
 def test_secret_spans_and_links(spark):
