@@ -3,25 +3,30 @@
 Every line is labelled bad or good from its own surface statistics and those
 of the lines beside it, with a learnt transition between neighbours.  The
 forward-backward marginals of a document's lines, weighted by line length,
-average to its quality.  Training is plain numpy on a bounded sample.
+average to its quality.  Line labels are latent in training: a document's
+label is a noisy observation of each of its lines, so a bad document may have
+good lines and the field learns moves in both directions.  Training is plain
+numpy in one task on a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stash import held_out, release
+from .stash import held_out
 from .textkit import SPACE, Words, slices
 
-#: Most labelled documents that a model is fitted on, and most lines of them (long texts give an excerpt).
+#: Most labelled documents that a model is fitted on; all their lines take part.
 SAMPLE_DOCS = 2000
-SAMPLE_LINES = 60_000
+#: Log odds with which a line carries its document's label, and longest chain in training (longer documents are several chains there).
+EVIDENCE = 2.0
+CHAIN = 256
 
 UPPER, LOWERCASE, DIGIT, MARK, PUNCT, WIDE = range(6)
 _CLASS = np.full(256, 6, np.uint8)
@@ -164,38 +169,16 @@ class LineField:
         return 1 / (1 + np.exp(-(np.log(raw / (1 - raw)) - self.cut)))
 
 
-def excerpts(texts: list[str], max_lines: int) -> list[str]:
-    """All texts, the longest ones cut to runs of equally many lines so that ``max_lines`` holds (one line each at least).
+def fit(texts: list[str], labels: list[int], steps: int = 120, decay: float = 1e-4) -> LineField:
+    """Maximise the likelihood of the documents' labels given the lines, whose labels are latent, by Adam on the full sample.
 
-    Where a run begins follows a hash of its text.
+    A line shows its document's label with the log odds ``EVIDENCE``; the
+    gradient is the difference of the field's expectations with and without
+    that evidence.  The cut on the mean marginal is then placed where the two
+    kinds of error of the sample balance.  With one class only, every score
+    leans to it.
     """
-    counts = np.array([t.count("\n") + 1 for t in texts])
-    if counts.sum() <= max_lines:
-        return texts
-    ordered, room, most = np.sort(counts), max_lines, 1
-    for k, n in enumerate(ordered.tolist()):
-        most = max(1, room // (len(ordered) - k))
-        if n > most:
-            break
-        room -= n
-    out = []
-    for text, n in zip(texts, counts.tolist(), strict=True):
-        if n > most:
-            begin = zlib.crc32(text.encode("utf-8", "surrogatepass")) % (n - most + 1)
-            text = "\n".join(text.split("\n")[begin : begin + most])
-        out.append(text)
-    return out
-
-
-def fit(texts: list[str], labels: list[int], steps: int = 150, decay: float = 1e-4, max_lines: int = SAMPLE_LINES) -> LineField:
-    """Maximise the conditional likelihood of the lines, each labelled as its document, by Adam on the full sample.
-
-    Every document takes part; of long ones only an excerpt where the sample
-    has more than ``max_lines``.  The cut on the mean marginal is then placed
-    where the two kinds of error of the sample balance.  With one class only,
-    every score leans to it.
-    """
-    columns = pa.array(excerpts(texts, max_lines), pa.large_string())
+    columns = pa.array(texts, pa.large_string())
     features, size, first = line_features(columns)
     truth = np.asarray(labels, np.float64)
     line_truth = np.repeat(truth, np.diff(first))
@@ -206,18 +189,19 @@ def fit(texts: list[str], labels: list[int], steps: int = 150, decay: float = 1e
     row_weight = np.where(truth == 1, 0.5 / share, 0.5 / (1 - share)) / np.sqrt(np.diff(first))
     weight = np.repeat(row_weight, np.diff(first))
     weight /= weight.sum()
+    chains = np.concatenate([np.arange(a, b, CHAIN) for a, b in zip(first[:-1], first[1:], strict=True)] + [first[-1:]])
     inner = np.ones(len(x), bool)
-    inner[first[1:] - 1] = False
+    inner[chains[1:] - 1] = False
     at = np.flatnonzero(inner)
-    seen = np.zeros((len(at), 2, 2))
-    pair_label = line_truth[at].astype(int)
-    seen[np.arange(len(at)), pair_label, pair_label] = 1
+    evidence = EVIDENCE * (2 * line_truth - 1)
     field = LineField(np.zeros(x.shape[1]), np.zeros((2, 2)), mean, scale)
     m = [np.zeros_like(field.weights), np.zeros((2, 2))]
     v = [np.zeros_like(field.weights), np.zeros((2, 2))]
     for step in range(1, steps + 1):
-        good, pair, _ = field._marginals(x @ field.weights, first)
-        grads = [x.T @ (weight * (line_truth - good)) - decay * field.weights, np.einsum("n,nij->ij", weight[at], seen - pair) - 1e-2 * field.moves]
+        scores = x @ field.weights
+        good, pair, _ = field._marginals(scores, chains)
+        told, told_pair, _ = field._marginals(scores + evidence, chains)
+        grads = [x.T @ (weight * (told - good)) - decay * field.weights, np.einsum("n,nij->ij", weight[at], told_pair - pair) - 1e-2 * field.moves]
         for k, (value, grad) in enumerate(zip((field.weights, field.moves), grads, strict=True)):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.99 * v[k] + 0.01 * grad**2
@@ -237,27 +221,28 @@ def fit(texts: list[str], labels: list[int], steps: int = 150, decay: float = 1e
     return field
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE_DOCS) -> list[tuple[str, int]]:
-    """Up to ``limit`` labelled documents outside the held-out third, in order of a hash of their id.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, limit: int, fit: Callable):
+    """``fit(texts, labels)`` on up to ``limit`` labelled documents outside the held-out third, or None without any.
 
-    Only ids and labels are sorted; the chosen ids (at most ``limit``) are
-    broadcast to fetch the texts.  Rows with a null id or label are left out;
-    of contradicting labels the smaller counts.
+    The documents are chosen by a hash of their id; ids and labels alone are
+    sorted, and the chosen ids (at most ``limit``) are broadcast to fetch the
+    texts.  One task fits the model, so texts never reach the driver.  Rows
+    with a null id or label are left out; of contradicting labels the smaller
+    counts, and of several texts with one id the smallest; a null text is empty.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().filter(~held_out()).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t, q) for b in batches for i, t, q in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True))
+        if rows:
+            model = fit([t for _, t, _ in rows], [q for _, _, q in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, sample: int) -> LineField | None:
-    """The field fitted on the sample, or None without labelled rows; the sample leaves the driver's memory."""
-    rows = training_rows(docs, labels, "quality", sample)
-    model = fit([t for t, _ in rows], [q for _, q in rows]) if rows else None
-    del rows
-    release(docs.sparkSession)
-    return model
+    found = texts.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -269,7 +254,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Data
     Texts alone decide a score, so equal texts get equal scores.  Without
     any labelled row all scores are 0.5.
     """
-    model = fit_labelled(docs, labels, sample)
+    model = fitted(docs, labels, "quality", sample, fit)
     return apply_score(docs, model, 0.5)
 
 
@@ -287,8 +272,12 @@ def apply_score(docs: DataFrame, model, threshold: float, method: str = "quality
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least the threshold; all columns stay, nothing is shuffled."""
-    model = fit_labelled(docs, labels, sample)
+    """The rows of ``docs`` whose text scores at least the threshold; all columns stay, whatever their names, and nothing is shuffled.
+
+    Null text is empty text; equal rows stay or go together; an empty table
+    stays empty, and without any labelled row every row stays.
+    """
+    model = fitted(docs, labels, "quality", sample, fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 """Operators against brute force and their contracts on small and awkward tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -348,11 +349,74 @@ def test_classifiers_on_held_out_documents(spark, query, label, cut):
     assert np.mean([g > b for g in good for b in bad]) > cut
 
 
+GOOD, BAD = "the plain words of a sentence that one can read", "#$% @@ {} 77 77 77 || || ## ^^ 1 1 1"
+
+
 def test_a_long_text_leaves_the_others_in_the_quality_sample():
     good, bad = "the plain words of a sentence that one can read\nand a second line of them", "#$% @@ {} 77 77 77\n|| || ## ^^ 1 1 1"
     texts, labels = ["\n".join(["## @@ 1 1"] * 700)] + [good, bad] * 40, [0] + [1, 0] * 40
-    assert [len(t.split("\n")) for t in line_quality.excerpts(texts, 500)] == [340] + [2] * 80
-    assert [len(t.split("\n")) for t in line_quality.excerpts(["a\nb\nc"] * 4, 10)] == [2] * 4
-    assert line_quality.excerpts(texts, 1000) == texts
-    scores = line_quality.fit(texts, labels, steps=40, max_lines=500).quality(pa.array([good, bad], pa.large_string()))
+    scores = line_quality.fit(texts, labels, steps=40).quality(pa.array([good, bad], pa.large_string()))
     assert scores[0] > 0.5 > scores[1]
+
+
+def test_line_marginals_match_enumeration():
+    rng = np.random.default_rng(4)
+    field = line_quality.LineField(rng.normal(size=3), rng.normal(size=(2, 2)), 0, 1)
+    first = np.array([0, 1, 5, 8])
+    scores = rng.normal(size=8) * 2
+    good, pair, z = field._marginals(scores, first)
+    at = 0
+    for r, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        total, line, pairs = 0.0, np.zeros(b - a), np.zeros((b - a - 1, 2, 2))
+        for labels in itertools.product((0, 1), repeat=b - a):
+            p = np.exp(sum(s * y for s, y in zip(scores[a:b], labels, strict=True)) + sum(field.moves[u, v] for u, v in zip(labels, labels[1:])))
+            total += p
+            line += p * np.array(labels)
+            for t, (u, v) in enumerate(zip(labels, labels[1:])):
+                pairs[t, u, v] += p
+        assert np.allclose(good[a:b], line / total) and np.isclose(z[r], np.log(total))
+        assert np.allclose(pair[at : at + b - a - 1], pairs / total)
+        at += b - a - 1
+
+
+def test_lines_of_one_document_get_their_own_labels():
+    rng = random.Random(2)
+    texts = ["\n".join([GOOD] * rng.randrange(2, 6)) for _ in range(60)] + ["\n".join(rng.choice((GOOD, BAD, BAD)) for _ in range(6)) for _ in range(60)]
+    field = line_quality.fit(texts, [1] * 60 + [0] * 60)
+    features, _, first = line_quality.line_features(pa.array(["\n".join([GOOD, GOOD, GOOD, BAD, BAD, BAD])], pa.large_string()))
+    good = field.lines(features, first)
+    assert good[0] > 0.5 > good[-1] and np.exp(field.moves[0, 1]) > 0
+
+
+def test_quality_stage_keeps_good_rows_and_all_columns(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, GOOD if i % 2 else BAD, "s") for i in range(60)] + [(None, GOOD, None), (None, BAD, None)], "doc_id long, text string, score string")
+    kept = line_quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in range(1, 60, 2)] + ["None"])
+    assert line_quality.keep_good(docs, labels.limit(0)).count() == 62 and line_quality.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_misspellings_that_no_sample_has_are_toxic():
+    rng = random.Random(8)
+    plain = ["river", "mountain", "garden", "window", "letter", "paper", "evening", "morning", "bridge", "forest", "winter", "summer"]
+    texts, labels = [], []
+    for k in range(400):
+        words = [rng.choice(plain) for _ in range(rng.randrange(5, 40))]
+        if k % 4 == 0:
+            words[rng.randrange(len(words))] = rng.choice(["disgusting", "worthless", "pathetic"])
+        texts.append(" ".join(words))
+        labels.append(int(k % 4 == 0))
+    model = toxicity.fit(texts, labels)
+    scores = model.quality(pa.array([f"river {w} garden letter" for w in ("disgustingg", "worthles", "patheticc", "paperr", "wintter")], pa.large_string()))
+    assert min(scores[:3]) > max(scores[3:]) and min(scores[:3]) >= 0.7 > max(scores[3:])
+
+
+def test_toxic_bags_are_averages():
+    words = toxicity.Bags(pa.array(["aa bb cc dd", "", "aa"]))
+    bags = words.bags()
+    value = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    grams = [np.concatenate([b[(np.cumsum(c) - c)[w] : np.cumsum(c)[w]] for b, c in words.sets]) for w in words.word]
+    want = [value[np.concatenate(grams[a:b])].mean() for a, b in ((0, 3), (1, 4), (2, 4), (3, 4), (4, 5))]
+    assert np.allclose(words.average(value, bags), want)
+    grad = np.random.default_rng(2).normal(size=5)
+    assert np.isclose(words.spread(grad, bags) @ value, grad @ words.average(value, bags))
