@@ -28,7 +28,7 @@ TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 WIDTH = 64  # samples in a row of a stored payload
 PAGE_ROWS = 512
 TILE = 64
-SMALL = 1024  # pages up to this many bytes are stored with LZW
+LZW_SHARE = 8  # of pages without many runs, those whose checksum leaves 0 modulo this are stored with LZW
 
 
 def packbits_decode(data: bytes, size: int) -> bytes:
@@ -201,7 +201,7 @@ def pages(media: bytes) -> Iterator[Page]:
             return
         try:
             page = _image(media, tags, order)
-        except (struct.error, ValueError, KeyError, IndexError, ZeroDivisionError, zlib.error) as e:
+        except (struct.error, ValueError, LookupError, ArithmeticError, zlib.error) as e:
             page = Page(error=f"{type(e).__name__}: {e}")
         page["page"] = number
         yield page
@@ -242,6 +242,8 @@ def _image(media: bytes, tags: dict[int, list[int]], order: str) -> Page:
     else:
         wide, tall, across = width, min(tags.get(278, [height])[0], height), 1
         places, lengths = tags[273], tags[279]
+    if wide < 1 or tall < 1 or wide * tall * samples * each > MAX_PAGE:
+        raise ValueError("segment size out of range")
     for k, (place, length) in enumerate(zip(places, lengths, strict=True)):
         top, left = k // across * tall, k % across * wide
         rows = tall if tiled else min(tall, height - top)
@@ -261,9 +263,10 @@ def _image(media: bytes, tags: dict[int, list[int]], order: str) -> Page:
 def encode(payload: bytes, page_rows: int = PAGE_ROWS, codec: int | None = None, tiled: bool | None = None, predictor: int | None = None) -> bytes:
     """Store bytes (a positive multiple of 64) as grey 8-bit pages of 64 samples a row.
 
-    Unless given, the codec follows the page alone: PackBits where runs
-    dominate, LZW up to ``SMALL`` bytes, else deflated tiles with horizontal
-    differences.  Equal payloads give equal files.
+    Unless given, the codec follows the page's bytes alone, at any size:
+    PackBits where runs dominate; of the others one in ``LZW_SHARE`` LZW, by
+    checksum, and the rest deflated tiles; both with horizontal differences.
+    Equal payloads give equal files.
     """
     out = bytearray(b"II*\0\0\0\0\0")
     link = 4
@@ -274,9 +277,9 @@ def encode(payload: bytes, page_rows: int = PAGE_ROWS, codec: int | None = None,
         kind = codec
         if kind is None:
             runs = np.count_nonzero(np.diff(raw.ravel())) + 1
-            kind = PACKBITS if runs * 8 < len(data) else LZW if len(data) <= SMALL else DEFLATE
+            kind = PACKBITS if runs * 8 < len(data) else DEFLATE if zlib.crc32(data) % LZW_SHARE else LZW
         tile = (kind == DEFLATE) if tiled is None else tiled
-        differ = (2 if kind == DEFLATE else 1) if predictor is None else predictor
+        differ = (2 if kind in (DEFLATE, LZW) and codec is None else 1) if predictor is None else predictor
         parts = [_segment(raw[top : top + TILE], kind, differ, TILE if tile else None) for top in range(0, rows, TILE)]
         places = []
         for part in parts:
@@ -317,7 +320,8 @@ def read_pages(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     """One row per page of every file in ``media``: the key, ``PAGE_SCHEMA``'s columns.
 
     A null or foreign value gives one row with ``error``; an empty table gives
-    no rows; repeated rows give repeated pages; other columns are dropped.
+    no rows; repeated rows give repeated pages; other columns are dropped.  A
+    key named like a page's column is returned with ``_key`` after its name.
     """
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
     kind = df.schema[key].dataType.simpleString()
@@ -332,7 +336,7 @@ def read_pages(df: DataFrame, key: str, media: str = "media") -> DataFrame:
                 keys = pa.concat_arrays([one.column("key")] * len(found))
                 yield pa.RecordBatch.from_arrays([keys, *rows.columns], ["key", *names])
 
-    return df.select(F.col(key).alias("key"), F.col(media).cast("binary").alias("media")).mapInArrow(run, f"key {kind}, {PAGE_SCHEMA}").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(media).cast("binary").alias("media")).mapInArrow(run, f"key {kind}, {PAGE_SCHEMA}").withColumnRenamed("key", key if key not in names else f"{key}_key")
 
 
 def payload_of(text: bytes) -> bytes:
