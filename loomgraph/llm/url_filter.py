@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-END = 0x01  # stands between host and path; a host wildcard never crosses it
+END = 0xFF  # stands between host and path, where no UTF-8 text has it; a host wildcard never crosses it
 
 
 @dataclass(frozen=True)
@@ -33,24 +33,42 @@ class Rule:
 #: The contract's rules.
 BASE_RULES = [Rule("net", "/", "block", "net/"), Rule("example.net", "/en/", "allow", "example.net/en/"), Rule("example.com", "/de/", "block", "example.com/de/"), Rule("org", "/fr/", "allow", "org/fr/")]
 
-#: Globs over the canonical form's host and path for URLs no base rule fits; any match blocks.
-METHOD_GLOBS = [("*.ads*", "*"), ("*.spam*", "*"), ("*.casino*", "*"), ("*.porn*", "*"), ("*.track?ng*", "*"), ("*", "*/ads/*"), ("*", "*/login*"), ("*", "*/cart/*"), ("*", "*.exe")]
+#: Host labels, path segments and file types of pages that are no text worth keeping.
+HOST_WORDS = "ads adserver adserv adnet adclick adtrack banner banners doubleclick popunder popup spam casino poker bingo roulette betting sportsbet slots jackpot porn xxx sex adult escort camgirls webcams dating viagra cialis pharma replica warez torrent crack keygen serials track?ng tracker telemetry pixel beacon affiliate".split()
+PATH_WORDS = "ads adserver banner banners popup sponsored affiliate tracking track pixel beacon login logout signin signup register password cart checkout basket wishlist account wp-admin wp-login cgi-bin print share redirect unsubscribe captcha".split()
+FILE_TYPES = "exe msi dmg apk iso zip rar gz 7z tar jar jpg jpeg png gif ico svg mp3 mp4 avi mov wmv css js woff ttf swf".split()
+#: How a host word stands in a host (whole label, start of a label, with a number), and a path word in a path.
+HOST_FORMS, PATH_FORMS, TYPE_FORMS = ("*.{}.*", "*.{}-*", "*.{}*"), ("*/{}", "*/{}/*", "*/{}.*", "*/{}-*"), ("*.{}", "*.{}/*")
+
+
+def method_globs() -> list[tuple[str, str]]:
+    """(host glob, path glob) for URLs that no rule fits; any match blocks.  A longer list can be given to ``judge``."""
+    hosts = [(form.format(word), "*") for word in HOST_WORDS for form in HOST_FORMS]
+    paths = [("*", form.format(word)) for words, forms in ((PATH_WORDS, PATH_FORMS), (FILE_TYPES, TYPE_FORMS)) for word in words for form in forms]
+    return hosts + paths
+
+
+METHOD_GLOBS = method_globs()
 
 
 class Automaton:
-    """Globs ``(host glob, path glob)`` compiled to multiword masks; ``match`` gives a row x glob matrix."""
+    """Globs ``(host glob, path glob)`` compiled to multiword masks; ``match`` gives a row x glob matrix.
+
+    ``*`` stands for any characters, ``?`` for one character; neither crosses
+    from host to path.
+    """
 
     def __init__(self, globs: list[tuple[str, str]]):
         symbols: list[tuple[str, object]] = []
         self.last: list[int] = []
         for host, path in globs:
             symbols.append(("start", None))
-            for part, is_host in ((host, True), (chr(END), False), (path, False)):
-                for c in part.encode():
+            for part, is_host in ((host.encode(), True), (bytes((END,)), False), (path.encode(), False)):
+                for c in part:
                     if c == ord("*"):
-                        symbols[-1] = (symbols[-1][0], "host" if is_host else "path") if symbols[-1][1] != "path" else symbols[-1]
+                        symbols[-1] = (symbols[-1][0], "host" if is_host else "path")
                     else:
-                        symbols.append(("any-host" if is_host else "any-path", None) if c == ord("?") else (c, None))
+                        symbols.append(("any", "rest") if c == ord("?") else (c, None))
             self.last.append(len(symbols) - 1)
         self.words = -(-len(symbols) // 64)
         self.step = np.zeros((256, self.words), np.uint64)
@@ -58,15 +76,17 @@ class Automaton:
         self.begin = np.zeros(self.words, np.uint64)
         everything = np.arange(256)
         in_host = everything != END
+        inner = (everything >= 0x80) & (everything < 0xC0)  # bytes that go on with a character
+        stays = {"host": in_host, "path": everything >= 0, "rest": inner}
         for i, (symbol, loop) in enumerate(symbols):
             word, bit = i // 64, np.uint64(1 << (i % 64))
             if symbol == "start":
                 self.begin[word] |= bit
             else:
-                fits = in_host if symbol == "any-host" else everything >= 0 if symbol == "any-path" else everything == symbol
+                fits = in_host & ~inner if symbol == "any" else everything == symbol
                 self.step[fits, word] |= bit
             if loop:
-                self.stay[in_host if loop == "host" else everything >= 0, word] |= bit
+                self.stay[stays[loop], word] |= bit
         self.settled = np.zeros(self.words, np.uint64)
         for i in self.last:
             if symbols[i][1] == "path":
@@ -124,9 +144,10 @@ def _literal(text: str) -> str:
 def judge(pages: DataFrame, rules: list[Rule] | None = None, globs: list[tuple[str, str]] | None = None) -> DataFrame:
     """One verdict per input row, from ``page_id`` and ``url`` alone.
 
-    The longest fitting rule decides; where none fits, any matching glob
-    blocks, and so does an empty host; everything else is allowed.  A null
-    url has empty host and path; repeated rows repeat; no shuffle.
+    The longest fitting rule decides (of equally long ones the first); where
+    none fits, any matching glob blocks, and so does an empty host; everything
+    else is allowed.  A null url has empty host and path, a null id stays
+    null; repeated rows repeat, an empty table stays empty; no shuffle.
     """
     rules = BASE_RULES if rules is None else rules
     rules = sorted(rules, key=lambda r: -len(r.host + r.path))
@@ -148,9 +169,10 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, globs: list[tuple[s
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(run, SCHEMA)
 
 
-def _like(glob: str, column: str) -> str:
-    text = "".join({"*": ".*", "?": "."}.get(c, "\\" + c if c in ".+()[]{}^$|\\" else c) for c in glob)
-    return f"regexp_full_match({column}, '(?s){text}')"
+def _fits(globs: list[str], column: str) -> str:
+    """SQL that says whether any of the globs fits the column."""
+    one = ["".join({"*": ".*", "?": "."}.get(c, "\\" + c if c in ".+()[]{}^$|\\" else c) for c in glob) for glob in globs]
+    return f"regexp_full_match({column}, '(?s)(?:{'|'.join(one)})')"
 
 
 ORACLE_SQL = f"""
@@ -162,6 +184,6 @@ ruled AS (SELECT *, CASE
   ELSE NULL END AS rule FROM split)
 SELECT page_id, host, path, rule, CASE
   {" ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in BASE_RULES)}
-  WHEN host = '' OR {" OR ".join(f"({_like(h, chr(39) + '.' + chr(39) + ' || host')} AND {_like(p, 'path')})" for h, p in METHOD_GLOBS)} THEN 'block'
+  WHEN host = '' OR {_fits([h for h, p in METHOD_GLOBS if p == '*'], "'.' || host")} OR {_fits([p for h, p in METHOD_GLOBS if h == '*'], 'path')} THEN 'block'
   ELSE 'allow' END AS verdict FROM ruled
 """

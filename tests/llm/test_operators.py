@@ -1,5 +1,6 @@
 """Operators against brute force and their contracts on small and awkward tables."""
 
+import fnmatch
 import hashlib
 import itertools
 import random
@@ -65,6 +66,60 @@ def test_tiff_pages_after_one_that_cannot_be_decoded():
     assert [(p["page"], p["error"] is None) for p in tiff.pages(bytes(media))] == [(0, False), (1, True), (2, True)]
 
 
+def test_codec_vectors():
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert tiff.packbits_decode(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22") + b"\xaa" * 10
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]  # the example of the format's text
+    bits = "".join(f"{c:09b}" for c in codes)
+    stream = int(bits + "0" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+    data = bytes((7, 7, 7, 8, 8, 7, 7, 6, 6))
+    assert tiff.lzw_decode(stream, 9) == data and tiff.lzw_encode(data) == stream
+
+
+def _file(order, tags, blobs):
+    """A TIFF file of one page: tags of (kind, values); segments' places are filled in."""
+    out = bytearray((b"II" if order == "<" else b"MM") + tiff.struct.pack(order + "HI", 42, 0))
+    places = []
+    for blob in blobs:
+        places.append(len(out))
+        out += blob
+    tags = dict(tags)
+    for tag in (273, 324):
+        if tag in tags:
+            tags[tag] = (4, places)
+    entries = b""
+    for tag, (kind, values) in sorted(tags.items()):
+        data = tiff.struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(data) > 4:
+            data, at = tiff.struct.pack(order + "I", len(out)), out.extend(data)
+        entries += tiff.struct.pack(order + "HHI", tag, kind, len(values)) + data.ljust(4, b"\0")
+    out[4:8] = tiff.struct.pack(order + "I", len(out))
+    return bytes(out + tiff.struct.pack(order + "H", len(tags)) + entries + b"\0" * 4)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_pages_of_other_writers(order):
+    image = np.random.default_rng(3).integers(0, 65536, (5, 7, 3)).astype(order + "u2")
+    plain = {256: (3, [7]), 257: (3, [5]), 258: (3, [16, 16, 16]), 277: (3, [3]), 278: (3, [2])}
+    strips = [image[a : a + 2].tobytes() for a in (0, 2, 4)]
+    (page,) = tiff.pages(_file(order, plain | {259: (3, [1]), 273: (4, [0] * 3), 279: (4, [len(s) for s in strips])}, strips))
+    assert page["error"] is None and (page["bits"], page["samples"]) == (16, 3) and page["data"] == image.tobytes()
+    differ = image.copy()
+    differ[:, 1:] -= image[:, :-1]
+    packed = [tiff.lzw_encode(differ[a : a + 2].tobytes()) for a in (0, 2, 4)]
+    (page,) = tiff.pages(_file(order, plain | {259: (3, [5]), 317: (3, [2]), 273: (4, [0] * 3), 279: (4, [len(s) for s in packed])}, packed))
+    assert page["error"] is None and page["data"] == image.tobytes()
+
+
+def test_broken_sizes_give_error_pages(spark):
+    grey = {256: (3, [4]), 257: (3, [4]), 258: (3, [8]), 277: (3, [1]), 259: (3, [1])}
+    sizes = [(0, 4), (4, 0), (4_000_000_000, 4_000_000_000), (1 << 20, 1 << 20)]
+    files = [_file("<", grey | {322: (4, [w]), 323: (4, [h]), 324: (4, [0]), 325: (4, [16])}, [bytes(16)]) for w, h in sizes]
+    files += [_file("<", grey | {278: (4, [0]), 273: (4, [0]), 279: (4, [16])}, [bytes(16)]), _file("<", grey | {257: (4, [4_000_000_000]), 278: (4, [4]), 273: (4, [0]), 279: (4, [16])}, [bytes(16)])]
+    rows = tiff.read_pages(spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(files)], "page int, media binary"), "page").collect()
+    assert sorted(r.page_key for r in rows) == list(range(len(files))) and all(r.error for r in rows)
+
+
 def test_word_cache_gives_the_tokenizer_ids():
     cache = packing.WordTokenizer(queries.tokenizer_path())
     texts = ["a\x1cb <|endoftext|>é e\u0301 x\u00a0y it's", "", "The the\x0bTHE 12 3.4!!"]
@@ -325,6 +380,23 @@ def test_url_verdicts_match_sql(spark):
     assert [(r.rule, r.verdict) for r in url_filter.judge(odd).orderBy("page_id").collect()] == [(None, "block"), (None, "block"), ("example.net/en/", "allow"), (None, "allow"), ("org/fr/", "allow"), (None, "block")]
 
 
+def test_globs_match_fnmatch(spark):
+    rng = random.Random(6)
+    globs = url_filter.METHOD_GLOBS + [("*." + "".join(rng.choice("ab?*é") for _ in range(4)), "".join(rng.choice("/ab?*") for _ in range(5))) for _ in range(200)]
+    urls = [("." + "".join(rng.choice("aab.é\x01") for _ in range(rng.randrange(8))), "/" + "".join(rng.choice("aab/é") for _ in range(rng.randrange(8)))) for _ in range(150)]
+    urls += [(".x.ads.org", "/a"), (".tracküng.net", "/"), (".a.b", "/cart/x"), (".a.b", "/x.exe"), (".a.b", "/plain"), ("." + "a" * 700, "/" + "b" * 700)]
+    hits = url_filter.Automaton(globs).match([h.encode() + b"\xff" + p.encode() for h, p in urls])
+    assert len(globs) > 400 and hits.tolist() == [[fnmatch.fnmatchcase(h, hg) and fnmatch.fnmatchcase(p, pg) for hg, pg in globs] for h, p in urls]
+
+
+def test_urls_with_control_characters_clashing_columns_and_repeats(spark):
+    rows = [(1, "http://a\x01b.net/x", "v"), (1, "http://a\x01b.net/x", "v"), (None, "x://plain.edu/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filter.judge(pages).collect()]
+    assert got == [(1, "net/", "block"), (1, "net/", "block"), (None, None, "allow")]
+    assert url_filter.judge(pages.limit(0)).collect() == []
+
+
 def test_license_phrases_and_labels(spark):
     text = "Under MIT--License; smit license. GENERAL public, license! SPDX-License-Identifier: Apache-2.0"
     r = license_scan.scan(_docs(spark, [text, "mit license é"])).orderBy("doc_id").first()
