@@ -1,21 +1,24 @@
 """License detection with ordered signature rules.
 
-A keyword prefilter decides which rules run on a text; their detections are
-resolved by priority: one that lies inside an interval already taken by an
-earlier rule is suppressed.  The three base phrases are matched on words.
+One pass over a text finds which of all rules' keywords it holds; a rule runs
+if all of its keywords are there.  Detections are resolved by priority: one
+that lies inside an interval already taken by an earlier rule is suppressed.
+The three base phrases are matched on words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import KEYWORDS, SIGNATURES
+from .license_rules import SIGNATURES
 from .textkit import slices, spans, text_bytes
 
 #: The contract's phrases and labels.
@@ -31,31 +34,64 @@ _PHRASES = [(re.compile(rb"(?<!" + _EDGE[:-1] + rb"])" + _GAP.join(w.encode() fo
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
-_KEYWORDS = [w.encode() for w in KEYWORDS]
-_BY_KEYWORD: dict[str, list[int]] = {}
+_WORDS = sorted({w for s in SIGNATURES for w in s.keywords if w})
+_NEEDS = [frozenset(_WORDS.index(w) for w in s.keywords if w) for s in SIGNATURES]
+#: The rules of each keyword; a rule stands at the longest of its keywords, the one that texts have least.
+_RULES: dict[int, list[int]] = {}
 for _i, _s in enumerate(SIGNATURES):
-    _BY_KEYWORD.setdefault(_s.keyword, []).append(_i)
+    _RULES.setdefault(_WORDS.index(max(_s.keywords, key=len)), []).append(_i)
+_finder = None
+
+
+def _present(lowered: str) -> set[int]:
+    """Numbers of the keywords that the text holds, found in one pass."""
+    global _finder
+    if _finder is None:
+        _finder = ahocorasick.Automaton()
+        for i, word in enumerate(_WORDS):
+            _finder.add_word(word, {i} | {j for j, w in enumerate(_WORDS) if w in word})
+        _finder.make_automaton()
+    found: set[int] = set()
+    for _, some in _finder.iter(lowered):
+        found |= some
+    return found
+
+
+class Intervals:
+    """Intervals none of which lies inside another, so that their ends are in the order of their starts."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def covers(self, start: int, end: int) -> bool:
+        at = bisect_right(self.starts, start)
+        return at > 0 and self.ends[at - 1] >= end
+
+    def add(self, start: int, end: int) -> None:
+        """Take an interval that is not covered; those inside it go."""
+        a, b = bisect_left(self.starts, start), bisect_right(self.ends, end)
+        self.starts[a:b], self.ends[a:b] = [start], [end]
 
 
 def detect(lowered: str) -> list[tuple[int, int, int]]:
     """(start, end, rule) of the detections that stay, in order of priority.
 
-    A rule runs if its keyword occurs.  Within a rule, matches are leftmost
-    and do not overlap; a match inside an interval that stays is suppressed.
+    A rule runs if all of its keywords occur.  Within a rule, matches are
+    leftmost and do not overlap; a match inside an interval that stays is
+    suppressed.
     """
-    rules = sorted(i for word, some in _BY_KEYWORD.items() if word in lowered for i in some)
+    have = _present(lowered)
     kept: list[tuple[int, int, int]] = []
-    for i in rules:
+    taken = Intervals()
+    for i in sorted(i for word in have for i in _RULES.get(word, ()) if _NEEDS[i] <= have):
         for m in SIGNATURES[i].pattern.finditer(lowered):
-            if not any(s <= m.start() and m.end() <= e for s, e, _ in kept):
-                kept.append((m.start(), m.end(), i))
+            if not taken.covers(*m.span()):
+                taken.add(*m.span())
+                kept.append((*m.span(), i))
     return kept
 
 
-def _gate(raw: bytes) -> bool:
-    return any(word in raw for word in _KEYWORDS)
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """One row per input row, from ``doc_id`` and ``text`` alone; null text is empty.
 
@@ -84,8 +120,6 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _row(low: bytes) -> tuple:
-    if not _gate(low):
-        return 0, None, None, "", "", 0.0
     places, weights = [], {}
     if b"license" in low:
         for pattern, label in _PHRASES:

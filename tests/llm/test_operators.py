@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 import regex
 
-from loomgraph.llm import decontaminate, license_scan, line_quality, packing, probminhash, queries, secret_links, substring_dedup, tiff, toxicity, url_filter
+from loomgraph.llm import decontaminate, license_rules, license_scan, line_quality, packing, probminhash, queries, secret_links, substring_dedup, tiff, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 DDL = "n_words string, doc_id long, text string, lang string, source string, n_chars long"
@@ -405,6 +406,39 @@ def test_license_phrases_and_labels(spark):
     assert "apache" in r.labels.split(",") and 0 <= r.score <= 1
 
 
+def test_license_keywords_and_suppression_match_brute_force():
+    assert len(license_rules.SIGNATURES) > 350 and all(s.keywords[-1] or s.kind in ("tag", "granted", "named", "see") for s in license_rules.SIGNATURES)
+    assert [license_rules.literal(p) for p in (r"abc?d", "xyz|abc", r"(?:abc|xyz)", r"foo (?:x )?barbar[ -]z{2}", r"v\\.? ?2")] == ["", "", "", "barbar", ""]
+    rng = random.Random(9)
+    names = [re.sub(r"\(\?:[^()]*\)\??|\[[^]]*\]\??|[?\\]", "", n) for _, n, _ in license_rules.NAMES]
+    bits = [t for _, t in license_rules.SENTENCES] + [f"{a}{n} license" for n in names for a in ("", "released under the ", "see the ")] + [f"spdx-license-identifier: {t}" for _, _, t in license_rules.NAMES] + ["all rights reserved", "copyright 2019", "the public domain"]
+    for _ in range(150):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(1, 12)))
+        kept = []
+        for i, s in enumerate(license_rules.SIGNATURES):
+            for m in s.pattern.finditer(text):
+                if not any(a <= m.start() and m.end() <= b for a, b, _ in kept):
+                    kept.append((m.start(), m.end(), i))
+        assert license_scan.detect(text) == kept
+
+
+def test_license_detection_is_not_quadratic():
+    began = time.perf_counter()
+    assert len(license_scan.detect("released under the mit license. " * 20_000)) == 20_000
+    assert time.perf_counter() - began < 20
+
+
+def test_license_base_columns_match_brute_force(spark):
+    rng = random.Random(12)
+    words = ["mit", "license", "MIT", "License", "apache", "general", "public", "é", "x1", "-", "/"]
+    texts = ["".join(rng.choice(words) + rng.choice((" ", ", ", "\n", "", "-")) for _ in range(rng.randrange(30))) for _ in range(120)] + ["", None]
+    for r in license_scan.scan(_docs(spark, texts)).collect():
+        found = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[r.doc_id] or ""))
+        places = [(i, label) for p, label in license_scan.BASE for i in range(len(found)) if tuple(found[i : i + len(p)]) == p]
+        at = [i for i, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(found), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
+
+
 def test_license_rules_with_other_white_space(spark):
     rows = license_scan.scan(_docs(spark, ["released into the public\ndomain", "all\nrights reserved"])).orderBy("doc_id").collect()
     assert [r.labels for r in rows] == ["public-domain", "proprietary"]
