@@ -8,7 +8,7 @@ between the nearer ends.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stash import Stash
@@ -24,23 +24,44 @@ KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A
 ENDPOINT = r"""(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+"""
 KINDS = ["assign", "access", "hex", "ident", "key", "endpoint"]
 STRONG = 3
+LEAST = (6, 20, 24, 0, 20, 0)  # least characters of a match (of an assigned value)
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _found(text: Column, pattern: str, kind: int, keep: Column | None = None, group: int = 0) -> Column:
-    """Spans of all matches, from the lengths of the matches and of the text between them."""
+def _gaps(text: Column, pattern: str, group: int = 0) -> Column:
+    """(gap, size, value) of all matches: the lengths of the text before each since the last, of the match and of its group."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
     gaps = F.split(text, pattern, -1)
-    rows = F.zip_with(F.arrays_zip(hits.alias("hit"), values.alias("value")), F.slice(gaps, 1, F.size(hits)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m["hit"]).alias("size"), F.length(m["value"]).alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
+    return F.zip_with(F.arrays_zip(hits.alias("hit"), values.alias("value")), F.slice(gaps, 1, F.size(hits)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m["hit"]).alias("size"), F.length(m["value"]).alias("value")))
+
+
+def _found(rows: Column, kind: int, least: int) -> Column:
+    """Spans of the matches in the plain column ``rows`` whose value has ``least`` characters.
+
+    Places are running sums, taken in blocks of about the square root of the
+    matches, since a growing array is copied for each element added.
+    """
+    n = F.size(rows)
+    width = F.greatest(F.lit(16), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+    none = F.expr(f"cast(array() as {SPAN})")
+
+    def block(b: Column) -> Column:
+        return F.transform(F.sequence(b * width, F.least(n, (b + 1) * width) - 1), lambda k: F.get(rows, k))
 
     def step(acc: Column, m: Column) -> Column:
         begin = acc["at"] + m["gap"]
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + m["size"]).alias("end"))
-        return F.struct((begin + m["size"]).alias("at"), F.when(m["value" if group else "size"] >= keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct((begin + m["size"]).alias("at"), F.when(m["value"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["spans"])
+    def join(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(block(b), F.struct(acc["at"].alias("at"), none.alias("spans")), step, lambda x: x["spans"])
+        moved = F.aggregate(block(b), acc["at"], lambda at, m: at + m["gap"] + m["size"])
+        return F.struct(moved.alias("at"), F.concat(acc["blocks"], F.array(inner)).alias("blocks"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("blocks"))
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))
+    return F.when(n > 0, F.aggregate(blocks, begin, join, lambda acc: F.flatten(acc["blocks"]))).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -52,30 +73,34 @@ def _parts(docs: DataFrame) -> DataFrame:
     """id columns of ``docs`` with ``base`` and ``weak`` span arrays; a pattern runs only where its fixed letters occur."""
     text = F.col("text")
     low = F.lower(text)
-    none = F.expr(f"cast(array() as {SPAN})")
+    none = F.expr("cast(array() as array<struct<gap:int,size:int,value:int>>)")
     named = low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey")
     account = low.contains("user") | low.contains("login") | low.contains("account") | low.contains("client")
-    base = docs.withColumn("_a", F.when(named, _found(text, ASSIGN, 1, F.lit(6), 2)).otherwise(none))
-    base = base.withColumn("_b", F.when(text.contains("AKIA"), _found(text, ACCESS, 2, F.lit(20))).otherwise(none))
-    base = base.withColumn("_c", F.when(text.rlike("[0-9a-f]{24}"), _found(text, HEX, 3, F.lit(24))).otherwise(none))
-    base = base.withColumn("_d", F.when(account, _found(text, IDENT, 4, F.lit(0))).otherwise(none))
-    base = base.withColumn("_e", F.when(text.rlike("[A-Za-z0-9+/_-]{20}") & text.rlike("[0-9]"), _found(text, KEY, 5, F.lit(20))).otherwise(none))
-    base = base.withColumn("_f", F.when(text.contains("://"), _found(text, ENDPOINT, 6, F.lit(0))).otherwise(none))
-    base = base.select(*(c for c in docs.columns if c != "text"), F.array_sort(F.concat("_a", "_b", "_c")).alias("base"), F.array_sort(F.concat("_d", "_e", "_f")).alias("weak"))
-    free = F.filter("weak", lambda w: ~F.exists(F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return base.withColumn("weak", F.when(F.size("weak") > 0, free).otherwise(F.col("weak")))
+    gates = [named, text.contains("AKIA"), text.rlike("[0-9a-f]{24}"), account, text.rlike("[A-Za-z0-9+/_-]{20}") & text.rlike("[0-9]"), text.contains("://")]
+    patterns = [(ASSIGN, 2), (ACCESS, 0), (HEX, 0), (IDENT, 0), (KEY, 0), (ENDPOINT, 0)]
+    rest = [c for c in docs.columns if c != "text"]
+    gaps = docs.select(*rest, *(F.when(gate, _gaps(text, *pattern)).otherwise(none).alias(f"gaps{k}") for k, (gate, pattern) in enumerate(zip(gates, patterns, strict=True), 1)))
+    spans = [_found(F.col(f"gaps{k}"), k, least) for k, least in enumerate(LEAST, 1)]
+    return gaps.select(*rest, F.array_sort(F.concat(*spans[:STRONG])).alias("base"), F.array_sort(F.concat(*spans[STRONG:])).alias("weak"))
 
 
 def _linked(parts: DataFrame, key: str, scope: int) -> DataFrame:
-    """(key, more): the weak spans whose complements stand within ``scope``.
+    """(key, more): the weak spans that touch no base span and whose complements stand within ``scope``.
 
     An interval join on scope-sized buckets: a span is in every bucket that it
     touches, and a bucket's complements are reduced to their first start and
     last end, which decide whether any lies within reach of a part in that
-    bucket or a neighbouring one, so no pairs are made.
+    bucket or a neighbouring one, so no pairs are made.  Of the base spans of
+    a bucket, only the last to start before a weak span's end can matter to
+    it; base spans of one kind never overlap, so it meets at most one a kind.
     """
     rows = parts.filter(F.size("weak") > 0).select(key, F.explode(F.concat("base", "weak")).alias("p")).select(key, "p.*")
     rows = rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
+    order = Window.partitionBy(key, "bucket").orderBy("event", F.col("kind"))
+    # a base span is an event at its start, a weak one at its end: the latest ends of the base spans before it are known then
+    events = rows.withColumn("event", F.when(F.col("kind") <= STRONG, F.col("start") * 2 + 1).otherwise(F.col("end") * 2))
+    touched = events.withColumn("reach", F.max(F.when(F.col("kind") <= STRONG, F.col("end"))).over(order)).filter((F.col("kind") > STRONG) & (F.col("reach") > F.col("start"))).select(key, "start", "kind", "end").distinct()
+    rows = rows.join(touched, [key, "start", "kind", "end"], "left_anti")
     names, secrets = F.col("kind").isin(2, 4), F.col("kind").isin(1, 3, 5)
     edges = rows.groupBy(key, "bucket").agg(*(f(F.when(c, F.col(end))).alias(f"{n}_{end}") for n, c in (("name", names), ("secret", secrets)) for f, end in ((F.min, "start"), (F.max, "end"))))
     near = edges.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")).withColumn("bucket", F.col("bucket") + F.col("step")).drop("step")
@@ -107,25 +132,35 @@ MASK = "[REDACTED]"
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every reported span of ``text`` replaced by ``MASK``; rows, order of columns and other values stay.
+    """``docs`` with every reported span of ``text`` replaced by ``MASK``; rows, columns of any name and other values stay.
 
-    Overlapping spans give one mask.  Spans are brought back to their texts by
-    a hash of id and text, and only for texts that have any.
+    Overlapping spans give one mask; null text and null ids stay; repeated
+    rows are masked alike; an empty table stays empty.  Spans are brought back
+    to their texts by two hashes of id and text, and only for texts that have
+    any; the span lists are written first, so Spark knows their size.
     """
     stash = Stash(docs.sparkSession, "redact")
     mark = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
-    other = F.hash(F.col("text"), F.length("text"))
-    keyed = docs.select(mark.alias("_k"), other.alias("_h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = stash.keep(_parts(keyed).filter((F.size("base") > 0) | (F.size("weak") > 0)).dropDuplicates(["_k", "_h"]).withColumn("row", F.monotonically_increasing_id()), "parts")
+    other = F.xxhash64(F.reverse("text"), F.length("text"))
+    keyed = docs.select(mark.alias("mark"), other.alias("other"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # written before the filter, which would otherwise be pushed below the spans and repeat every pattern for every match
+    parts = stash.keep(_parts(keyed), "all").filter((F.size("base") > 0) | (F.size("weak") > 0))
+    parts = stash.keep(parts.dropDuplicates(["mark", "other"]).withColumn("row", F.monotonically_increasing_id()), "parts")
     told = parts.join(_linked(parts, "row", scope), "row", "left")
-    spans = told.select("_k", "_h", F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {SPAN})")))).alias("_spans")).filter(F.size("_spans") > 0)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    both = docs.withColumn("_k", mark).withColumn("_h", other).join(spans, ["_k", "_h"], "left")
-    return both.select(*(F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    spans = F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {SPAN})"))))
+    # cuts: where each span begins and how far the spans before it reach, in order
+    spans = told.select("mark", "other", F.posexplode(spans).alias("n", "s")).select("mark", "other", "n", "s.start", "s.end")
+    before = Window.partitionBy("mark", "other").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = spans.withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0))).groupBy("mark", "other").agg(F.array_sort(F.collect_list(F.struct("n", "at", "start", "end"))).alias("cuts"), F.max("end").alias("last"))
+    cuts = stash.keep(cuts, "cuts")
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), mark.alias("mark"), other.alias("other"), F.col("text").cast("string").alias("text"))
+    both = row.join(cuts, ["mark", "other"], "left")
+    # four bytes a code point, so that a piece is found without counting through the text
+    both = both.select("row", "cuts", "last", F.when(F.col("cuts").isNotNull(), F.encode("text", "UTF-32")).alias("wide"))
+
+    def piece(begin: Column, size: Column) -> Column:
+        return F.decode(F.substring("wide", begin * 4 + 1, size * 4), "UTF-32")
+
+    kept = F.transform(F.filter("cuts", lambda c: c["start"] >= c["at"]), lambda c: piece(c["at"], c["start"] - c["at"]))
+    masked = F.array_join(F.concat(kept, F.array(piece(F.col("last"), F.octet_length("wide")))), MASK)
+    return both.select(*(F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(masked).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
