@@ -178,8 +178,10 @@ def fit(texts: list[str], labels: list[int], steps: int = 120, decay: float = 1e
     kinds of error of the sample balance.  With one class only, every score
     leans to it.
     """
-    columns = pa.array(texts, pa.large_string())
-    features, size, first = line_features(columns)
+    parts = [line_features(part.column("text")) for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]))]
+    features, size = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
+    del parts
     truth = np.asarray(labels, np.float64)
     line_truth = np.repeat(truth, np.diff(first))
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-3

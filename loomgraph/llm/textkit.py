@@ -13,9 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+KEPT = (2 << 20) + 4096  # most entries of a table that a worker keeps
 _BASE = 0x9E3779B97F4A7C55 | 1  # odd, so that powers have inverses modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,16 +46,25 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _room(n: int) -> int:
+    """Entries of a table that must have ``n``: what a slice needs, then ``KEPT``; longer tables are not kept."""
+    return next((size for size in (SLICE_BYTES + 4096, KEPT) if n <= size), n)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+    have = _powers.get("both")
+    if have is None or len(have[0]) < n:
+        have = _wrapped(_BASE, _room(n)), _wrapped(_INVERSE, _room(n))
+        if len(have[0]) <= KEPT:
+            _powers["both"] = have
+    return have[0][:n], have[1][:n]
+
+
+def _wrapped(base: int, size: int) -> np.ndarray:
+    steps = np.full(size, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,16 +116,19 @@ def _prime_powers(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray
     """base**i and base**-i modulo ``prime`` for i < n."""
     have = _residues.get(prime)
     if have is None or len(have[0]) < n:
-        size, tables = max(n, SLICE_BYTES + 4096), []
-        for b in (base, pow(base, -1, prime)):
-            table = np.ones(1, np.uint64)
-            while len(table) < size:
-                table = np.concatenate((table, table * np.uint64(pow(b, len(table), prime)) % np.uint64(prime)))
-            tables.append(table[:size])
-        have = _residues[prime] = tables[0], tables[1]
+        have = _residue_table(_room(n), prime, base), _residue_table(_room(n), prime, pow(base, -1, prime))
+        if len(have[0]) <= KEPT:
+            _residues[prime] = have
     return have[0][:n], have[1][:n]
 
 
+def _residue_table(size: int, prime: int, base: int) -> np.ndarray:
+    table = np.ones(1, np.uint64)
+    while len(table) < size:
+        table = np.concatenate((table, table * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)))
+    return table[:size].copy()
+
+
 class SpanHash:
     """Two 64-bit hashes of byte spans from three polynomials: modulo 2**64 and modulo two primes.
 
