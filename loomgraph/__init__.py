@@ -1 +1,3 @@
 """Code-graph analytics on Spark DataFrames."""
+
+__version__ = "0.2.0"

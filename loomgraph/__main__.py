@@ -1,4 +1,4 @@
-"""Command line: index, status, recall, callers, impact; 0 if answered, 1 on failure, 2 on bad usage."""
+"""Command line: index, status, recall, callers, impact, watch, version; 0 if answered, 1 on failure, 2 on bad usage."""
 
 from __future__ import annotations
 
@@ -7,14 +7,40 @@ import json
 import os
 import sys
 
+from . import __version__
+
+
+def watch(spark, store: str, root: str, events: str, **trigger) -> int:
+    """Keep the stored graph of ``root`` current from event files until interrupted (or, with availableNow, until none is left)."""
+    from .sources.store import Store
+    from .streaming.maintain import EVENTS, Maintainer
+
+    keeper = Maintainer(spark, Store(spark, store), root, absolute=True)
+    query = keeper.start(spark.readStream.schema(EVENTS).json(events), f"{store}/watch-{os.path.basename(root) or 'root'}", **trigger)
+    try:
+        query.awaitTermination()
+    except KeyboardInterrupt:
+        keeper.stop()
+    for update in keeper.updates:
+        print(update)
+    for batch, why in keeper.failures:
+        print(f"batch {batch}: {why}", file=sys.stderr)
+    return int(bool(keeper.failures))
+
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="loomgraph")
     parser.add_argument("--store", default=os.environ.get("LOOMGRAPH_STORE", os.path.expanduser("~/.loomgraph")))
-    parser.add_argument("command", choices=["index", "status", "recall", "callers", "impact"])
-    parser.add_argument("value", nargs="?", help="path of index and status; query or symbol of the others")
+    parser.add_argument("command", choices=["index", "status", "recall", "callers", "impact", "watch", "version"])
+    parser.add_argument("value", nargs="?", help="path of index, status and watch; query or symbol of the others")
     parser.add_argument("--options", type=json.loads, default={}, help="further arguments as a JSON object")
+    parser.add_argument("--events", help="watch: folder of JSON lines (event_seq, path, kind, content) that an editor or agent writes")
     args = parser.parse_args(argv)
+    if args.command == "version":
+        print(__version__)
+        return 0
+    if args.command == "watch" and not args.events:
+        parser.error("watch needs --events")
     key = {"index": "path", "status": "path", "recall": "query"}.get(args.command, "symbol")
     given = ({key: args.value} if args.value is not None else {}) | args.options
 
@@ -23,6 +49,8 @@ def main(argv: list[str] | None = None) -> int:
     from .service import Workspace
 
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
+    if args.command == "watch":
+        return watch(spark, args.store, os.path.abspath(args.value or "."), args.events, **args.options)
     space = Workspace(spark, args.store, os.path.join(args.store, "requests.jsonl") if "://" not in args.store else None)
     answer = space.status(**given) if args.command == "status" else space.request(args.command, given)
     print(answer.text, file=sys.stderr if answer.is_error else sys.stdout)

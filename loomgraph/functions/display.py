@@ -32,6 +32,38 @@ def ambiguity(count: Column) -> Column:
     return F.when(count > 1, F.concat(F.lit(" (1 of "), count.cast("string"), F.lit(" candidates)"))).otherwise("")
 
 
+def delta_text(now: Column, by: Column) -> Column:
+    """A count, with its change in brackets where there is one."""
+    return F.when(by == 0, now.cast("string")).otherwise(F.concat(now.cast("string"), F.lit(" ("), F.when(by > 0, "+").otherwise(""), by.cast("string"), F.lit(")")))
+
+
+def _fixed(tenfold: Column, digits: int) -> Column:
+    """A whole number as a decimal with this many digits after the point."""
+    base = 10**digits
+    whole = F.floor(tenfold / base).cast("long")
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((tenfold - whole * base).cast("string"), digits, "0"))
+
+
+def bytes_text(size: Column) -> Column:
+    """A number of bytes in B, KB, MB (one digit) or GB (two digits), halves up."""
+
+    def scaled(unit: int, digits: int) -> Column:
+        return _fixed(F.floor(size * float(10**digits) / unit + 0.5).cast("long"), digits)
+
+    out = F.when(size < 1 << 10, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.concat(scaled(1 << 10, 1), F.lit(" KB")))
+    return out.when(size < 1 << 30, F.concat(scaled(1 << 20, 1), F.lit(" MB"))).otherwise(F.concat(scaled(1 << 30, 2), F.lit(" GB")))
+
+
+def ms_text(ms: Column) -> Column:
+    """Milliseconds with two digits below 1 and one below 1000, else seconds with two; halves of the decimal form go up."""
+
+    def shown(value: Column, digits: int) -> Column:
+        return F.round(value.cast("decimal(30,12)"), digits).cast(f"decimal(18,{digits})").cast("string")
+
+    out = F.when(ms < 1, F.concat(shown(ms, 2), F.lit(" ms"))).when(ms < 1000, F.concat(shown(ms, 1), F.lit(" ms")))
+    return out.otherwise(F.concat(shown(ms / 1000, 2), F.lit(" s")))
+
+
 def posix(path: Column) -> Column:
     return F.regexp_replace(path, r"\\", "/")
 

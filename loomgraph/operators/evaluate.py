@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import cut
+
 BUCKETS = 4096  # value ranges per key in the first pass of rank statistics
 
 
@@ -93,6 +95,7 @@ def every_kth(symbols: DataFrame, n: int, kinds: tuple[str, ...] = ("function",
     """
     some = symbols.filter(F.col("kind").isin(*kinds)).select("id", "name", "kind", "seq")
     part = some.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("m", F.monotonically_increasing_id())
+    part = cut(part, "ranks")  # read twice: both must see the same partitions
     part = part.withColumn("p", F.shiftright("m", 33)).withColumn("r", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = part.groupBy("p").agg(F.count("*").alias("c"))
     start = sizes.withColumn("start", F.sum("c").over(Window.orderBy("p")) - F.col("c")).select("p", "start")  # a row per partition
@@ -100,3 +103,75 @@ def every_kth(symbols: DataFrame, n: int, kinds: tuple[str, ...] = ("function",
     step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") / n))
     ranked = part.join(F.broadcast(start), "p").crossJoin(F.broadcast(total)).withColumn("rank", F.col("start") + F.col("r"))
     return ranked.filter((F.col("rank") % step == 0) & (F.col("rank") < step * n)).select("id", "name", "kind", "rank")
+
+
+#: What a line says it declares, and where an answer names its evidence.
+DECLARED = [r"(?:function|class|interface)\s+([A-Za-z_$][A-Za-z0-9_$]*)", r"(?<![A-Za-z0-9_])([A-Za-z_$][A-Za-z0-9_$]*)\s*[:=]\s*(?:async\s+)?(?:function|\()"]
+EVIDENCE = r"(\S+\.(?:ts|tsx|js|jsx)):([0-9]+)(?:\s+@\s+([0-9a-f]{7}))?"
+MESSAGE = "role string, usage struct<input_tokens:bigint,output_tokens:bigint>"
+
+
+def scan_text(files: DataFrame, query: str) -> DataFrame:
+    """(file, bytes, names) of the files (file, content) with a line that holds ``query``: what a reader without a graph would look at.
+
+    ``names`` are the distinct names, in order, that such lines declare (the
+    first rule that matches a line counts), without the query itself.  Null
+    content matches nothing.
+    """
+    hit = files.filter(F.col("content").contains(query))
+    lines = F.filter(F.split("content", "\n", -1), lambda x: x.contains(query))
+    first, second = (lambda x, p=p: F.regexp_extract(x, p, 1) for p in DECLARED)
+    names = F.transform(lines, lambda x: F.when(x.rlike(DECLARED[0]), first(x)).otherwise(second(x)))
+    return hit.select("file", F.octet_length("content").cast("long").alias("bytes"), F.array_sort(F.array_distinct(F.filter(names, lambda x: (x != "") & (x != query)))).alias("names"))
+
+
+def scan_kind(files: DataFrame, keyword: str, prefix: str = "src/") -> DataFrame:
+    """(file, bytes, names): the names that follow a keyword, in the files below ``prefix`` that have any."""
+    pattern = rf"(?<![A-Za-z0-9_]){keyword}\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+    found = files.filter(F.col("file").startswith(prefix)).select("file", F.octet_length("content").cast("long").alias("bytes"), F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))).alias("names"))
+    return found.filter(F.size("names") > 0)
+
+
+def matching_bytes(files: DataFrame, query: str, by: str) -> DataFrame:
+    """(by, files, bytes) of the files whose content holds ``query``, the cost of reading them all."""
+    return files.filter(F.col("content").contains(query)).groupBy(by).agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+def source_bytes(files: DataFrame) -> DataFrame:
+    """One row: bytes and files of a source tree; unreadable files (null content) count for nothing."""
+    return files.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes"), F.count("content").alias("files"))
+
+
+def parse_messages(lines: DataFrame) -> DataFrame:
+    """(transcript, message) from the lines (transcript, value) of JSON transcripts; blank lines do not count, a broken one ends the job."""
+    return lines.filter(F.trim("value") != "").select("transcript", F.from_json("value", MESSAGE, {"mode": "FAILFAST"}).alias("message"))
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_messages`` of the files at ``path``; a transcript is a file."""
+    return parse_messages(spark.read.text(path).select(F.input_file_name().alias("transcript"), "value"))
+
+
+def token_usage(messages: DataFrame) -> DataFrame:
+    """(transcript, messages, tokens): input and output tokens of all messages; missing counts are 0."""
+    usage = F.col("message.usage")
+    spent = F.when(usage.isNotNull(), F.coalesce(usage["input_tokens"], F.lit(0)) + F.coalesce(usage["output_tokens"], F.lit(0)))
+    return messages.groupBy("transcript").agg(F.count("*").alias("messages"), F.coalesce(F.sum(spent), F.lit(0)).cast("long").alias("tokens"))
+
+
+def turn_sizes(turns: DataFrame, opening: int = 2) -> DataFrame:
+    """(role, opening, later): characters of the turns before and from the ``opening``-th on."""
+    size, early = F.length("text"), F.col("turn") < opening
+    parts = {"opening": F.when(early, size), "later": F.when(~early, size)}
+    return turns.groupBy("role").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in parts.items()))
+
+
+def answer_checks(answer: Column, found: Column, truth: Column) -> Column:
+    """Struct (anchored, invented): whether an answer names its evidence, and how many distinct found names the truth lacks."""
+    return F.struct(answer.rlike(EVIDENCE).alias("anchored"), F.size(F.array_except(found, truth)).alias("invented"))
+
+
+def truth_keywords(hints: Column, answer: Column) -> Column:
+    """The hints, then the first five names in back quotes of an answer: distinct, not empty, at most eight."""
+    named = F.slice(F.regexp_extract_all(answer, F.lit("`([^`]+)`"), F.lit(1)), 1, 5)
+    return F.slice(F.filter(F.array_distinct(F.concat(hints, named)), lambda x: x != ""), 1, 8)

@@ -27,7 +27,7 @@ def impact(targets: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int
     A level first narrows the edges to those into its frontier, so only they
     are shuffled and ranked; the join then has at most 500 rows for each
     symbol.  Edges that are not ``stored`` already are written once, since
-    every level reads them.
+    every level reads them.  The search ends with an empty frontier.
     """
     depth = max(1, min(depth, MAX_DEPTH))
     into = Window.partitionBy("to_id").orderBy("seq", "from_id")
@@ -51,10 +51,23 @@ def impact(targets: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int
         there = there.select("target_id", "caller_id", F.lit(level).alias("depth"), "disc_rank", F.col("by.via_to_id").alias("via_to_id"), "caller_file", "truncated")
         frontier = there.select("target_id", F.col("caller_id").alias("id"), F.col("disc_rank").alias("rank"))
         levels = there if levels is None else levels.unionByName(there)
+        if level < depth and fresh.isEmpty():
+            break
     out = levels.filter(F.col("disc_rank") <= level_limit).withColumn("is_test", is_test_file(F.col("caller_file")))
     return out if changed is None else out.join(changed.select(F.col("file").alias("caller_file")).distinct(), "caller_file", "left_semi").select(*out.columns)
 
 
+def impact_names(found: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Rows of ``impact`` with caller_name, via_name (ids where no symbol has them) and whether the caller is exported.
+
+    ``found`` is bounded by its level limits, so it is what a join broadcasts.
+    """
+    last = symbols.groupBy("id").agg(F.max_by(F.struct("name", "exported"), "seq").alias("s"))
+    named = found.join(last.select(F.col("id").alias("caller_id"), F.col("s.name").alias("_caller"), F.col("s.exported").alias("exported")), "caller_id", "left")
+    named = named.join(last.select(F.col("id").alias("via_to_id"), F.col("s.name").alias("_via")), "via_to_id", "left")
+    return named.select(*found.columns, F.coalesce("_caller", "caller_id").alias("caller_name"), F.coalesce("_via", "via_to_id").alias("via_name"), F.coalesce("exported", F.lit(False)).alias("exported"))
+
+
 def impact_stats(found: DataFrame) -> DataFrame:
     """Per target: direct, transitive and test callers, distinct files, and whether any level was cut."""
     return found.groupBy("target_id").agg(F.count_if(F.col("depth") == 1).alias("direct_count"), F.count_if(F.col("depth") > 1).alias("transitive_count"), F.count_if("is_test").alias("test_count"), F.countDistinct("caller_file").alias("file_count"), F.max("truncated").alias("truncated"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.display import ambiguity, anchor, anchors, display_name, name_ends, sha_tag
-from ..operators.evaluate import every_kth, hit_rate, percent_saved, rank_stats, reduction, score_arrays, score_sets, wins
+from ..operators.evaluate import every_kth, hit_rate, percent_saved, rank_stats, reduction, score_arrays, score_sets, turn_sizes, wins
 from ..operators.impact import impact
 from ..operators.lookup import callers, find_by_id
 from ..operators.validate import valid_edges, valid_symbols
@@ -88,13 +88,6 @@ def _rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", "n", F.round("mean", 6).alias("mean"), "max", *FRACTIONS)
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of turns by role and by depth in the talk."""
-    turns = _table(spark, sf_dir, "conversations").withColumn("kind", F.when(F.col("turn") < 2, "opening").otherwise("later"))
-    out = turns.groupBy("role").pivot("kind", ["opening", "later"]).agg(F.sum(F.length("text")))
-    return out.select("role", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("opening", "later")))
-
-
 def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percent of bytes saved by reading first lines instead of texts, by language, and the mean reduction."""
     docs = _table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("lang", F.octet_length("text").alias("b"), F.octet_length(F.substring_index("text", "\n", 1)).alias("g"))
@@ -119,14 +112,6 @@ def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every_kth(symbols(spark, sf_dir), 20)
 
 
-def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows before and after the events of each user count as changes: gained, lost and net by event type."""
-    kept = F.col("event_id") % 3 != 0
-    new = F.col("event_id") % 4 != 0
-    out = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(kept).alias("before"), F.count_if(new).alias("after"))
-    return out.withColumn("delta", F.col("after") - F.col("before"))
-
-
 def queries() -> dict[str, Query]:
     return {
         "impact_tests": _impact_tests,
@@ -138,13 +123,12 @@ def queries() -> dict[str, Query]:
         "score_page_sets": _page_sets,
         "latency_stats": _rank_stats,
         "wins_losses": lambda s, d: wins(_table(s, d, "lineitem").withColumn("a", F.col("l_discount")).withColumn("b", F.col("l_tax")), "a", "b", "l_returnflag"),
-        "token_summary": _tokens,
+        "token_summary": lambda s, d: turn_sizes(_table(s, d, "conversations")),
         "percent_saved": _saved,
         "edge_display": _display,
         "anchor_extraction": _anchors,
         "caller_names": lambda s, d: name_ends(callers(_edges(s, d), TARGET, 500), symbols(s, d)).select("caller_name").distinct(),
         "every_kth_symbol": _sampled,
-        "event_deltas": _deltas,
         "symbol_by_id": lambda s, d: find_by_id(symbols(s, d), TARGET).select("id", "name", "kind", "file"),
         "keyword_rate_ci": lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", hit_rate(F.col("text"), KEYWORDS).alias("rate"), (hit_rate(F.col("text"), KEYWORDS) >= 0.6).alias("correct")),
     }
@@ -183,7 +167,6 @@ SELECT page_id, round(p, 9) AS precision, round(q, 9) AS recall, round(CASE WHEN
 SELECT from_id, split_part(p, ':', 1) AS file, regexp_extract(p, ':([0-9]+)', 1)::BIGINT AS line, regexp_extract(p, ' @ ([0-9a-f]+)', 1) AS sha, count(*) AS times FROM each GROUP BY ALL""",
         "caller_names": f"WITH {GRAPH}, near AS (SELECT * FROM edges WHERE to_id = '{TARGET}' ORDER BY t, k0, k1, k2, k3 LIMIT 500) SELECT DISTINCT coalesce(s.name, from_id) AS caller_name FROM near LEFT JOIN symbols s ON s.id = from_id",
         "every_kth_symbol": f"WITH {GRAPH}, r AS (SELECT id, name, kind, row_number() OVER (ORDER BY t, k) - 1 AS rank, greatest(1, count(*) OVER () // 20) AS step FROM symbols WHERE kind IN ('function', 'method')) SELECT id, name, kind, rank FROM r WHERE rank % step = 0 AND rank < step * 20",
-        "event_deltas": "SELECT event_type, count(*) FILTER (event_id % 3 <> 0) AS before, count(*) FILTER (event_id % 4 <> 0) AS after, count(*) FILTER (event_id % 4 <> 0) - count(*) FILTER (event_id % 3 <> 0) AS delta FROM events GROUP BY event_type",
         "symbol_by_id": f"WITH {GRAPH} SELECT id, name, kind, file FROM symbols WHERE id = '{TARGET}'",
         "keyword_rate_ci": "SELECT conv_id, turn, n / 4.0::DOUBLE AS rate, n / 4.0::DOUBLE >= 0.6 AS correct FROM (SELECT conv_id, turn, contains(lower(text), 'the')::INT + contains(lower(text), 'error')::INT + contains(lower(text), 'que')::INT + contains(lower(text), 'und')::INT AS n FROM conversations)",
     }

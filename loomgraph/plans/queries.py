@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.redact import PATTERNS, detect_secrets, one_line_signature, redact_secrets, repo_id, sanitize
+from ..operators.evaluate import hit_rate, matching_bytes
 from ..operators.impact import impact, impact_stats
 from ..operators.lookup import callees, callers, recall, recall_by_kind
 from ..operators.resolve import hot_symbols, resolution_stats, resolve_calls
-from ..sources.relational import raw_calls, symbols
+from ..sources.git import tree_changes
+from ..sources.relational import link_calls, raw_calls, symbols
+from ..streaming.maintain import last_events
 
 TARGET = "supp:1"
 
@@ -54,10 +57,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sanitize_text": lambda s, d: docs(s, d).select("doc_id", sanitize(F.col("text"), 400).alias("clean")),
         "one_line_signature": lambda s, d: docs(s, d).select("doc_id", one_line_signature(F.col("text")).alias("signature")),
         "repo_ids": lambda s, d: _table(s, d, "pages").select("page_id", repo_id(F.col("url")).alias("repo_id")),
-        "grep_baseline": lambda s, d: docs(s, d).filter(F.col("text").contains("the ")).groupBy("lang").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes")),
-        "keyword_hit_rate": lambda s, d: docs(s, d).select("doc_id", (F.size(F.filter(F.array(*map(F.lit, ["the", "que", "und", "des"])), lambda k: F.contains(F.lower("text"), k))) / 4).alias("rate")),
-        "href_calls": lambda s, d: _table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("to_name")).groupBy("page_id", "to_name").agg(F.count("*").alias("calls")),
-        "event_merge": lambda s, d: _table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count("*").alias("events")),
+        "grep_baseline": lambda s, d: matching_bytes(docs(s, d).withColumnRenamed("text", "content"), "the ", "lang"),
+        "keyword_hit_rate": lambda s, d: docs(s, d).select("doc_id", hit_rate(F.col("text"), ["the", "que", "und", "des"]).alias("rate")),
+        "href_calls": lambda s, d: link_calls(_table(s, d, "pages")).withColumnRenamed("from_id", "page_id"),
+        "event_merge": _event_merge,
         "tree_diff": _tree_diff,
     }
 
@@ -65,9 +68,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths added, modified or removed between two listings of (path, oid)."""
     pages = _table(spark, sf_dir, "pages")
-    before = pages.filter("page_id % 5 <> 0").select(F.col("url").alias("path"), F.sha2("html", 256).alias("old"))
-    after = pages.filter("page_id % 7 <> 0").select(F.col("url").alias("path"), F.when(F.col("page_id") % 3 == 0, F.sha2(F.concat("html", F.lit("!")), 256)).otherwise(F.sha2("html", 256)).alias("new"))
-    return before.join(after, "path", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new"))).select("path", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").otherwise("modified").alias("change"))
+    before = pages.filter("page_id % 5 <> 0").select(F.col("url").alias("path"), F.sha2("html", 256).alias("oid"))
+    after = pages.filter("page_id % 7 <> 0").select(F.col("url").alias("path"), F.when(F.col("page_id") % 3 == 0, F.sha2(F.concat("html", F.lit("!")), 256)).otherwise(F.sha2("html", 256)).alias("oid"))
+    return tree_changes(before, after).withColumnRenamed("file", "path")
+
+
+def _event_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user's file; some files are no sources, lie outside the root, or see events of no known kind."""
+    k = F.col("user_id")
+    path = F.concat(F.when(k % 7 == 0, "/other/u").otherwise("/repo/u"), k.cast("string"), F.when(k % 5 == 0, ".txt").otherwise(".ts"))
+    kind = F.element_at(F.array(*map(F.lit, ["add", "change", "unlink", "rename"])), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("event_seq"), path.alias("path"), kind.alias("kind"), F.col("event_type").alias("content"))
+    return last_events(rows, "/repo")
 
 
 GRAPH = """
@@ -147,6 +159,6 @@ def oracle_sql() -> dict[str, str]:
         "grep_baseline": "SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents WHERE contains(text, 'the ') GROUP BY lang",
         "keyword_hit_rate": "SELECT doc_id, (contains(lower(text), 'the')::INT + contains(lower(text), 'que')::INT + contains(lower(text), 'und')::INT + contains(lower(text), 'des')::INT) / 4.0::DOUBLE AS rate FROM documents",
         "href_calls": """SELECT page_id, to_name, count(*) AS calls FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS to_name FROM pages) GROUP BY ALL""",
-        "event_merge": "SELECT user_id, arg_max(event_type, row(ts, event_id)) AS last_type, count(*) AS events FROM events GROUP BY user_id",
+        "event_merge": "SELECT 'u' || user_id || '.ts' AS file, (['add', 'change', 'unlink'])[max(event_id) % 4 + 1] AS kind, arg_max(event_type, event_id) AS content FROM events WHERE user_id % 5 <> 0 AND user_id % 7 <> 0 AND event_id % 4 < 3 GROUP BY user_id",
         "tree_diff": "WITH b AS (SELECT url AS path, sha256(html) AS old FROM pages WHERE page_id % 5 <> 0), a AS (SELECT url AS path, CASE WHEN page_id % 3 = 0 THEN sha256(html || '!') ELSE sha256(html) END AS new FROM pages WHERE page_id % 7 <> 0) SELECT path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM b FULL JOIN a USING (path) WHERE old IS DISTINCT FROM new",
     }

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}  # a folder for each application on one machine
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The application's folder below spark.checkpoint.dir; a temporary one only where that is unset and all runs in this process."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        root = _local[context.applicationId]
+    return f"{root.rstrip('/')}/loomgraph-{context.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir (a local folder only where that is unset) and read it back."""
+    """Write ``df`` below the shared folder and read it back."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import time
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Any
 from urllib.parse import unquote, urlparse
 
@@ -13,16 +14,18 @@ from pyspark.sql import functions as F
 
 from . import journal
 from .functions.display import ambiguity, anchor, display_name, name_ends
-from .operators.impact import impact, impact_stats
+from .operators.impact import impact, impact_names, impact_stats
 from .operators.index import index_directory
 from .operators.lookup import callees, callers, find_by_id, recall
 from .operators.resolve import resolution_stats
 from .requests import BadRequest, validate
-from .sources.git import changed_files, read_head, worktree_root
-from .sources.scan import RootRefused, TooManyFiles
+from .schema import FAN_IN, MAX_NEIGHBOURS
+from .sources.git import MAX_PARENTS, changed_files, read_head, worktree_root
+from .sources.scan import RootRefused, TooManyFiles, is_under
 from .sources.store import LoadFailed, Store, Stored
 
 SHOWN_REPOS = 8
+ROOT_VARIABLE, NO_WORKTREE_VARIABLE = "LOOMGRAPH_ROOT", "LOOMGRAPH_NO_WORKTREE"
 
 
 class NotFound(LookupError):
@@ -36,6 +39,11 @@ class Answer:
     is_error: bool = False
 
 
+def _work_tree(path: str) -> str:
+    """The work tree around a path, or the path itself without one or where that is switched off."""
+    return path if os.environ.get(NO_WORKTREE_VARIABLE) else worktree_root(path) or path
+
+
 def root_from_uri(value: str) -> str | None:
     """The path of a file URI or absolute path, else None."""
     if value.startswith("file://"):
@@ -64,17 +72,28 @@ class Workspace:
 
     # --- which repository ---------------------------------------------------
     def repository(self, path: str | None) -> str:
-        """The given root or the work tree around it, else that of the current folder, else the only one stored."""
+        """Which root a request is about.
+
+        The given path; else ``LOOMGRAPH_ROOT``; else the nearest indexed
+        folder at or above the current one; else the only indexed one below
+        it; else the only one stored.  A given path that is not stored itself
+        stands for the work tree around it, unless ``LOOMGRAPH_NO_WORKTREE``
+        is set.
+        """
+        path = (path or "").strip() or os.environ.get(ROOT_VARIABLE, "").strip()
         if path:
             root = root_from_uri(path) or os.path.abspath(path)
-            return root if self.store.current(root) else worktree_root(root) or root
+            return root if self.store.current(root) else _work_tree(root)
         here = os.getcwd()
-        for root in (here, worktree_root(here)):
-            if root and self.store.current(root):
-                return root
-        known = self.store.catalog().limit(SHOWN_REPOS + 1).collect()
-        if len(known) == 1:
-            return known[0].root_path
+        for folder in [here, *map(str, Path(here).parents)][: MAX_PARENTS + 1]:
+            for root in (folder, _work_tree(folder)):
+                if self.store.current(root):
+                    return root
+        known = self.store.catalog().collect()
+        below = [r for r in known if is_under(r.root_path, here)]
+        for some in (below, known):
+            if len(some) == 1:
+                return some[0].root_path
         names = ", ".join(r.root_path for r in known[:SHOWN_REPOS])
         raise NotFound(f"several repositories are stored, name one: {names}" if known else "nothing is indexed yet")
 
@@ -97,8 +116,7 @@ class Workspace:
 
     # --- requests -----------------------------------------------------------
     def index(self, path: str | None = None) -> Answer:
-        root = os.path.abspath(path or os.getcwd())
-        root = worktree_root(root) or root
+        root = _work_tree(os.path.abspath(path or os.getcwd()))
         began = time.perf_counter()
         graph = index_directory(self.spark, root)
         head = read_head(root)
@@ -146,12 +164,19 @@ class Workspace:
         if target is None:
             raise NotFound(f"no symbol {symbol}")
         found = impact(self.spark.createDataFrame([(target.id,)], "target_id string"), held.graph.edges, held.graph.symbols, depth, changed=changed, stored=True)
-        rows = found.orderBy("depth", "disc_rank").collect()
+        rows = impact_names(found, held.graph.symbols).orderBy("depth", "disc_rank").collect()
         stats = impact_stats(found).first()
-        lines = [f"{target.id}: no callers" if stats is None else f"{target.id}: {stats.direct_count} direct and {stats.transitive_count} transitive callers in {stats.file_count} files, {stats.test_count} in tests{', cut at the level limit' if stats.truncated else ''}"]
+        cut_short = any(r.truncated for r in rows)
+        lines = [f"{target.id}: no callers" if stats is None else f"{target.id}: {stats.direct_count} direct and {stats.transitive_count} transitive callers in {stats.file_count} files, {stats.test_count} in tests{', cut at the level limit' if cut_short else ''}"]
         if target.exported:
             lines.append("exported: code outside this repository may call it" if stats is None else "exported: changes reach beyond the callers below")
-        lines += [f"{'  ' * r.depth}{r.caller_id} via {r.via_to_id}{' (test)' if r.is_test else ''}" for r in rows]
+        fan_in = callers(held.graph.edges, target.id, MAX_NEIGHBOURS).count()
+        if fan_in >= FAN_IN:
+            lines.append(f"at least {FAN_IN} calls lead to it; only the first {FAN_IN} are followed")
+        lines += [f"{'  ' * r.depth}{r.caller_name} via {r.via_name}  {r.caller_file}{' (test)' if r.is_test else ''}" for r in rows]
+        for title, some in (("tests to run", sorted({r.caller_file for r in rows if r.is_test})), ("public API reached", sorted({r.caller_name for r in rows if r.exported and not r.is_test}))):
+            if some:
+                lines.append(f"{title}: {', '.join(some)}")
         return Answer("\n".join(lines), rows)
 
     def request(self, tool: str, arguments: Any = None) -> Answer:

@@ -52,3 +52,9 @@ def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(calls(orders, "cust:", "o_custkey", F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")), 2, "o_orderkey"))
         .unionByName(calls(events, "cust:", "user_id", F.col("event_type"), 3, "event_id"))
     )
+
+
+def link_calls(pages: DataFrame) -> DataFrame:
+    """(from_id, to_name, calls): how often a page (page_id, html) links to each target, as calls by name."""
+    links = pages.select(F.col("page_id").alias("from_id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("to_name"))
+    return links.groupBy("from_id", "to_name").agg(F.count("*").alias("calls"))

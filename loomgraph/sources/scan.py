@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 LANGUAGES = {"ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript"}
 IGNORED = ["node_modules", "dist", "build", ".git", "coverage", ".next", ".nuxt", ".cache", "out"]
 MAX_FILES, MAX_BYTES = 50_000, 5 * 1024 * 1024
-SYSTEM_ROOTS = ["/", "/bin", "/boot", "/dev", "/etc", "/lib", "/proc", "/root", "/sbin", "/sys", "/usr", "/var"]
+SYSTEM_ROOTS = [
+    "/", "/bin", "/boot", "/dev", "/etc", "/home", "/lib", "/lib64", "/opt", "/proc", "/root", "/run", "/sbin", "/srv", "/sys", "/tmp", "/usr", "/usr/bin", "/usr/local", "/var",
+    "/private", "/private/etc", "/private/var", "/private/tmp", "/Applications", "/Library", "/System", "/Volumes", "/Users",
+    r"C:\Windows", r"C:\Windows\System32", r"C:\Program Files", r"C:\Program Files (x86)", r"C:\Users", r"C:\ProgramData",
+]
 
 _IGNORED = re.compile(rf"(^|/)({'|'.join(map(re.escape, IGNORED))})(/|$)|\.d\.ts$")
 _SOURCE = re.compile(rf"\.({'|'.join(LANGUAGES)})$", re.I)

@@ -72,6 +72,10 @@ class Store:
         now = dt.datetime.now(dt.UTC)
         name = f"{now:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
         place = f"{self.root}/{repo}/{name}"
+        fs, folder = self._path(repo, name)
+        fs.mkdirs(folder)
+        for private in (folder.getParent(), folder):  # owner only, whatever the files below allow
+            fs.setPermission(private, self.spark._jvm.org.apache.hadoop.fs.permission.FsPermission("700"))
         graph.symbols.write.parquet(f"{place}/symbols")
         graph.edges.write.parquet(f"{place}/edges")
         counts = [self.spark.read.parquet(f"{place}/{t}").count() for t in ("symbols", "edges")]
@@ -111,6 +115,13 @@ class Store:
             raise LoadFailed("unreadable", str(why)[:200]) from why
         return Stored(Graph(*tables, files_indexed=meta.get("files_indexed", 0)), meta, name)
 
+    def load_or_none(self, root_path: str) -> Stored | None:
+        """The newest snapshot, or None for whatever reason it cannot be loaded."""
+        try:
+            return self.load(root_path)
+        except LoadFailed:
+            return None
+
     def catalog(self) -> DataFrame:
         """A row per repository with a committed snapshot, the most recent first."""
         rows = []

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import Graph, derive_raw_calls, extract, extracted_calls, extracted_symbols
+from ..operators.index import Graph, derive_raw_calls, extract, extracted_calls, extracted_symbols, index_directory
 from ..operators.resolve import resolve_calls
 from ..plans.shared import cut
 from ..sources.git import read_head
@@ -20,7 +22,7 @@ EVENTS = "event_seq long, path string, kind string, content string"
 
 @dataclass
 class Update:
-    """What one batch changed."""
+    """What one batch changed; without a snapshot it changed nothing."""
 
     symbols: int
     edges: int
@@ -35,21 +37,27 @@ class Update:
         return f"{shown(self.symbols, self.symbol_delta)} symbols, {shown(self.edges, self.edge_delta)} edges"
 
 
-def last_events(events: DataFrame) -> DataFrame:
-    """(file, kind, content) of the last event of every source file, which is what quick repeated saves come to."""
-    some = events.filter(watchable(F.col("path")) & F.col("kind").isin("add", "change", "unlink"))
-    last = some.groupBy(F.col("path").alias("file")).agg(F.max_by(F.struct("kind", "content"), "event_seq").alias("e"))
+def last_events(events: DataFrame, root: str = "") -> DataFrame:
+    """(file, kind, content) of the last event of every source file, which is what quick repeated saves come to.
+
+    With a ``root``, absolute paths below it count and become relative to it;
+    others, and paths that climb with ``..``, are left out.
+    """
+    path = F.col("path")
+    inside = path.startswith("/") & ~path.contains("/../") if root else F.lit(True)
+    some = events.filter(watchable(path, root) & inside & F.col("kind").isin("add", "change", "unlink"))
+    file = F.substring(path, len(root.rstrip("/")) + 2, 1 << 20) if root else path
+    last = some.groupBy(file.alias("file")).agg(F.max_by(F.struct("kind", "content"), "event_seq").alias("e"))
     return last.select("file", "e.kind", "e.content")
 
 
-def apply_events(graph: Graph, events: DataFrame) -> Graph:
-    """The graph after a batch of events (see ``EVENTS``): the same as one built anew from the files then present.
+def apply_changes(graph: Graph, last: DataFrame) -> Graph:
+    """The graph after ``last`` (file, kind, content; one row per file): the same as one built anew from the files then present.
 
     A file that is gone, too large or unreadable loses its rows.  Only calls
     whose name is defined by a changed file before or after are resolved
     again, besides the calls of changed files; the rest keep their targets.
     """
-    last = cut(last_events(events), "events")
     parsed = cut(extract(last.filter("kind <> 'unlink'")).filter("error IS NULL"), "parsed")
     fresh = extracted_symbols(parsed)
     kept = graph.symbols.join(last.select("file"), "file", "left_anti").select(*graph.symbols.columns)
@@ -63,30 +71,46 @@ def apply_events(graph: Graph, events: DataFrame) -> Graph:
     return Graph(symbols, cut(edges, "edges"))
 
 
+def apply_events(graph: Graph, events: DataFrame, root: str = "") -> Graph:
+    """The graph after a batch of events (see ``EVENTS``)."""
+    return apply_changes(graph, cut(last_events(events, root), "events"))
+
+
+def unchanged(graph: Graph, last: DataFrame) -> bool:
+    """Whether ``last`` writes no file and removes none that the graph has rows of."""
+    if not last.filter("kind <> 'unlink'").isEmpty():
+        return False
+    return all(t.join(last.select("file"), "file", "left_semi").isEmpty() for t in (graph.symbols, graph.edges))
+
+
 class Maintainer:
     """Applies event batches to the newest snapshot of a repository and stores the result.
 
     Batches are serial; every batch starts from the snapshot that is then
-    newest, so an index made elsewhere in between is taken up.
+    newest, so an index made elsewhere in between is taken up.  A batch that
+    changes nothing stores nothing.  A batch that fails is noted in
+    ``failures`` and the stream goes on.  ``absolute`` events name paths below
+    the root; others are relative to it.
     """
 
-    def __init__(self, spark: SparkSession, store: Store, root_path: str):
-        self.spark, self.store, self.root_path = spark, store, root_path
+    def __init__(self, spark: SparkSession, store: Store, root_path: str, absolute: bool = False):
+        self.spark, self.store, self.root_path, self.absolute = spark, store, root_path, absolute
         self.updates: list[Update] = []
+        self.failures: list[tuple[int, str]] = []
         self.query: StreamingQuery | None = None
 
-    def apply(self, events: DataFrame, batch: int = 0) -> Update:
+    def _before(self) -> tuple[Graph, tuple[int, int]]:
         try:
             before = self.store.load(self.root_path)
-            graph, counts = before.graph, (before.meta["symbol_count"], before.meta["edge_count"])
+            return before.graph, (before.meta["symbol_count"], before.meta["edge_count"])
         except LoadFailed as why:
             if why.reason != "missing":
                 raise
-            none = self.spark.createDataFrame([], extract(events.sparkSession.createDataFrame([], "file string, content string")).schema)
-            nodes = extracted_symbols(none)
-            graph, counts = Graph(nodes, resolve_calls(extracted_calls(none), nodes)), (0, 0)
-        after = apply_events(graph, events)
-        after.files_indexed = after.symbols.select("file").distinct().count()
+        none = self.spark.createDataFrame([], extract(self.spark.createDataFrame([], "file string, content string")).schema)
+        nodes = extracted_symbols(none)
+        return Graph(nodes, resolve_calls(extracted_calls(none), nodes)), (0, 0)
+
+    def _saved(self, after: Graph, counts: tuple[int, int]) -> Update:
         head = read_head(self.root_path)
         name = self.store.save(after, self.root_path, head["sha"], head["branch"])
         meta = self.store.load(self.root_path).meta
@@ -94,9 +118,38 @@ class Maintainer:
         self.updates.append(update)
         return update
 
+    def apply(self, events: DataFrame, batch: int = 0) -> Update:
+        graph, counts = self._before()
+        last = cut(last_events(events, self.root_path if self.absolute else ""), "events")
+        if unchanged(graph, last):
+            return Update(*counts, 0, 0, None)
+        after = apply_changes(graph, last)
+        after.files_indexed = after.symbols.select("file").distinct().count()
+        return self._saved(after, counts)
+
+    def full_reindex(self) -> Update:
+        """Read the whole folder again, whatever is stored."""
+        try:
+            counts = self._before()[1]
+        except LoadFailed:
+            counts = (0, 0)
+        return self._saved(index_directory(self.spark, self.root_path), counts)
+
+    def _batch(self, events: DataFrame, batch: int) -> None:
+        try:
+            self.apply(events, batch)
+        except Exception as why:  # the next batches still count; what failed is kept for the caller
+            self.failures.append((batch, f"{type(why).__name__}: {why}"[:500]))
+            logging.getLogger(__name__).warning("batch %d failed: %s", batch, why)
+
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Run on a stream of ``EVENTS``; a trigger interval takes the place of waiting for writes to settle."""
-        self.query = stream.writeStream.foreachBatch(lambda df, n: self.apply(df, n) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+        """Run on a stream of ``EVENTS``; a trigger interval takes the place of waiting for writes to settle.
+
+        A folder without a stored graph is indexed first.
+        """
+        if self.store.current(self.root_path) is None and os.path.isdir(self.root_path):
+            self.full_reindex()
+        self.query = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
         return self.query
 
     def stop(self) -> None:

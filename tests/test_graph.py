@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from loomgraph.plans import code, evaluation
+from loomgraph.plans import code, evaluation, upkeep
 from loomgraph.plans import queries as graph
 
-QUERIES, SQL = graph.queries() | evaluation.queries() | code.queries(), graph.oracle_sql() | evaluation.oracle_sql() | code.oracle_sql()
+QUERIES, SQL = graph.queries() | evaluation.queries() | code.queries() | upkeep.queries(), graph.oracle_sql() | evaluation.oracle_sql() | code.oracle_sql() | upkeep.oracle_sql()
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()

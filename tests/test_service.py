@@ -62,3 +62,45 @@ def test_workspace(spark, tmp_path):
     assert len(space.request("callers", {"symbol": "target"}).rows) == 2
     assert space.status().text.endswith("Z") or "3 files" in space.status().text
     assert len(open(tmp_path / "log.jsonl").readlines()) == 13
+
+
+def test_impact_text_names_ends_tests_and_public_callers(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "a.ts").write_text("export function target() {}\nexport function top() { middle(); }\nfunction middle() { target(); }\n")
+    (root / "a.test.ts").write_text("function check() { top(); }\n")
+    space = Workspace(spark, str(tmp_path / "store"))
+    space.request("index", {"path": str(root)})
+    lines = space.request("impact", {"symbol": "target"}).text.split("\n")
+    assert lines[1:] == ["exported: changes reach beyond the callers below", "  middle via target  a.ts", "    top via middle  a.ts", "      check via top  a.test.ts (test)", "tests to run: a.test.ts", "public API reached: top"]
+
+
+def test_which_repository(spark, tmp_path, monkeypatch):
+    roots = [tmp_path / "one", tmp_path / "two"]
+    space = Workspace(spark, str(tmp_path / "store"))
+    for root in roots:
+        (root / "deep").mkdir(parents=True)
+        (root / "a.ts").write_text("function f() {}\n")
+        space.request("index", {"path": str(root)})
+    one, two = map(str, roots)
+    monkeypatch.chdir(roots[0] / "deep")
+    assert space.repository(None) == one
+    monkeypatch.setenv("LOOMGRAPH_ROOT", two)
+    assert space.repository(None) == two and space.repository(one) == one
+    monkeypatch.delenv("LOOMGRAPH_ROOT")
+    monkeypatch.chdir(tmp_path)
+    assert space.request("recall", {"query": "f"}).is_error
+    (roots[0] / ".git").mkdir()
+    assert space.repository(f"{one}/deep") == one
+    monkeypatch.setenv("LOOMGRAPH_NO_WORKTREE", "1")
+    assert space.repository(f"{one}/deep") == f"{one}/deep"
+
+
+def test_command_line_checks(capsys):
+    from loomgraph.__main__ import main
+
+    assert main(["version"]) == 0 and capsys.readouterr().out.strip()
+    for bad in (["watch", "."], ["unknown"]):
+        with pytest.raises(SystemExit) as why:
+            main(bad)
+        assert why.value.code == 2

@@ -96,3 +96,50 @@ def test_stream(spark, tmp_path):
     keeper = Maintainer(spark, store, "/r")
     keeper.start(spark.readStream.schema(EVENTS).json(str(source)), str(tmp_path / "cp"), availableNow=True).awaitTermination(60)
     assert store.load("/r").meta["symbol_count"] == 1
+
+
+def _events(spark, *rows):
+    return spark.createDataFrame(list(rows), EVENTS)
+
+
+def test_batches_without_effect_store_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    keeper = Maintainer(spark, store, "/r")
+    first = keeper.apply(_events(spark, (1, "a.ts", "add", A)))
+    idle = keeper.apply(_events(spark, (2, "gone.ts", "unlink", None), (3, "x.txt", "add", "f()")))
+    assert idle.snapshot is None and (idle.symbols, idle.symbol_delta) == (1, 0) and store.current("/r") == first.snapshot
+    assert len(keeper.updates) == 1 and keeper.apply(_events(spark)).snapshot is None
+
+
+def test_absolute_events_stay_below_the_root(spark, tmp_path):
+    keeper = Maintainer(spark, Store(spark, str(tmp_path / "s")), "/r", absolute=True)
+    keeper.apply(_events(spark, (1, "/r/a.ts", "add", A), (2, "/other/b.ts", "add", A), (3, "/r/../etc/c.ts", "add", A), (4, "/rx/d.ts", "add", A), (5, "e.ts", "add", A)))
+    assert [r.file for r in keeper.store.load("/r").graph.symbols.collect()] == ["a.ts"]
+
+
+def test_watcher_indexes_first_and_survives_a_failure(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "a.ts").write_text(A)
+    source = tmp_path / "events"
+    source.mkdir()
+    store = Store(spark, str(tmp_path / "s"))
+    keeper = Maintainer(spark, store, str(root), absolute=True)
+    apply, calls = keeper.apply, []
+
+    def fails_once(df, n=0):
+        calls.append(n)
+        if len(calls) == 1:
+            raise OSError("full")
+        return apply(df, n)
+
+    monkeypatch.setattr(keeper, "apply", fails_once)
+    for n, kind in enumerate(("add", "change"), 1):
+        (source / f"{n}.json").write_text(json.dumps({"event_seq": n, "path": f"{root}/b.ts", "kind": kind, "content": B}))
+        keeper.start(spark.readStream.schema(EVENTS).json(str(source)), str(tmp_path / "cp"), availableNow=True).awaitTermination(60)
+    assert [str(u) for u in keeper.updates] == ["1 (+1) symbols, 0 edges", "2 (+1) symbols, 2 (+2) edges"]
+    assert len(keeper.failures) == 1 and keeper.failures[0][1] == "OSError: full"
+    (root / "c.ts").write_text(A)
+    assert keeper.full_reindex().symbols == 2
+    assert store.load_or_none("/none") is None and store.load_or_none(str(root)).meta["symbol_count"] == 2
+    assert (tmp_path / "s" / repo_id_of(str(root))).stat().st_mode & 0o777 == 0o700
