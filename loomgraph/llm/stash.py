@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -11,14 +12,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_local: dict[str, str] = {}  # a folder for each application on one machine
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The application's folder below spark.checkpoint.dir; a temporary one only where that is unset and all runs in this process (tests)."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        found = _local[context.applicationId]
+    return f"{found.rstrip('/')}/loomgraph-{context.applicationId}"
 
 
 class Stash:
