@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, spread_join
 from .stash import Stash, release
 from .textkit import Words, mix, slices
 
@@ -162,7 +162,7 @@ def _families(kept: DataFrame, classes: DataFrame, stash: Stash) -> DataFrame:
     """(node, component, family) of the texts in buckets that hold several classes; buckets with a text in common are one family."""
     named = kept.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.min("node").alias("least")).filter("a < z").select("bucket", "least")
-    open_ = stash.keep(named.join(several, "bucket").select("node", "component", "least"), "open")
+    open_ = stash.keep(spread_join(named, several, "bucket", "node").select("node", "component", "least"), "open")
     joined = components(open_.select(F.col("node").alias("u"), F.col("least").alias("v")), stash)
     return open_.select("node", "component").distinct().join(joined.withColumnRenamed("component", "family"), "node")
 
@@ -264,11 +264,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     release(spark)
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stash.keep(placed.join(shared, "bucket"), "met")
+    met = stash.keep(spread_join(placed, shared, "bucket", "node"), "met")
     central = met.groupBy("node").agg(F.sum("n").alias("rank"))
     ranked = stash.keep(met.join(central, "node").select("bucket", "node", "rank"), "ranked")
     leads = ranked.groupBy("bucket").agg(F.min(F.struct(-F.col("rank"), F.col("node").alias("lead"))).alias("best")).select("bucket", F.col("best.lead").alias("lead"))
-    live = stash.keep(ranked.join(leads, "bucket").select("bucket", "node", "lead"), "buckets")
+    live = stash.keep(spread_join(ranked, leads, "bucket", "node").select("bucket", "node", "lead"), "buckets")
     wanted = live.select("node").distinct()
     texts = stash.keep(docs.hint("merge").join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text"), "texts")
     release(spark)
@@ -281,14 +281,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     seen = live.filter("node <> lead").join(judged, ["node", "lead"]).select("bucket", "node", (1 - F.col("similarity")).alias("far"), (F.col("similarity") < threshold).alias("apart"))
     nearest = seen.filter("apart").groupBy("bucket").agg(F.min("far").alias("nearest"))
     stays = F.col("apart") | (F.col("far") >= F.col("nearest") - (1 - threshold) - 1e-9)
-    kept = seen.join(nearest, "bucket").filter(stays).select("bucket", "node")
+    kept = spread_join(seen, nearest, "bucket", "node").filter(stays).select("bucket", "node")
     families = stash.keep(_families(kept, classes, stash), "families")
     release(spark)
     more = stash.keep(_family_links(families, texts, threshold), "links")
     classes = _merge(classes, more, stash)
     release(spark)
     named = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.col("node").alias("copy_of"), F.coalesce("component", "node").alias("class_id"))
-    return signed.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    return spread_join(signed.select("doc_id", "digest"), named, "digest", "doc_id", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

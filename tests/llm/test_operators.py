@@ -14,7 +14,8 @@ import pyarrow as pa
 import pytest
 import regex
 
-from loomgraph.llm import decontaminate, license_rules, license_scan, line_quality, packing, probminhash, queries, secret_links, substring_dedup, tiff, toxicity, url_filter
+from loomgraph.llm import components, decontaminate, license_rules, license_scan, line_quality, packing, probminhash, queries, secret_links, substring_dedup, tiff, toxicity, url_filter
+from loomgraph.llm.stash import Stash
 
 SF = "/root/testdata/sf0.001"
 DDL = "n_words string, doc_id long, text string, lang string, source string, n_chars long"
@@ -182,6 +183,30 @@ def test_near_duplicates_match_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def _roots(edges):
+    root = {x: x for e in edges for x in e}
+    for u, v in edges:
+        a, b = sorted((root[u], root[v]))
+        root = {x: a if r == b else r for x, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("edges", [[], [(7, 7)], [(3, 9)] * 3, [(i, i + 1) for i in range(40)], [(500, i) for i in range(300)] + [(501, 500)], [(random.Random(i).randrange(90), random.Random(-i).randrange(90)) for i in range(70)]])
+def test_components_match_union_find(spark, edges):
+    """No edges, self-loops, repeated edges, a chain, a node with many neighbours, a random graph."""
+    found = components.components(spark.createDataFrame(edges, "u long, v long"), Stash(spark, "test"))
+    got = [(r.node, r.component) for r in found.collect()]
+    assert sorted(got) == sorted(_roots([e for e in edges if e[0] != e[1]]).items())
+
+
+def test_joins_on_a_hot_key_equal_plain_ones(spark):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [("none", None)] * 2, "key string, id long")
+    table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 200)], "key string, value long")
+    for how in ("inner", "left"):
+        got = components.spread_join(rows, table, "key", "id", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "key", how).collect()))
+
+
 def _removal(texts, ids):
     """(n_words, n_removed, sha) of each text by comparing word tuples; documents in order of their ids."""
     words = [re.findall("[^\\x20\\x09-\\x0D]+", t or "") for t in texts]
