@@ -231,7 +231,7 @@ def _family_links(families: DataFrame, texts: DataFrame, threshold: float) -> Da
 
     told = families.join(texts, "node")
     blocks = told.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_BYTES)).alias("blocks"))
-    dealt = told.join(blocks, "family").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = spread_join(told, blocks, "family", "node").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keyed = paired.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", "text")
     return keyed.groupBy("family", "i", "j").applyInArrow(run, "u long, v long")
