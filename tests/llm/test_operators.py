@@ -431,6 +431,17 @@ def test_clean_removes_documents_that_hold_an_item(spark):
     assert decontaminate.clean(docs, marks.limit(0)).count() == 6 and decontaminate.clean(docs.limit(0), marks).columns == docs.columns
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.oracle_sql()) - {"op9_url_filter"}))
+def test_registered_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
+
+
 def test_url_verdicts_match_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT page_id, url FROM read_parquet('{SF}/pages.parquet')")
