@@ -6,19 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_quality, packing, probminhash, secret_links, substring_dedup, tiff, toxicity, url_filter
+from . import bpe, decontaminate, license_scan, line_quality, packing, probminhash, ranked_search, secret_links, substring_dedup, tiff, toxicity, url_filter
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER))
+
+
+def decoded_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column of op12 that SQL can tell: what the ids decode to."""
+    return op12_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
 def payload_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1 that SQL can tell: what was read back from the stored media."""
     return op1_tiff_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -112,9 +125,9 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z A
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_tiff_media, op2_best_fit_packing, op3_line_quality, op4_secret_links, op5_probminhash, op6_toxicity, op7_substring_dedup, op8_template_leaks, op9_url_filter, op10_license_scan, payload_digests, secret_base_counts, license_base_places]
+    found = [op1_tiff_media, op2_best_fit_packing, op3_line_quality, op4_secret_links, op5_probminhash, op6_toxicity, op7_substring_dedup, op8_template_leaks, op9_url_filter, op10_license_scan, op11_ranked_search, op12_byte_bpe, decoded_digests, payload_digests, secret_base_counts, license_base_places]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": SUBSTRING_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "payload_digests": PAYLOAD_SQL, "secret_base_counts": SECRET_SQL, "license_base_places": LICENSE_SQL}
+    return {"op7_substring_dedup": SUBSTRING_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL, "decoded_digests": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents", "payload_digests": PAYLOAD_SQL, "secret_base_counts": SECRET_SQL, "license_base_places": LICENSE_SQL}
