@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: file:line, with an optional revision of at least 7 hexadecimal digits.
-ANCHOR = r"([A-Za-z0-9_./-]+\.[a-z]+):([0-9]+)(?: @ ([0-9a-f]{7,40}))?"
+#: Fixed value: a source file and line, with an optional revision of seven hexadecimal digits.
+ANCHOR = r"(\S+\.(?:ts|tsx|js|jsx)):(\d+)(?:\s+@\s+([0-9a-f]{7}))?"
 
 
 def short_sha(sha: Column) -> Column:

@@ -105,9 +105,9 @@ def every_kth(symbols: DataFrame, n: int, kinds: tuple[str, ...] = ("function",
     return ranked.filter((F.col("rank") % step == 0) & (F.col("rank") < step * n)).select("id", "name", "kind", "rank")
 
 
-#: What a line says it declares, and where an answer names its evidence.
+#: What a line says it declares, and how an answer gives a line at a revision.
 DECLARED = [r"(?:function|class|interface)\s+([A-Za-z_$][A-Za-z0-9_$]*)", r"(?<![A-Za-z0-9_])([A-Za-z_$][A-Za-z0-9_$]*)\s*[:=]\s*(?:async\s+)?(?:function|\()"]
-EVIDENCE = r"(\S+\.(?:ts|tsx|js|jsx)):([0-9]+)(?:\s+@\s+([0-9a-f]{7}))?"
+EVIDENCE = r":\d+\s*@\s*[0-9a-f]{7}"
 MESSAGE = "role string, usage struct<input_tokens:bigint,output_tokens:bigint>"
 
 
@@ -167,8 +167,12 @@ def turn_sizes(turns: DataFrame, opening: int = 2) -> DataFrame:
 
 
 def answer_checks(answer: Column, found: Column, truth: Column) -> Column:
-    """Struct (anchored, invented): whether an answer names its evidence, and how many distinct found names the truth lacks."""
-    return F.struct(answer.rlike(EVIDENCE).alias("anchored"), F.size(F.array_except(found, truth)).alias("invented"))
+    """Struct (anchored, invented): whether an answer gives a line at a revision, which one that found nothing need not, and how many distinct found names the truth lacks.
+
+    A null answer says nothing; null arrays count as empty.
+    """
+    found, truth = (F.coalesce(x, F.array().cast("array<string>")) for x in (found, truth))
+    return F.struct((F.coalesce(answer, F.lit("")).rlike(EVIDENCE) | (F.size(found) == 0)).alias("anchored"), F.size(F.array_except(found, truth)).alias("invented"))
 
 
 def truth_keywords(hints: Column, answer: Column) -> Column:

@@ -103,9 +103,10 @@ def _display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors written into the calls' display are read back."""
+    """Anchors in texts that place calls in files of every shape, with and without revisions."""
     shown = _display(spark, sf_dir).groupBy("from_id").agg(F.min("place").alias("a"), F.max("place").alias("z"))
-    return shown.select("from_id", F.explode(anchors(F.concat_ws("; ", "a", "z"))).alias("x")).groupBy("from_id", "x.file", "x.line", "x.sha").agg(F.count("*").alias("times"))
+    text = F.concat(F.lit("see ("), F.col("a"), F.lit(") and src/[id].tsx:4 @ "), F.substring(F.sha2("from_id", 256), 1, 9), F.lit(", lib/a$b.js:"), F.length("from_id").cast("string"), F.lit(" x.md:3 @ abcdef1 "), F.col("z"))
+    return shown.select("from_id", F.explode(anchors(text)).alias("x")).groupBy("from_id", "x.file", "x.line", "x.sha").agg(F.count("*").alias("times"))
 
 
 def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +135,9 @@ def queries() -> dict[str, Query]:
     }
 
 
+_ANCHOR = r"'(\S+\.(?:ts|tsx|js|jsx)):(\d+)(?:\s+@\s+([0-9a-f]{7}))?'"
+
+
 def _score_sql(empty: str) -> str:
     return f"""WITH f AS (SELECT DISTINCT lang, doc_id FROM documents WHERE n_chars > 600), t AS (SELECT DISTINCT lang, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
 m AS (SELECT coalesce(f.lang, t.lang) AS lang, f.doc_id AS a, t.doc_id AS b FROM f FULL JOIN t ON f.doc_id = t.doc_id AND f.lang IS NOT DISTINCT FROM t.lang),
@@ -163,8 +167,9 @@ SELECT page_id, round(p, 9) AS precision, round(q, 9) AS recall, round(CASE WHEN
         "token_summary": "SELECT role, coalesce(sum(length(text)) FILTER (turn < 2), 0)::BIGINT AS opening, coalesce(sum(length(text)) FILTER (turn >= 2), 0)::BIGINT AS later FROM conversations GROUP BY role",
         "percent_saved": "WITH s AS (SELECT lang, strlen(text) AS b, strlen(split_part(text, chr(10), 1)) AS g FROM documents WHERE text IS NOT NULL) SELECT lang, CASE WHEN sum(b) > 0 THEN floor((sum(b) - sum(g)) / sum(b) * 100 + 0.5) ELSE 0 END::BIGINT AS saved, round(avg(CASE WHEN b > 0 THEN 1 - g / b ELSE 0 END), 6) AS mean_reduction FROM s GROUP BY lang",
         "edge_display": f"{display} SELECT from_id, to_name, caller_name, callee, place, tag FROM shown",
-        "anchor_extraction": f"""{display}, ends AS (SELECT from_id, min(place) AS a, max(place) AS z FROM shown GROUP BY from_id), each AS (SELECT from_id, unnest([a, z]) AS p FROM ends)
-SELECT from_id, split_part(p, ':', 1) AS file, regexp_extract(p, ':([0-9]+)', 1)::BIGINT AS line, regexp_extract(p, ' @ ([0-9a-f]+)', 1) AS sha, count(*) AS times FROM each GROUP BY ALL""",
+        "anchor_extraction": rf"""{display}, texts AS (SELECT from_id, 'see (' || min(place) || ') and src/[id].tsx:4 @ ' || substr(sha256(from_id), 1, 9) || ', lib/a$b.js:' || length(from_id) || ' x.md:3 @ abcdef1 ' || max(place) AS t FROM shown GROUP BY from_id),
+each AS (SELECT from_id, unnest(regexp_extract_all(t, {_ANCHOR}, 1)) AS file, unnest(regexp_extract_all(t, {_ANCHOR}, 2)) AS line, unnest(regexp_extract_all(t, {_ANCHOR}, 3)) AS sha FROM texts)
+SELECT from_id, file, line::BIGINT AS line, coalesce(sha, '') AS sha, count(*) AS times FROM each GROUP BY ALL""",
         "caller_names": f"WITH {GRAPH}, near AS (SELECT * FROM edges WHERE to_id = '{TARGET}' ORDER BY t, k0, k1, k2, k3 LIMIT 500) SELECT DISTINCT coalesce(s.name, from_id) AS caller_name FROM near LEFT JOIN symbols s ON s.id = from_id",
         "every_kth_symbol": f"WITH {GRAPH}, r AS (SELECT id, name, kind, row_number() OVER (ORDER BY t, k) - 1 AS rank, greatest(1, count(*) OVER () // 20) AS step FROM symbols WHERE kind IN ('function', 'method')) SELECT id, name, kind, rank FROM r WHERE rank % step = 0 AND rank < step * 20",
         "symbol_by_id": f"WITH {GRAPH} SELECT id, name, kind, file FROM symbols WHERE id = '{TARGET}'",

@@ -99,9 +99,10 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks of answers that name a page's links, against the words of its address."""
-    said = F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1))
-    answer = F.concat(F.lit("see src/p"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".ts:7").otherwise(".md:7"))
+    """Checks of answers that name a page's links, against the words of its address; answers of several shapes, some after finding nothing."""
+    said = F.when(F.col("page_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1)))
+    shapes = F.array(F.lit("main.py:12 @ "), F.lit("src/p1.ts:7 "), F.lit("see x.md:3@"), F.lit("line 5 @\t"), F.lit("a:b @ "))
+    answer = F.concat(F.element_at(shapes, (F.col("page_id") % 5 + 1).cast("int")), F.substring(F.sha2("url", 256), 1, 9))
     checks = answer_checks(answer, said, F.split("url", "[^A-Za-z]+"))
     return _table(spark, sf_dir, "pages").select("page_id", checks["anchored"].alias("anchored"), checks["invented"].cast("long").alias("invented"))
 
@@ -183,7 +184,8 @@ regexp_matches(path, '(?i)\.(test|spec)\.(ts|tsx|js|jsx|mjs|cjs)$') OR regexp_ma
 SELECT 'src/c' || k || '.ts' AS file, strlen(t) AS bytes, '' AS names FROM c
 UNION ALL SELECT 'src/n7.tsx', strlen('export const nation_7 = () => <Region_' || n_regionkey || ' title="nation_0()" />;' || chr(10) || 'export function boot() { nation_7(); }' || chr(10)), 'boot' FROM nation WHERE n_nationkey = 7""",
         "token_usage": "SELECT conv_id::VARCHAR AS transcript, count(*) AS messages, coalesce(sum(CASE WHEN role = 'assistant' THEN CASE WHEN conv_id % 5 <> 0 THEN length(text) ELSE 0 END + turn + 1 END), 0)::BIGINT AS tokens FROM conversations WHERE text IS NOT NULL GROUP BY conv_id",
-        "answer_checks": """SELECT page_id, page_id % 3 = 0 AS anchored, len(list_filter(list_distinct(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1)), lambda x: NOT list_contains(regexp_split_to_array(url, '[^A-Za-z]+'), x))) AS invented FROM pages""",
+        "answer_checks": r"""WITH p AS (SELECT page_id, url, ['main.py:12 @ ', 'src/p1.ts:7 ', 'see x.md:3@', 'line 5 @' || chr(9), 'a:b @ '][page_id % 5 + 1] || substr(sha256(url), 1, 9) AS answer, CASE WHEN page_id % 7 = 0 THEN [] ELSE list_distinct(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1)) END AS said FROM pages)
+SELECT page_id, regexp_matches(answer, ':\d+\s*@\s*[0-9a-f]{7}') OR len(said) = 0 AS anchored, len(list_filter(said, lambda x: NOT list_contains(regexp_split_to_array(url, '[^A-Za-z]+'), x))) AS invented FROM p""",
         "truth_keywords": r"""WITH r AS (SELECT conv_id, turn, string_split(role, 's') AS hints, list_slice(regexp_extract_all(regexp_replace(text, '([A-Za-z]+)\.', '`\1`', 'g'), '`([^`]+)`', 1), 1, 5) AS named FROM conversations),
 e AS (SELECT conv_id, turn, list_filter(list_concat(hints, named), lambda x: x <> '') AS l FROM r)
 SELECT conv_id, turn, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 8), ',') AS keywords FROM e""",

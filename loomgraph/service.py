@@ -75,8 +75,8 @@ class Workspace:
         """Which root a request is about.
 
         The given path; else ``LOOMGRAPH_ROOT``; else the nearest indexed
-        folder at or above the current one; else the only indexed one below
-        it; else the only one stored.  A given path that is not stored itself
+        folder at or above the current one; else the only stored one that the
+        current folder lies in; else the only one stored.  A given path that is not stored itself
         stands for the work tree around it, unless ``LOOMGRAPH_NO_WORKTREE``
         is set.
         """
@@ -90,8 +90,8 @@ class Workspace:
                 if self.store.current(root):
                     return root
         known = self.store.catalog().collect()
-        below = [r for r in known if is_under(r.root_path, here)]
-        for some in (below, known):
+        around = [r for r in known if is_under(here, r.root_path)]
+        for some in (around, known):
             if len(some) == 1:
                 return some[0].root_path
         names = ", ".join(r.root_path for r in known[:SHOWN_REPOS])

@@ -13,6 +13,7 @@ import os
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,10 @@ class Store:
         fs, path = self._path(*parts)
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
+    def _exists(self, *parts: str) -> bool:
+        fs, path = self._path(*parts)
+        return fs.exists(path)
+
     def _read(self, *parts: str) -> str | None:
         fs, path = self._path(*parts)
         if not fs.exists(path):
@@ -88,13 +93,30 @@ class Store:
             raise OSError(f"cannot commit {place}")
         return name
 
+    def _meta(self, repo: str, name: str) -> dict | None:
+        """What a snapshot's marker says; none for a snapshot without one, or with one that cannot be read."""
+        try:
+            meta = json.loads(self._read(repo, name, "meta.json") or "")
+            check_meta(meta)
+        except (ValueError, LoadFailed, Py4JJavaError):
+            return None
+        return meta
+
     def current(self, root_path: str) -> str | None:
-        """Name of the newest committed snapshot, which also serves as the version of a cache."""
+        """Name of the newest snapshot that can be read, which also serves as the version of a cache.
+
+        Where there is none, it is the newest of the damaged ones, so that
+        ``load`` can say what is wrong with it.
+        """
         repo = repo_id_of(root_path)
-        for name in reversed(self._names(repo)):
-            if self._read(repo, name, "meta.json") is not None:
+        names = self._names(repo)[::-1]
+        damaged = None
+        for name in names:
+            if self._meta(repo, name):
                 return name
-        return None
+            if damaged is None and self._exists(repo, name, "meta.json"):
+                damaged = name
+        return damaged
 
     def load(self, root_path: str) -> Stored:
         """The newest snapshot; fails with one of ``REASONS``."""
@@ -123,13 +145,12 @@ class Store:
             return None
 
     def catalog(self) -> DataFrame:
-        """A row per repository with a committed snapshot, the most recent first."""
+        """A row per repository with a snapshot that can be read, its newest one; the most recent first; what cannot be read is passed over."""
         rows = []
         for repo in self._names():
             for name in reversed(self._names(repo)):
-                text = self._read(repo, name, "meta.json")
-                if text is not None:
-                    meta = json.loads(text)
+                meta = self._meta(repo, name)
+                if meta:
                     rows.append(tuple(meta.get(k) for k in ("repo_id", "root_path", "indexed_at", "files_indexed", "symbol_count", "edge_count", "indexed_sha", "indexed_branch")))
                     break
         return self.spark.createDataFrame(rows, "repo_id string, root_path string, indexed_at string, files_indexed long, symbol_count long, edge_count long, indexed_sha string, indexed_branch string").orderBy(F.desc("indexed_at"))

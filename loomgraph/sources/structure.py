@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -16,11 +17,34 @@ from ..schema import MODULE
 from .tokens import BEFORE_VALUE, PUNCT, STRING, TAG, TEMPLATE, WORD, Token, ends_value, pairs, tokenize
 
 # Words that never name a called function, and modifiers of class members.
-NOT_CALLED = frozenset("if for while switch catch function return typeof super import await yield new delete void in of instanceof case do else throw with this null true false constructor".split()) - {"constructor"}
+NOT_CALLED = frozenset("if for while switch catch function return typeof super import await yield new delete void in of instanceof case do else throw with this null true false".split())
 MODIFIERS = frozenset("public private protected static readonly async override declare abstract accessor get set".split())
 DECLARATION_BEFORE = frozenset("export default declare async abstract".split())
 
 
+class Spans:
+    """Half-open spans, and whether any of them covers a place."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self._upto: list[int] | None = []  # furthest end of the spans up to each
+
+    def append(self, span: tuple[int, int]) -> None:
+        in_order = not self.spans or span >= self.spans[-1]
+        self.spans.append(span)
+        if in_order and self._upto is not None:
+            self._upto.append(max(span[1], self._upto[-1] if self._upto else 0))
+        else:
+            self._upto = None
+
+    def cover(self, i: int) -> bool:
+        if self._upto is None:
+            self.spans.sort()
+            self._upto = list(itertools.accumulate((b for _, b in self.spans), max))
+        at = bisect.bisect_right(self.spans, (i, 1 << 60))
+        return at > 0 and self._upto[at - 1] > i
+
+
 @dataclass
 class Symbol:
     name: str
@@ -47,11 +71,14 @@ class Reader:
         self.spaces: list[tuple[int, int, str]] = []
         self.objects: dict[int, str | None] = {}  # object literals by their brace, with the binding
         self.declared: set[int] = set()  # names that a definition introduces, so no calls
-        self.typed: list[tuple[int, int]] = []  # spans that hold types only
+        self.typed = Spans()  # that hold types only
+        self._angles: dict[int, int] = {}
         self.values: set[int] = set()  # where function values of names begin
         self.bound: dict[int, str] = {}  # object literals that are a variable's value
         self._read()
-        self._types = sorted([(s.first, s.last) for s in self.symbols if s.kind in ("interface", "type")] + self.typed)
+        for s in self.symbols:
+            if s.kind in ("interface", "type"):
+                self.typed.append((s.first, s.last))
 
     # --- tokens -------------------------------------------------------------
     def text(self, i: int) -> str:
@@ -72,23 +99,30 @@ class Reader:
         return i == 0 or i >= len(self.tokens) or "\n" in self.source[self.tokens[i - 1].end : self.tokens[i].start]
 
     def angles(self, i: int) -> int:
-        """Index after the type arguments that open at i, or i if it does not open any."""
-        depth, j = 0, i
-        while j < len(self.tokens) and j < i + 400:
+        """Index after the type arguments that open at i, or i if it does not open any.
+
+        One pass also tells it for the angles passed on the way, so that a
+        text of many open angles is not read again for each.
+        """
+        if i in self._angles:
+            return self._angles[i]
+        opened, j = [], i
+        while j < len(self.tokens):
             t = self.tokens[j]
             if t.kind == PUNCT:
                 if t.text == "<":
-                    depth += 1
-                elif t.text == ">":
-                    depth -= 1
-                    if not depth:
-                        return j + 1
+                    opened.append(j)
+                elif t.text == ">" and opened:
+                    self._angles[opened.pop()] = j + 1
                 elif t.text in ("(", "[", "{"):
                     j = self.close(j)
                 elif t.text in (";", "&&", "||", ")", "]", "}", "+", "===", "!=="):
-                    return i
+                    break
+            if not opened:
+                break
             j += 1
-        return i
+        self._angles |= {k: k for k in opened}
+        return self._angles.setdefault(i, i)
 
     def statement_start(self, i: int) -> bool:
         if i == 0:
@@ -249,7 +283,7 @@ class Reader:
         return before.kind == WORD and before.text in BEFORE_VALUE - {"do", "else", "extends", "of"}
 
     def _is_type(self, i: int) -> bool:
-        return any(a <= i < b for a, b in self.typed[-12:])
+        return self.typed.cover(i)
 
     def _binding(self, i: int) -> str | None:
         """Name of the variable that an object literal, or the one around it, is the value of."""
@@ -534,11 +568,7 @@ class Reader:
         return all(self.word(k) or self.text(k) == "." for k in range(i, end + 1))
 
     def _typed_at(self, i: int) -> bool:
-        return bool(self._types) and any(a <= i < b for a, b in self._near(i))
-
-    def _near(self, i: int):
-        at = bisect.bisect_right(self._types, (i, 1 << 60))
-        return self._types[max(0, at - 3) : at]
+        return self.typed.cover(i)
 
 
 def read_source(source: str, path: str) -> tuple[list[dict], list[dict]]:
@@ -573,7 +603,7 @@ def read_source(source: str, path: str) -> tuple[list[dict], list[dict]]:
             at += 1
         while opened and opened[-1][0] < first:
             opened.pop()
-        live = [o for o in opened[-8:] if o[0] >= first]
+        live = [o for o in opened if o[0] >= first]
         line, column = reader.where(tokens[first].start)
         row = {"to_name": name, "file": path, "line": line, "column": column}
         if not live:

@@ -104,3 +104,22 @@ def test_command_line_checks(capsys):
         with pytest.raises(SystemExit) as why:
             main(bad)
         assert why.value.code == 2
+
+
+def test_the_stored_root_around_the_current_folder_is_meant(spark, tmp_path, monkeypatch):
+    from loomgraph.operators.index import build
+    from loomgraph.service import NotFound, Workspace
+
+    space = Workspace(spark, str(tmp_path / "store"))
+    graph = build(spark.createDataFrame([("a.ts", "function f() {}")], "file string, content string"))
+    here = tmp_path / "Work" / "app"
+    here.mkdir(parents=True)
+    monkeypatch.chdir(here)
+    monkeypatch.delenv("LOOMGRAPH_ROOT", raising=False)
+    space.store.save(graph, str(here / "below"))
+    space.store.save(graph, "/elsewhere")
+    with pytest.raises(NotFound, match="several"):
+        space.repository(None)
+    around = str(tmp_path / "WORK")  # the same folder but for case
+    space.store.save(graph, around)
+    assert space.repository(None) == around

@@ -94,3 +94,26 @@ def test_index_directory_and_git(spark, tmp_path):
     assert (graph.files_indexed, graph.files_failed) == (3, 0)
     found = sorted((r.from_id, r.to_name, r.to_id, r.ambiguous, r.candidate_count) for r in graph.edges.collect())
     assert found == [("b.ts#<module>", "user", "b.ts#user@2", None, None), ("b.ts#user@2", "dup", "b.ts#dup@1", True, 2), ("b.ts#user@2", "gone", None, None, None), ("b.ts#user@2", "target", "a.ts#target@1", None, None)]
+
+
+def test_long_type_arguments_are_read_whole():
+    many = ", ".join(f"T{k}" for k in range(300))
+    symbols, calls = read_source(f"const z: Foo<{many}> = () => {{ call<{many}>(1); }};", "a.ts")
+    assert ("z", "variable") in {(s["name"], s["kind"]) for s in symbols} and [(c["to_name"], c["from_id"]) for c in calls] == [("call", "a.ts#z@1")]
+
+
+def test_many_open_angles_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        read_source("a < b;\n" * n + "x = " + "a < " * n + "b;\nf();\n", "a.ts")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_many_nested_types_are_no_calls():
+    inner = "".join(f"  a{k}: {{ b(x: number): C{k}; }};\n" for k in range(40))
+    symbols, calls = read_source(f"type T = {{\n{inner}  m(): void;\n}};\nfunction f() {{ g(); }}\n", "a.ts")
+    assert [c["to_name"] for c in calls] == ["g"] and [s["name"] for s in symbols] == ["T", "f"]

@@ -143,3 +143,34 @@ def test_watcher_indexes_first_and_survives_a_failure(spark, tmp_path, monkeypat
     assert keeper.full_reindex().symbols == 2
     assert store.load_or_none("/none") is None and store.load_or_none(str(root)).meta["symbol_count"] == 2
     assert (tmp_path / "s" / repo_id_of(str(root))).stat().st_mode & 0o777 == 0o700
+
+
+def test_damaged_snapshots_are_passed_over(spark, tmp_path):
+    from loomgraph.operators.index import build
+    from loomgraph.sources.store import LoadFailed, Store, repo_id_of
+
+    store = Store(spark, str(tmp_path))
+    graph = build(spark.createDataFrame([("a.ts", "function f() {}")], "file string, content string"))
+    good = store.save(graph, "/r/a")
+    broken = store.save(graph, "/r/a")
+    store.save(graph, "/r/b")
+    places = {root: tmp_path / repo_id_of(root) for root in ("/r/a", "/r/b")}
+
+    def damage(path, text):
+        path.write_text(text)
+        crc = path.parent / ".meta.json.crc"
+        if crc.exists():
+            crc.unlink()
+
+    damage(places["/r/a"] / broken / "meta.json", "{not json")
+    assert store.current("/r/a") == good and store.load("/r/a").snapshot == good
+    (only,) = places["/r/b"].iterdir()
+    for text, reason in (("{not json", "invalid-json"), ("[]", "schema-invalid"), ('{"version": 1}', "schema-invalid")):
+        damage(only / "meta.json", text)
+        assert [r.root_path for r in store.catalog().collect()] == ["/r/a"]
+        with pytest.raises(LoadFailed) as why:
+            store.load("/r/b")
+        assert why.value.reason == reason
+    from loomgraph.service import Workspace
+
+    assert not Workspace(spark, str(tmp_path)).request("recall", {"query": "f", "path": "/r/a"}).is_error
