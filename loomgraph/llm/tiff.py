@@ -190,6 +190,8 @@ def pages(media: bytes) -> Iterator[Page]:
     except (struct.error, ValueError) as e:
         yield Page(page=0, error=str(e))
         return
+    if not at:
+        yield Page(page=0, error="no image directory")
     seen: set[int] = set()
     number = 0
     while at and at not in seen:
