@@ -256,6 +256,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     row with a null id keeps null classes; rows with one id are one document.
     Other columns are not read.
     """
+    return _classes(docs, threshold).select("doc_id", "copy_of", "class_id")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """``near_duplicates`` with the digest (MD5) of each row's text."""
     spark = docs.sparkSession
     stash = Stash(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -288,10 +293,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = _merge(classes, more, stash)
     release(spark)
     named = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.col("node").alias("copy_of"), F.coalesce("component", "node").alias("class_id"))
-    return spread_join(signed.select("doc_id", "digest"), named, "digest", "doc_id", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    return spread_join(signed.select("doc_id", "digest"), named, "digest", "doc_id", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "digest")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class; all columns, null ids kept."""
-    drop = near_duplicates(docs, threshold).filter("class_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    """The rows of ``docs`` whose id is the smallest of their text's class, with all columns.
+
+    A row goes by its id and text together: another text under the same id
+    stays, if it is the first of its own class.  Repeated rows of a kept id
+    and text all stay; rows with a null id are kept, null text counts as
+    empty; an empty table gives no rows.
+    """
+    gone = _classes(docs, threshold).filter("class_id <> doc_id").select(F.col("doc_id").alias("_drop"), F.col("digest").alias("_digest")).distinct()
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    marked = docs.withColumn("_text_digest", digest)
+    return marked.join(gone, (marked["doc_id"].cast("long") == gone["_drop"]) & (marked["_text_digest"] == gone["_digest"]), "left_anti").drop("_text_digest")
