@@ -588,11 +588,37 @@ def test_misspellings_that_no_sample_has_are_toxic():
 
 
 def test_toxic_bags_are_averages():
-    words = toxicity.Bags(pa.array(["aa bb cc dd", "", "aa"]))
-    bags = words.bags()
+    texts = ["aa bb cc dd aa", "", "aa"]
+    words = toxicity.Bags(pa.array(texts))
     value = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
-    grams = [np.concatenate([b[(np.cumsum(c) - c)[w] : np.cumsum(c)[w]] for b, c in words.sets]) for w in words.word]
-    want = [value[np.concatenate(grams[a:b])].mean() for a, b in ((0, 3), (1, 4), (2, 4), (3, 4), (4, 5))]
-    assert np.allclose(words.average(value, bags), want)
-    grad = np.random.default_rng(2).normal(size=5)
-    assert np.isclose(words.spread(grad, bags) @ value, grad @ words.average(value, bags))
+    each = [value[words.buckets[words.of == k]].mean() for k in range(words.words)]
+    assert words.words == 4 and words.grams.tolist() == [4] * 4  # of " aa ": three characters twice, four once, and the word
+    want = [sum(each[w] for r, w in zip(words.row, words.word, strict=True) if r == row) / (n + toxicity.EMPTY) for row, n in enumerate((4, 0, 1))]
+    assert np.allclose(words.average(value), want)
+    grad = np.random.default_rng(2).normal(size=3)
+    assert np.isclose(words.spread(grad) @ value, grad @ words.average(value))
+    kept = np.zeros(toxicity.BUCKETS, bool)
+    kept[words.buckets[::2]] = True
+    assert np.allclose(words.only(kept).average(value[kept]), words.average(np.where(kept, value, 0)))
+
+
+def test_screened_n_grams_are_those_of_toxic_rows():
+    texts = ["nasty word"] * 12 + ["plain word"] * 40
+    words = toxicity.Bags(pa.array(texts))
+    mask = words.toxic_grams(np.array([1.0] * 12 + [0.0] * 40), np.ones(52, bool))
+    want = {int(b) for k, b in zip(words.of, words.buckets, strict=True) if k in set(words.word[words.row < 12]) - set(words.word[words.row >= 12])}
+    assert want - {int(b) for k, b in zip(words.of, words.buckets, strict=True) if k in set(words.word[words.row >= 12])} == set(np.flatnonzero(mask).tolist())
+
+
+def test_toxic_recall_and_alarms_at_the_contract_s_threshold(spark):
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op6_toxicity(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    toxic, clean = ([r.predicted for r in rows if truth[r.doc_id] == k] for k in (1, 0))
+    assert np.mean(toxic) >= 0.92 and np.mean(clean) <= 0.005  # 9 of these 144 are junk without any toxic word
+
+
+def test_toxicity_of_one_class_or_none():
+    for texts, labels in ((["a b", "c"], [0, 0]), (["a b", "c"], [1, 1]), (["", " "], [0, 1])):
+        scores = toxicity.fit(texts, labels).quality(pa.array(["a b", "zz", ""], pa.large_string()))
+        assert scores[0] == scores[1] == scores[2]
