@@ -14,6 +14,22 @@ def is_test_file(path):
     return path.rlike(r"(?i)\.(test|spec)\.(ts|tsx|js|jsx|mjs|cjs)$") | path.rlike(r"(^|/)__tests__/")
 
 
+def calls_into(calls: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(to_id, from_id, rn): the first 500 calls, in order, into each symbol of ``frontier`` (id).
+
+    Calls that are dealt by ``to_id`` are not moved.
+    """
+    near = calls.join(frontier.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi")
+    rn = F.row_number().over(Window.partitionBy("to_id").orderBy("seq", "from_id"))
+    return near.withColumn("rn", rn).filter(F.col("rn") <= FAN_IN).select("to_id", "from_id", "rn")
+
+
+def _files_of(fresh: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(caller_id, caller_file) of the callers in ``fresh`` that have a symbol; the last one counts."""
+    some = symbols.select(F.col("id").alias("caller_id"), "file", "seq").join(fresh.select("caller_id").distinct(), "caller_id", "left_semi")
+    return some.groupBy("caller_id").agg(F.max_by("file", "seq").alias("caller_file"))
+
+
 def impact(targets: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int = DEFAULT_DEPTH, level_limit: int = DEFAULT_LEVEL_LIMIT, changed: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """(target_id, caller_id, depth, disc_rank, via_to_id, caller_file, truncated, is_test) for ``targets`` (target_id).
 
@@ -30,23 +46,20 @@ def impact(targets: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int
     every level reads them.  The search ends with an empty frontier.
     """
     depth = max(1, min(depth, MAX_DEPTH))
-    into = Window.partitionBy("to_id").orderBy("seq", "from_id")
     calls = edges.filter("to_id IS NOT NULL").select("to_id", "from_id", "seq")
     calls = calls if stored else cut(calls, "calls")
-    known = symbols.groupBy(F.col("id").alias("caller_id")).agg(F.max_by("file", "seq").alias("caller_file"))
     frontier = targets.select("target_id", F.col("target_id").alias("id"), F.lit(0).cast("long").alias("rank"))
     visited = frontier.select("target_id", F.col("id").alias("caller_id"))
     levels = None
     for level in range(1, depth + 1):
-        near = calls.join(frontier.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi")
-        ranked = near.withColumn("rn", F.row_number().over(into)).filter(F.col("rn") <= FAN_IN).select("to_id", "from_id", "rn")
+        ranked = calls_into(calls, frontier)
         found = frontier.join(ranked, frontier["id"] == ranked["to_id"]).select("target_id", F.col("from_id").alias("caller_id"), F.col("to_id").alias("via_to_id"), "rank", "rn")
         first = found.groupBy("target_id", "caller_id").agg(F.min(F.struct("rank", "rn", "via_to_id")).alias("by"))
         fresh = first.join(visited, ["target_id", "caller_id"], "left_anti")
         fresh = cut(fresh, f"level-{level}")
         visited = visited.unionByName(fresh.select("target_id", "caller_id"))
         order = Window.partitionBy("target_id").orderBy("by")
-        there = fresh.join(known, "caller_id").withColumn("disc_rank", F.row_number().over(order).cast("long"))
+        there = fresh.join(_files_of(fresh, symbols), "caller_id").withColumn("disc_rank", F.row_number().over(order).cast("long"))
         there = there.withColumn("truncated", F.max("disc_rank").over(Window.partitionBy("target_id")) > level_limit)
         there = there.select("target_id", "caller_id", F.lit(level).alias("depth"), "disc_rank", F.col("by.via_to_id").alias("via_to_id"), "caller_file", "truncated")
         frontier = there.select("target_id", F.col("caller_id").alias("id"), F.col("disc_rank").alias("rank"))

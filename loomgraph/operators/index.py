@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.redact import one_line_signature
 from ..plans.shared import cut
 from ..sources.scan import MAX_BYTES, detect_language, files_below
-from .resolve import resolve_calls
+from .resolve import heavy_names, resolve_calls
 
 SYMBOL = "id string, name string, kind string, file string, line int, column int, end_line int, signature string, exported boolean, parent string, is_static boolean, extends array<string>, implements array<string>"
 CALL = "from_id string, to_name string, file string, line int, column int"
@@ -81,8 +81,8 @@ def build(files: DataFrame) -> Graph:
     """Parse once (the result is written, so a lost executor costs no second parse), then resolve."""
     parsed = cut(extract(files), "parsed")
     counts = parsed.agg(F.count_if(F.col("error").isNull()), F.count("error")).first()
-    nodes = extracted_symbols(parsed)
-    return Graph(nodes, resolve_calls(extracted_calls(parsed), nodes), counts[0], counts[1])
+    nodes, calls = extracted_symbols(parsed), extracted_calls(parsed)
+    return Graph(nodes, resolve_calls(calls, nodes, heavy=heavy_names(calls)), counts[0], counts[1])
 
 
 def index_directory(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> Graph:

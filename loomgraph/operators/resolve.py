@@ -6,17 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+HEAVY, SHARE, SALTS = 64, 1 / 256, 64  # names that are told apart at most, the share of all calls that makes one, and its parts
+
+
+def heavy_names(calls: DataFrame) -> list[str]:
+    """At most ``HEAVY`` called names with a good share of all calls each, from a sketch that one pass fills.
+
+    A sketch may take a name too many or too few near the limit, which costs
+    some balance and never a result.
+    """
+    row = calls.filter("to_name IS NOT NULL").agg(F.expr(f"approx_top_k(to_name, {HEAVY}, {64 * HEAVY})").alias("top"), F.count("*").alias("n")).first()
+    return [t["item"] for t in row["top"] or [] if t["count"] >= max(2, row["n"] * SHARE)]
+
+
+def resolve_calls(calls: DataFrame, symbols: DataFrame, within: tuple[str, ...] = (), heavy: list[str] | None = None) -> DataFrame:
     """Add to_id, ambiguous and candidate_count to every call.
 
     A symbol of the caller's file wins, then the first in ``seq`` order; a
     name without symbols leaves to_id null.  Both lookups have one row per
-    key, so calls never multiply, and a hot name only skews the probe side.
-    ``within`` names further columns that must agree, such as the repository.
+    key, so calls never multiply.  ``within`` names further columns that must
+    agree, such as the repository.
+
+    Calls to ``heavy`` names (see ``heavy_names``) are dealt into ``SALTS``
+    parts by their file before they meet the lookup by name, whose rows of
+    these names, at most ``HEAVY`` without ``within``, are repeated for each
+    part; all other rows are as they are.  The lookup by name and file splits
+    a hot name by its files already.
     """
     same = symbols.groupBy(*within, F.col("name").alias("to_name"), "file").agg(F.min_by("id", "seq").alias("_same"))
     named = symbols.groupBy(*within, F.col("name").alias("to_name")).agg(F.min_by("id", "seq").alias("_first"), F.count("*").alias("_n"))
-    out = calls.join(same, [*within, "to_name", "file"], "left").join(named, [*within, "to_name"], "left")
+    keys = [*within, "to_name"]
+    dealt = calls.join(same, [*keys, "file"], "left")
+    if heavy:
+        hot = F.col("to_name").isin(heavy)
+        dealt = dealt.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64("file", "seq"), F.lit(SALTS)).cast("int")).otherwise(0))
+        named = named.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        keys.append("_salt")
+    out = dealt.join(named, keys, "left")
     several = F.col("_n") > 1
     return out.select(*calls.columns, F.coalesce("_same", "_first").alias("to_id"), F.when(several, F.lit(True)).alias("ambiguous"), F.when(several, F.col("_n")).alias("candidate_count"))
 

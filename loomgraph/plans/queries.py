@@ -11,12 +11,13 @@ from ..functions.redact import PATTERNS, detect_secrets, one_line_signature, red
 from ..operators.evaluate import hit_rate, matching_bytes
 from ..operators.impact import impact, impact_stats
 from ..operators.lookup import callees, callers, recall, recall_by_kind
-from ..operators.resolve import hot_symbols, resolution_stats, resolve_calls
+from ..operators.resolve import heavy_names, hot_symbols, resolution_stats, resolve_calls
 from ..sources.git import tree_changes
 from ..sources.relational import link_calls, raw_calls, symbols
 from ..streaming.maintain import last_events
 
 TARGET = "supp:1"
+HOT_NAME = "Supplier#000000001"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: _table(s, d, "documents")
     return {
         "resolve_edges": lambda s, d: _edges(s, d).select(*EDGE_COLUMNS),
+        "resolve_hot_names": _hot_calls,
         "resolution_stats": lambda s, d: resolution_stats(symbols(s, d), _edges(s, d)),
         "recall_exact": lambda s, d: recall(symbols(s, d), "ORDER#7").select(*SYMBOL_COLUMNS),
         "recall_substring": lambda s, d: recall(symbols(s, d), "00001", 50, substring=True).select(*SYMBOL_COLUMNS),
@@ -65,6 +67,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _hot_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of calls of which about half go to one supplier's name."""
+    line = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    hot = F.when(F.col("l_linenumber") <= 2, F.lit(HOT_NAME)).otherwise(F.col("s_name"))
+    calls = line.select(F.concat(F.lit("ord:"), F.col("l_orderkey").cast("string")).alias("from_id"), hot.alias("to_name"), F.concat(F.lit("m"), (F.col("l_orderkey") % 25).cast("string"), F.lit(".ts")).alias("file"), F.struct("l_orderkey", "l_linenumber").alias("seq"))
+    return resolve_calls(calls, symbols(spark, sf_dir), heavy=heavy_names(calls)).select(*EDGE_COLUMNS)
+
+
 def _tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths added, modified or removed between two listings of (path, oid)."""
     pages = _table(spark, sf_dir, "pages")
@@ -139,6 +149,9 @@ def oracle_sql() -> dict[str, str]:
     line = "trim(split_part(text, chr(10), 1), ' ')"
     return {
         "resolve_edges": f"WITH {GRAPH} SELECT {edge} FROM edges",
+        "resolve_hot_names": f"""WITH {GRAPH}, hot AS (SELECT 'ord:' || l_orderkey AS from_id, CASE WHEN l_linenumber <= 2 THEN '{HOT_NAME}' ELSE s_name END AS to_name, 'm' || (l_orderkey % 25) || '.ts' AS file FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT c.from_id, coalesce(s.id, f.id) AS to_id, c.to_name, c.file, CASE WHEN f.n > 1 THEN true END AS ambiguous, CASE WHEN f.n > 1 THEN f.n END AS candidate_count
+FROM hot c LEFT JOIN (SELECT * FROM ordered WHERE b = 1) s ON s.name = c.to_name AND s.file = c.file LEFT JOIN (SELECT * FROM ordered WHERE a = 1) f ON f.name = c.to_name""",
         "resolution_stats": f"WITH {GRAPH} SELECT (SELECT count(*) FROM symbols) AS symbol_count, count(*) AS edge_count, count(to_id) AS resolved_count FROM edges",
         "recall_exact": f"WITH {GRAPH} SELECT {symbol} FROM symbols WHERE lower(name) = 'order#7' ORDER BY (name = 'ORDER#7') DESC, t, k LIMIT 10",
         "recall_substring": f"WITH {GRAPH}, low AS (SELECT *, first_value(t) OVER w AS ft, first_value(k) OVER w AS fk FROM symbols WHERE contains(lower(name), '00001') WINDOW w AS (PARTITION BY lower(name) ORDER BY t, k)) SELECT {symbol} FROM low ORDER BY ft, fk, t, k LIMIT 50",

@@ -9,7 +9,7 @@ from pathlib import Path
 from typing import Any
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import journal
@@ -58,11 +58,28 @@ def resolve_symbol(symbols: DataFrame, wanted: str) -> Row | None:
     return found.first()
 
 
+def incoming(edges: DataFrame) -> DataFrame:
+    """The calls into each symbol that requests can come to see, its first 500, dealt by the symbol.
+
+    A very hot symbol is first cut in parts, so its calls never meet in one
+    task; unresolved calls lead to nothing and are left out.
+    """
+    most = max(FAN_IN, MAX_NEIGHBOURS)
+    order = ("seq", "from_id")
+    cell = F.pmod(F.xxhash64("from_id"), F.lit(64))
+    few = edges.filter("to_id IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("to_id", cell).orderBy(*order))).filter(F.col("_n") <= most)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = few.repartition(parts, "to_id")
+    return dealt.withColumn("_n", F.row_number().over(Window.partitionBy("to_id").orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+
+
 class Workspace:
     """Answers requests over the graphs of one store.
 
-    Tables of the newest snapshot are cached and dropped when a newer one is
-    committed, so other writers are seen at once.  The log is a driver-side
+    Tables of the newest snapshot are cached, the calls into symbols also dealt
+    by symbol (``incoming``), so that callers and each level of an impact move
+    the ids in question to the calls and never the calls.  They are dropped
+    when a newer snapshot is committed, so other writers are seen at once.  The log is a driver-side
     file; leave ``log`` out for none.
     """
 
@@ -105,6 +122,7 @@ class Workspace:
             self.forget(root)
             held = self.store.load(root)
             held.graph.symbols, held.graph.edges = held.graph.symbols.cache(), held.graph.edges.cache()
+            held.incoming = incoming(held.graph.edges).cache()
             self._held[root] = held
         return held
 
@@ -113,6 +131,7 @@ class Workspace:
         if held:
             held.graph.symbols.unpersist()
             held.graph.edges.unpersist()
+            held.incoming.unpersist()
 
     # --- requests -----------------------------------------------------------
     def index(self, path: str | None = None) -> Answer:
@@ -147,8 +166,7 @@ class Workspace:
         target = resolve_symbol(held.graph.symbols, symbol)
         if target is None:
             raise NotFound(f"no symbol {symbol}")
-        edges = held.graph.edges
-        some = callers(edges, target.id, limit) if direction == "callers" else callees(edges, target.id, limit, include_unresolved)
+        some = callers(held.incoming, target.id, limit) if direction == "callers" else callees(held.graph.edges, target.id, limit, include_unresolved)
         text = F.concat("caller_name", F.lit(" -> "), "callee_name", F.lit("  "), anchor(F.col("file"), F.col("line"), F.lit(held.meta.get("indexed_sha"))), ambiguity(F.col("candidate_count")))
         rows = name_ends(some, held.graph.symbols).withColumn("text", text).orderBy("seq").collect()
         return Answer("\n".join(r.text for r in rows) or f"no {direction} of {target.id}", rows)
@@ -163,14 +181,14 @@ class Workspace:
         target = resolve_symbol(held.graph.symbols, symbol)
         if target is None:
             raise NotFound(f"no symbol {symbol}")
-        found = impact(self.spark.createDataFrame([(target.id,)], "target_id string"), held.graph.edges, held.graph.symbols, depth, changed=changed, stored=True)
+        found = impact(self.spark.createDataFrame([(target.id,)], "target_id string"), held.incoming, held.graph.symbols, depth, changed=changed, stored=True)
         rows = impact_names(found, held.graph.symbols).orderBy("depth", "disc_rank").collect()
         stats = impact_stats(found).first()
         cut_short = any(r.truncated for r in rows)
         lines = [f"{target.id}: no callers" if stats is None else f"{target.id}: {stats.direct_count} direct and {stats.transitive_count} transitive callers in {stats.file_count} files, {stats.test_count} in tests{', cut at the level limit' if cut_short else ''}"]
         if target.exported:
             lines.append("exported: code outside this repository may call it" if stats is None else "exported: changes reach beyond the callers below")
-        fan_in = callers(held.graph.edges, target.id, MAX_NEIGHBOURS).count()
+        fan_in = callers(held.incoming, target.id, MAX_NEIGHBOURS).count()
         if fan_in >= FAN_IN:
             lines.append(f"at least {FAN_IN} calls lead to it; only the first {FAN_IN} are followed")
         lines += [f"{'  ' * r.depth}{r.caller_name} via {r.via_name}  {r.caller_file}{' (test)' if r.is_test else ''}" for r in rows]

@@ -41,6 +41,7 @@ class Stored:
     graph: Graph
     meta: dict
     snapshot: str
+    incoming: DataFrame | None = None  # what a reader holds for lookups by called symbol
 
 
 class Store:

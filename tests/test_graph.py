@@ -63,3 +63,23 @@ def test_redaction_rules(spark):
     key = "AK" + "IA" + "ABCDEFGH12345678"
     row = spark.createDataFrame([(f"é{key} \"{'a' * 40}\"",)], "t string").select(redact_secrets(F.col("t")).alias("r"), detect_secrets(F.col("t")).alias("d")).first()
     assert row.r == 'éAKIA***REDACTED*** "***REDACTED-LONG-TOKEN***"' and row.d == "aws-akia,long-token-in-string"
+
+
+def test_a_hot_name_is_dealt_and_changes_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.resolve import heavy_names, resolve_calls
+
+    symbols = spark.createDataFrame([("a#hot", "hot", "a", 1), ("b#hot", "hot", "b", 2), ("b#x", "x", "b", 3)], "id string, name string, file string, seq long")
+    n = 20_000
+    calls = spark.range(n).select(F.concat(F.lit("c"), "id").alias("from_id"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 10 == 1, F.lit(None)).otherwise(F.concat(F.lit("n"), (F.col("id") % 5000).cast("string"))).alias("to_name"), F.when(F.col("id") % 4 == 0, "b").otherwise("z").alias("file"), F.col("id").alias("seq"))
+    heavy = heavy_names(calls)
+    assert heavy == ["hot"]
+    plain, dealt = resolve_calls(calls, symbols), resolve_calls(calls, symbols, heavy=heavy)
+    assert plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty() and dealt.count() == n
+    row = dealt.filter("to_name = 'hot'").groupBy("to_id", "ambiguous", "candidate_count").count().orderBy("to_id").collect()
+    assert [tuple(r) for r in row] == [("a#hot", True, 2, n // 4), ("b#hot", True, 2, n // 4)]
+    salt = F.when(F.col("to_name") == "hot", F.pmod(F.xxhash64("file", "seq"), F.lit(64))).otherwise(0)
+    sizes = sorted(r["count"] for r in calls.select(F.spark_partition_id(), "to_name", salt.alias("s")).filter("to_name IS NOT NULL").repartition(8, "to_name", "s").groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 8 and sizes[-1] < 2 * sizes[4]
+    assert heavy_names(calls.limit(0)) == []

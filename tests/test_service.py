@@ -123,3 +123,25 @@ def test_the_stored_root_around_the_current_folder_is_meant(spark, tmp_path, mon
     around = str(tmp_path / "WORK")  # the same folder but for case
     space.store.save(graph, around)
     assert space.repository(None) == around
+
+
+def test_lookups_do_not_move_the_calls(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.impact import calls_into
+    from loomgraph.operators.index import build
+
+    rows = [("lib.ts", "export function hot() {}\nexport function cold() { hot(); }\n")] + [(f"m{k}.ts", f"function f{k}() {{ {'hot(); ' * 6}cold(); nowhere(); }}") for k in range(120)]
+    space = Workspace(spark, str(tmp_path))
+    space.store.save(build(spark.createDataFrame(rows, "file string, content string")), "/r")
+    held = space.graph("/r")
+    assert held.incoming.filter("to_id IS NULL").isEmpty() and held.incoming.filter("to_name = 'hot'").count() == 500
+    ids = spark.createDataFrame([("lib.ts#cold@2",)], "id string")
+    plan = calls_into(held.incoming, ids)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(to_id" in line and "from_id" in line]
+    assert not moved and "InMemoryTableScan" in plan, plan
+    assert calls_into(held.incoming, ids).count() == 120
+    answer = space.request("impact", {"symbol": "hot", "depth": 2, "path": "/r"})
+    assert not answer.is_error and "only the first 500" in answer.text
+    want = build(spark.createDataFrame(rows, "file string, content string")).edges
+    assert sorted(r.from_id for r in space.request("callers", {"symbol": "hot", "limit": 100, "path": "/r"}).rows) == sorted(r.from_id for r in want.filter("to_name = 'hot'").orderBy("seq").limit(100).collect())
