@@ -17,7 +17,7 @@ from ..operators.validate import sanitize_array
 from ..sources.relational import symbols
 from ..sources.scan import detect_language, watchable
 from ..sources.store import Store
-from ..streaming.maintain import apply_events
+from ..streaming.maintain import Maintainer, apply_events
 from .code import _files
 from .queries import EDGE_COLUMNS, GRAPH, IMPACT_COLUMNS, TARGET, _edges, _impact_sql, _table
 from .shared import shared_root
@@ -69,6 +69,14 @@ def _kept(spark: SparkSession, sf_dir: str) -> Graph:
     return apply_events(build(_files(spark, sf_dir)), _changes(spark, sf_dir))
 
 
+def _upkept(spark: SparkSession, sf_dir: str):
+    """The same graph, stored, and kept by a maintainer that writes changed partitions."""
+    store = _store(spark)
+    store.save(build(_files(spark, sf_dir)), "/data/code")
+    Maintainer(spark, store, "/data/code").apply(_changes(spark, sf_dir))
+    return store.load("/data/code").graph
+
+
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages, and what a watcher of /site or of /site/src takes up, for paths of every shape."""
     k = F.col("page_id")
@@ -120,6 +128,8 @@ def queries() -> dict[str, Query]:
         "store_catalog": _catalog,
         "maintained_symbols": lambda s, d: _kept(s, d).symbols.select("id", "name", "kind", "file", "line", "column", "exported"),
         "maintained_edges": lambda s, d: _kept(s, d).edges.select("from_id", "to_id", "to_name", "file", "line"),
+        "upkept_symbols": lambda s, d: _upkept(s, d).symbols.select("id", "name", "kind", "file", "line", "column", "exported"),
+        "upkept_edges": lambda s, d: _upkept(s, d).edges.select("from_id", "to_id", "to_name", "file", "line"),
         "recall_skips_modules": lambda s, d: recall(build(_files(s, d)).symbols, "U", 40, substring=True).select("id", "name", "kind"),
         "impact_depth_clamped": lambda s, d: impact(s.createDataFrame([(TARGET,)], "target_id string"), _edges(s, d), symbols(s, d), 99).select(*IMPACT_COLUMNS),
         "watched_paths": _paths,
@@ -147,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
     watched = rf"(regexp_matches(path, '(?i)\.(ts|tsx|js|jsx|mjs|cjs)$') AND NOT regexp_matches(path, '{ignored}'))"
     size = "floor(n * 10.0 / {0} + 0.5)::BIGINT"
     tenths = f"CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (({size.format(1024)}) // 10) || '.' || (({size.format(1024)}) % 10) || ' KB' WHEN n < 1073741824 THEN (({size.format(1048576)}) // 10) || '.' || (({size.format(1048576)}) % 10) || ' MB' ELSE (h // 100) || '.' || lpad((h % 100)::VARCHAR, 2, '0') || ' GB' END"
-    return {
+    found_sql = {
         "store_round_trip": f"WITH {GRAPH} SELECT {edge} FROM edges",
         "store_catalog": f"WITH {GRAPH} SELECT '/data/' || kind AS root_path, count(*) AS symbol_count, CASE WHEN kind = 'variable' THEN (SELECT count(*) FROM edges WHERE to_id IS NULL) ELSE 0 END AS edge_count FROM symbols WHERE kind IN ('variable', 'class') GROUP BY kind",
         "maintained_symbols": f"""WITH {_KEPT}
@@ -192,3 +202,4 @@ SELECT conv_id, turn, array_to_string(list_slice(list_filter(l, lambda x, i: lis
         "source_bytes": """SELECT (SELECT sum(strlen('// file of hidden()' || chr(10) || 'export function cust_' || c_custkey || '(a: number): void {' || chr(10) || '  nation_' || c_nationkey || '();' || chr(10) || '  if (a) { missing(`${inner()}`); }' || chr(10) || '}' || chr(10) || 'class C_' || c_custkey || ' extends Base<string> {' || chr(10) || '  run(x = skipped()) { xs.map(v => cust_' || c_custkey || '(v)); }' || chr(10) || '}' || chr(10) || 'boot();' || chr(10))) FROM customer)::BIGINT
 + (SELECT sum(strlen('export const nation_' || n_nationkey || ' = () => <Region_' || n_regionkey || ' title="nation_0()" />;' || chr(10) || 'export function boot() { nation_' || n_nationkey || '(); }' || chr(10))) FROM nation)::BIGINT AS bytes, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS files""",
     }
+    return found_sql | {f"upkept_{t}": found_sql[f"maintained_{t}"] for t in ("symbols", "edges")}

@@ -1,7 +1,11 @@
 """Stored graphs: Parquet snapshots behind a commit marker, a catalog of them, and the JSON document form.
 
 A snapshot is a folder of its own; its ``meta`` file is written last, so
-readers see a whole snapshot or none, on any Hadoop file system.
+readers see a whole snapshot or none, on any Hadoop file system.  Rows lie in
+Spark partitions by a hash of their file.  A snapshot of changes holds the
+partitions that changed and names, for the others, the earlier snapshot that
+has them; folders are never written to again, so readers of an older snapshot
+are not disturbed.
 """
 
 from __future__ import annotations
@@ -14,13 +18,17 @@ import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.index import CALL, SYMBOL, Graph
 from ..operators.validate import valid_edges, valid_symbols
 
 VERSION = 1
+FILES_A_BUCKET, MAX_BUCKETS = 64, 4096  # of a graph's partitions by file
+MAX_FOLDERS = 16  # that the partitions of one snapshot may lie in
+TABLES = ("symbols", "edges")
 
 # Why a stored graph cannot be loaded.
 REASONS = ["missing", "unreadable", "invalid-json", "schema-invalid", "root-mismatch"]
@@ -41,8 +49,29 @@ class Stored:
     graph: Graph
     meta: dict
     snapshot: str
+    root: str = ""  # of the snapshots' folders
     incoming: DataFrame | None = None  # what a reader holds for lookups by called symbol
 
+    def bucket(self, file: str = "file") -> Column:
+        """The partition of a file."""
+        return bucket_of(file, self.meta["buckets"])
+
+    def rows(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or some of its partitions; only their files are read."""
+        spark, out = self.graph.symbols.sparkSession, None
+        schema = StructType.fromJson(json.loads(self.meta["schemas"][table]))
+        for name, there in self.meta["parts"][table].items():
+            wanted = there if buckets is None else sorted(set(there) & set(buckets))
+            one = spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(f"{self.root}/{name}/{table}")
+            if len(wanted) < self.meta["buckets"]:
+                one = one.filter(F.col("bucket").isin(wanted))
+            out = one if out is None else out.unionByName(one)
+        return out.drop("bucket")
+
+
+def bucket_of(file: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(file), F.lit(buckets)).cast("int")
+
 
 class Store:
     """Graphs below ``root``, one folder per repository, one below it per snapshot."""
@@ -73,25 +102,77 @@ class Store:
             stream.close()
 
     def save(self, graph: Graph, root_path: str, sha: str | None = None, branch: str | None = None) -> str:
-        """Write a snapshot of the graph and return its name; names sort by time."""
+        """Write a snapshot of the whole graph and return its name; names sort by time."""
+        name, place = self._begin(root_path)
+        buckets = max(1, min(MAX_BUCKETS, -(-graph.files_indexed // FILES_A_BUCKET)))
+        parts = {t: {name: list(range(buckets))} for t in TABLES}
+        meta = {"files_indexed": graph.files_indexed, "buckets": buckets, "parts": parts, "schemas": {t: getattr(graph, t).schema.json() for t in TABLES}}
+        for table in TABLES:
+            _write(getattr(graph, table), f"{place}/{table}", buckets)
+        written = {t: self.spark.read.schema(getattr(graph, t).schema).parquet(f"{place}/{t}") for t in TABLES}
+        meta |= written["symbols"].agg(F.count("*").alias("symbol_count"), F.countDistinct("file").alias("symbol_files")).first().asDict()
+        return self._commit(root_path, name, meta | {"edge_count": written["edges"].count()}, sha, branch)
+
+    def save_changes(self, base: Stored, changed: dict[str, tuple[DataFrame, list[int]]], symbol_files: int, sha: str | None = None, branch: str | None = None) -> str:
+        """Write a snapshot that differs from ``base`` in some partitions: per table, their new rows and their numbers.
+
+        Where the partitions would lie in more than ``MAX_FOLDERS`` folders,
+        all of them are written anew instead.
+        """
+        root_path = base.meta["root_path"]
+        name, place = self._begin(root_path)
+        meta = {k: base.meta[k] for k in ("buckets", "schemas")} | {"symbol_files": symbol_files, "files_indexed": symbol_files, "parts": {}}
+        for table in TABLES:
+            rows, mine = changed[table]
+            parts = {k: left for k, v in base.meta["parts"][table].items() if (left := sorted(set(v) - set(mine)))}
+            old = base.rows(table, mine).count() if mine else 0
+            if len(parts) >= MAX_FOLDERS:
+                kept = base.rows(table, sorted(set(range(meta["buckets"])) - set(mine)))
+                _write(kept.unionByName(rows), f"{place}/{table}", meta["buckets"])
+                parts = {name: list(range(meta["buckets"]))}
+            else:
+                _write(rows, f"{place}/{table}", meta["buckets"])
+                parts |= {name: sorted(mine)} if mine else {}
+            now = self.spark.read.schema(StructType([*rows.schema.fields, StructField("bucket", IntegerType())])).parquet(f"{place}/{table}").filter(F.col("bucket").isin(mine)).count()
+            meta["parts"][table] = parts
+            meta[f"{table[:-1]}_count"] = base.meta[f"{table[:-1]}_count"] - old + now
+        return self._commit(root_path, name, meta, sha, branch)
+
+    def prune(self, root_path: str, keep: int = 2) -> list[str]:
+        """Remove what the newest ``keep`` snapshots do not need, and return the names of the removed ones.
+
+        Not for a moment when another process writes or reads older ones.
+        """
         repo = repo_id_of(root_path)
-        now = dt.datetime.now(dt.UTC)
-        name = f"{now:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-        place = f"{self.root}/{repo}/{name}"
+        names = self._names(repo)
+        good = [n for n in names if self._meta(repo, n)][-max(1, keep) :]
+        if not good:
+            return []
+        needed = set(good) | {n for g in good for there in (self._meta(repo, g).get("parts") or {}).values() for n in there}
+        gone = [n for n in names if n not in needed and n < good[-1]]
+        for name in gone:
+            fs, folder = self._path(repo, name)
+            fs.delete(folder, True)
+        return gone
+
+    def _begin(self, root_path: str) -> tuple[str, str]:
+        repo = repo_id_of(root_path)
+        name = f"{dt.datetime.now(dt.UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
         fs, folder = self._path(repo, name)
         fs.mkdirs(folder)
         for private in (folder.getParent(), folder):  # owner only, whatever the files below allow
             fs.setPermission(private, self.spark._jvm.org.apache.hadoop.fs.permission.FsPermission("700"))
-        graph.symbols.write.parquet(f"{place}/symbols")
-        graph.edges.write.parquet(f"{place}/edges")
-        counts = [self.spark.read.parquet(f"{place}/{t}").count() for t in ("symbols", "edges")]
-        meta = {"version": VERSION, "repo_id": repo, "root_path": root_path, "indexed_at": now.isoformat(), "files_indexed": graph.files_indexed, "symbol_count": counts[0], "edge_count": counts[1], "indexed_sha": sha, "indexed_branch": branch}
+        return name, f"{self.root}/{repo}/{name}"
+
+    def _commit(self, root_path: str, name: str, meta: dict, sha: str | None, branch: str | None) -> str:
+        repo = repo_id_of(root_path)
+        meta = {"version": VERSION, "repo_id": repo, "root_path": root_path, "indexed_at": dt.datetime.now(dt.UTC).isoformat(), "indexed_sha": sha, "indexed_branch": branch} | meta
         fs, marker = self._path(repo, name, "meta.json.tmp")
         stream = fs.create(marker)
         stream.write(bytearray(json.dumps(meta).encode()))
         stream.close()
         if not fs.rename(marker, self._path(repo, name, "meta.json")[1]):
-            raise OSError(f"cannot commit {place}")
+            raise OSError(f"cannot commit {self.root}/{repo}/{name}")
         return name
 
     def _meta(self, repo: str, name: str) -> dict | None:
@@ -131,12 +212,16 @@ class Store:
         check_meta(meta)
         if meta["root_path"] != root_path:
             raise LoadFailed("root-mismatch", meta["root_path"])
-        place = f"{self.root}/{repo}/{name}"
+        none = self.spark.createDataFrame([], "id string")
+        found = Stored(Graph(none, none, files_indexed=meta.get("files_indexed", 0)), meta, name, f"{self.root}/{repo}")
         try:
-            tables = [self.spark.read.parquet(f"{place}/{t}") for t in ("symbols", "edges")]
+            if "parts" in meta:
+                found.graph.symbols, found.graph.edges = (found.rows(t) for t in TABLES)
+            else:  # written as one folder for each table
+                found.graph.symbols, found.graph.edges = (self.spark.read.parquet(f"{self.root}/{repo}/{name}/{t}") for t in TABLES)
         except Exception as why:
             raise LoadFailed("unreadable", str(why)[:200]) from why
-        return Stored(Graph(*tables, files_indexed=meta.get("files_indexed", 0)), meta, name)
+        return found
 
     def load_or_none(self, root_path: str) -> Stored | None:
         """The newest snapshot, or None for whatever reason it cannot be loaded."""
@@ -157,6 +242,11 @@ class Store:
         return self.spark.createDataFrame(rows, "repo_id string, root_path string, indexed_at string, files_indexed long, symbol_count long, edge_count long, indexed_sha string, indexed_branch string").orderBy(F.desc("indexed_at"))
 
 
+def _write(rows: DataFrame, path: str, buckets: int) -> None:
+    """Partitions by file; a task writes few of them, and AQE divides those that are large."""
+    rows.withColumn("bucket", bucket_of("file", buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+
+
 def check_meta(meta: object) -> None:
     if not isinstance(meta, dict) or meta.get("version") != VERSION or any(not isinstance(meta.get(k), str) or not meta[k] for k in ("repo_id", "root_path", "indexed_at")):
         raise LoadFailed("schema-invalid", "version, repo_id, root_path and indexed_at are required")

@@ -15,8 +15,9 @@ from ..operators.resolve import resolve_calls
 from ..plans.shared import cut
 from ..sources.git import read_head
 from ..sources.scan import watchable
-from ..sources.store import LoadFailed, Store
+from ..sources.store import LoadFailed, Store, Stored
 
+RESOLVED = ("to_id", "ambiguous", "candidate_count")
 EVENTS = "event_seq long, path string, kind string, content string"
 
 
@@ -71,6 +72,45 @@ def apply_changes(graph: Graph, last: DataFrame) -> Graph:
     return Graph(symbols, cut(edges, "edges"))
 
 
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def store_changes(store: Store, base: Stored, last: DataFrame) -> str | None:
+    """Store the graph after ``last`` (file, kind, content; one row per file) and return the snapshot, or None if nothing changed.
+
+    What is written are the partitions of the changed files, and those whose
+    calls lead elsewhere since a name has come, gone or become ambiguous.
+    Tables are read without being shuffled; only rows of the names in question
+    are moved.
+    """
+    graph = base.graph
+    parsed = cut(extract(last.filter("kind <> 'unlink'")).filter("error IS NULL"), "parsed")
+    fresh, files = extracted_symbols(parsed), last.select("file")
+    mine = sorted(r["b"] for r in last.select(base.bucket().alias("b")).distinct().collect())  # at most as many as partitions
+    old = {t: base.rows(t, mine) for t in ("symbols", "edges")}
+    gone = cut(old["symbols"].join(files, "file", "left_semi").select(*graph.symbols.columns), "gone")
+    names = gone.select("name").union(fresh.select("name")).distinct().withColumnRenamed("name", "to_name")
+    calls = extracted_calls(parsed)
+    needed = names.union(calls.select("to_name")).distinct().withColumnRenamed("to_name", "name")
+    pool = graph.symbols.join(needed, "name", "left_semi").join(files, "file", "left_anti").select(*graph.symbols.columns)
+    pool = cut(pool.unionByName(fresh), "pool")
+    stay = graph.edges.join(files, "file", "left_anti")
+    again = cut(stay.join(names, "to_name", "left_semi").select(*graph.edges.columns), "again")
+    told = again.select("seq", *(F.col(c).alias(f"_{c}") for c in RESOLVED))
+    differs = ~F.struct(*RESOLVED).eqNullSafe(F.struct(*(F.col(f"_{c}").alias(c) for c in RESOLVED)))
+    moved = cut(resolve_calls(derive_raw_calls(again), pool).join(told, "seq").filter(differs).select(*graph.edges.columns), "moved")
+    own = cut(resolve_calls(calls, pool).select(*graph.edges.columns), "own")
+    if moved.isEmpty() and same_rows(gone, fresh.select(*gone.columns)) and same_rows(old["edges"].join(files, "file", "left_semi").select(*own.columns), own):
+        return None
+    also = sorted(set(mine) | {r["b"] for r in moved.select(base.bucket().alias("b")).distinct().collect()})
+    symbols = old["symbols"].join(files, "file", "left_anti").select(*graph.symbols.columns).unionByName(fresh)
+    edges = base.rows("edges", also).join(files, "file", "left_anti").join(moved.select("seq"), "seq", "left_anti").select(*graph.edges.columns).unionByName(moved).unionByName(own)
+    count = base.meta["symbol_files"] - gone.select("file").distinct().count() + fresh.select("file").distinct().count()
+    head = read_head(base.meta["root_path"])
+    return store.save_changes(base, {"symbols": (symbols, mine), "edges": (edges, also)}, count, head["sha"], head["branch"])
+
+
 def apply_events(graph: Graph, events: DataFrame, root: str = "") -> Graph:
     """The graph after a batch of events (see ``EVENTS``)."""
     return apply_changes(graph, cut(last_events(events, root), "events"))
@@ -89,7 +129,8 @@ class Maintainer:
     Batches are serial; every batch starts from the snapshot that is then
     newest, so an index made elsewhere in between is taken up.  A batch that
     changes nothing stores nothing.  A batch that fails is noted in
-    ``failures`` and the stream goes on.  ``absolute`` events name paths below
+    ``failures`` and the stream goes on; its files are tried once more with
+    the next batch.  ``absolute`` events name paths below
     the root; others are relative to it.
     """
 
@@ -98,6 +139,7 @@ class Maintainer:
         self.updates: list[Update] = []
         self.failures: list[tuple[int, str]] = []
         self.query: StreamingQuery | None = None
+        self._pending: DataFrame | None = None  # files of a batch that failed
 
     def _before(self) -> tuple[Graph, tuple[int, int]]:
         try:
@@ -112,15 +154,32 @@ class Maintainer:
 
     def _saved(self, after: Graph, counts: tuple[int, int]) -> Update:
         head = read_head(self.root_path)
-        name = self.store.save(after, self.root_path, head["sha"], head["branch"])
+        return self._told(self.store.save(after, self.root_path, head["sha"], head["branch"]), counts)
+
+    def _told(self, name: str | None, counts: tuple[int, int]) -> Update:
+        if name is None:
+            return Update(*counts, 0, 0, None)
         meta = self.store.load(self.root_path).meta
         update = Update(meta["symbol_count"], meta["edge_count"], meta["symbol_count"] - counts[0], meta["edge_count"] - counts[1], name)
         self.updates.append(update)
         return update
 
     def apply(self, events: DataFrame, batch: int = 0) -> Update:
+        """Apply a batch, and with it the files of a batch before that failed, where nothing newer is known of them."""
+        new = last = cut(last_events(events, self.root_path if self.absolute else ""), "events")
+        if self._pending is not None:
+            last = cut(new.unionByName(self._pending.join(new.select("file"), "file", "left_anti")), "events")
+        self._pending = new
+        update = self._apply_last(last)
+        self._pending = None
+        return update
+
+    def _apply_last(self, last: DataFrame) -> Update:
+        base = self.store.load_or_none(self.root_path)
+        if base and "parts" in base.meta:
+            counts = base.meta["symbol_count"], base.meta["edge_count"]
+            return self._told(store_changes(self.store, base, last), counts)
         graph, counts = self._before()
-        last = cut(last_events(events, self.root_path if self.absolute else ""), "events")
         if unchanged(graph, last):
             return Update(*counts, 0, 0, None)
         after = apply_changes(graph, last)

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from loomgraph.plans import code, evaluation, upkeep
+from loomgraph.plans import code, evaluation, questions, upkeep
 from loomgraph.plans import queries as graph
 
-QUERIES, SQL = graph.queries() | evaluation.queries() | code.queries() | upkeep.queries(), graph.oracle_sql() | evaluation.oracle_sql() | code.oracle_sql() | upkeep.oracle_sql()
+QUERIES, SQL = graph.queries() | evaluation.queries() | code.queries() | upkeep.queries() | questions.queries(), graph.oracle_sql() | evaluation.oracle_sql() | code.oracle_sql() | upkeep.oracle_sql() | questions.oracle_sql()
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
@@ -83,3 +83,36 @@ def test_a_hot_name_is_dealt_and_changes_nothing(spark):
     sizes = sorted(r["count"] for r in calls.select(F.spark_partition_id(), "to_name", salt.alias("s")).filter("to_name IS NOT NULL").repartition(8, "to_name", "s").groupBy(F.spark_partition_id()).count().collect())
     assert len(sizes) == 8 and sizes[-1] < 2 * sizes[4]
     assert heavy_names(calls.limit(0)) == []
+
+
+def test_search_of_many_names_equals_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.lookup import recall
+    from loomgraph.operators.tasks import search_names
+
+    names = ["Foo", "foo", "FOO", "fo", "f", "barFoo", "xfooy", "Bar", "éÉa", "ab", "<module>", "foo.bar*", "aaaa"]
+    symbols = spark.createDataFrame([(f"{n}#{k}", n, "module" if n == "<module>" else "function", "a.ts", 100 - k) for k, n in enumerate(names * 2)], "id string, name string, kind string, file string, seq long")
+    asked = [(q, sub, most) for q in ("foo", "FO", "f", "É", "a", "aaa", "o.b", "*", "zzz", "module") for sub in (False, True) for most in (1, 3, 100)]
+    rows = spark.createDataFrame([(str(k), *a) for k, a in enumerate(asked)] + [("none", "", True, 5)], "task_id string, query string, substring boolean, most int")
+    found = search_names(symbols, rows).groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    got = {r.task_id: r.ids for r in found.collect()}
+    for k, (q, sub, most) in enumerate(asked):
+        assert got.get(str(k), []) == [r.id for r in recall(symbols, q, most, sub).collect()], (q, sub, most)
+    assert "none" not in got
+
+
+def test_answers_of_awkward_tasks_and_the_report(spark):
+    from loomgraph.operators.index import build
+    from loomgraph.operators.tasks import TASK, evaluate, report, report_text
+
+    files = spark.createDataFrame([("src/a.ts", "export function alpha() { beta(); }\nclass K {}\n"), ("src/b.test.ts", "function beta() {}\nfunction check() { alpha(); }\n"), ("src/c.ts", None)], "file string, content string")
+    graph = build(files.filter("content IS NOT NULL"))
+    tasks = [("1", "callers", "beta", ["alpha"]), ("2", "callers", "src/a.ts#alpha@1", ["check"]), ("3", "callers", "nobody#x@1", []), ("4", "tests-affected", "alpha", ["src/b.test.ts"]), ("5", "kind-filter", "class", ["K"]), ("6", "kind-filter", "(", []), ("7", "string-literal", "check", ["src/b.test.ts"]), ("8", "recall", "", []), ("9", "impact", "beta", ["alpha", "check"]), ("10", "odd", "x", [])]
+    rows = {r.task_id: r for r in evaluate(spark.createDataFrame(tasks, TASK), graph.symbols, graph.edges, files).collect()}
+    assert {k: r.graph_f1 for k, r in rows.items()} == dict.fromkeys(rows, 1.0) and len(rows) == 10
+    assert rows["1"].scan_f1 == 1.0 and rows["1"].winner == "tie" and rows["9"].winner == "graph"  # the scan meets the line of one call
+    assert (rows["5"].graph_bytes, rows["8"].graph_bytes, rows["8"].scan_bytes) == (len('["K"]'), 2, 0)
+    text = report_text(evaluate(spark.createDataFrame(tasks, TASK), graph.symbols, graph.edges, files))
+    assert text.splitlines()[-1].startswith("| all | 10 | 1.00 |") and len(text.splitlines()) == 2 + 7 + 1
+    assert report_text(evaluate(spark.createDataFrame([], TASK), graph.symbols, graph.edges, files)).count("\n") == 1

@@ -174,3 +174,81 @@ def test_damaged_snapshots_are_passed_over(spark, tmp_path):
     from loomgraph.service import Workspace
 
     assert not Workspace(spark, str(tmp_path)).request("recall", {"query": "f", "path": "/r/a"}).is_error
+
+
+def _rows(df):
+    return sorted(map(repr, df.drop("seq").collect()))
+
+
+def _numbered(spark, *rows):
+    return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], EVENTS)
+
+
+def test_changes_write_changed_partitions_only(spark, tmp_path, monkeypatch):
+    from loomgraph.sources import store as stored
+
+    monkeypatch.setattr(stored, "FILES_A_BUCKET", 4)
+    files = {f"src/m{k}.ts": f"export function f{k}() {{ f{(k + 1) % 200}(); shared(); }}\n" for k in range(200)}
+    store = Store(spark, str(tmp_path))
+    built = build(spark.createDataFrame(list(files.items()), "file string, content string"))
+    first = store.save(built, "/r")
+    keeper = Maintainer(spark, store, "/r")
+    steps = [
+        [("src/m7.ts", "change", "export function g7() { f8(); }\n")],  # another file's call now leads nowhere
+        [("src/new.ts", "add", "export function shared() {}\nexport function f7() {}\n")],  # calls of all files find a target
+        [("src/m9.ts", "unlink", None), ("src/none.ts", "unlink", None)],
+        [("src/zz.ts", "add", "export function shared() {}\n")],  # all of them become ambiguous
+    ]
+    old = _rows(store.load("/r").graph.edges)
+    for step in steps:
+        update = keeper.apply(_numbered(spark, *step))
+        for path, kind, content in step:
+            files.pop(path, None) if kind == "unlink" else files.__setitem__(path, content)
+        want = build(spark.createDataFrame(list(files.items()), "file string, content string"))
+        now = store.load("/r")
+        assert _rows(now.graph.symbols) == _rows(want.symbols) and _rows(now.graph.edges) == _rows(want.edges)
+        assert (update.symbols, update.edges) == (want.symbols.count(), want.edges.count()) == (now.meta["symbol_count"], now.meta["edge_count"])
+        assert now.meta["files_indexed"] == len(files)
+    one = store._meta(repo_id_of("/r"), store._names(repo_id_of("/r"))[1])
+    wrote = {t: [len(b) for n, b in one["parts"][t].items() if n != first] for t in ("symbols", "edges")}
+    assert one["buckets"] == 50 and wrote["symbols"] == [1] and wrote["edges"][0] <= 2  # m7's partition, and that of its caller m6
+    size = spark.read.parquet(f"{tmp_path}/{repo_id_of('/r')}/{store._names(repo_id_of('/r'))[1]}/edges").count()
+    assert size < 0.1 * built.edges.count()
+    assert keeper.apply(_numbered(spark, ("src/m3.ts", "change", files["src/m3.ts"]))).snapshot is None  # the same content again
+    assert sorted(_rows(built.edges)) == old  # and the first snapshot reads as before
+    gone = store.prune("/r", 1)
+    assert first not in gone or first not in str(store.load("/r").meta["parts"])
+    assert _rows(store.load("/r").graph.edges) == _rows(want.edges)
+
+
+def test_many_folders_are_written_anew(spark, tmp_path, monkeypatch):
+    from loomgraph.sources import store as stored
+
+    monkeypatch.setattr(stored, "FILES_A_BUCKET", 1)
+    monkeypatch.setattr(stored, "MAX_FOLDERS", 2)
+    files = {f"m{k}.ts": f"function f{k}() {{}}" for k in range(6)}
+    store = Store(spark, str(tmp_path))
+    store.save(build(spark.createDataFrame(list(files.items()), "file string, content string")), "/r")
+    keeper = Maintainer(spark, store, "/r")
+    for k in range(4):
+        keeper.apply(_numbered(spark, (f"m{k}.ts", "change", f"function g{k}() {{ f5(); }}")))
+        assert len(store.load("/r").meta["parts"]["symbols"]) <= 2
+    now = store.load("/r").graph
+    assert {r.name for r in now.symbols.collect()} == {"g0", "g1", "g2", "g3", "f4", "f5"} and now.edges.filter("to_id = 'm5.ts#f5@1'").count() == 4
+    names = store._names(repo_id_of("/r"))
+    assert len(store.prune("/r", 1)) >= 1 and len(store._names(repo_id_of("/r"))) < len(names)
+    assert {r.name for r in store.load("/r").graph.symbols.collect()} == {"g0", "g1", "g2", "g3", "f4", "f5"}
+
+
+def test_a_failed_batch_is_tried_once_more(spark, tmp_path, monkeypatch):
+    from loomgraph.streaming import maintain
+
+    store = Store(spark, str(tmp_path))
+    store.save(build(spark.createDataFrame([("a.ts", "function a() {}")], "file string, content string")), "/r")
+    keeper = Maintainer(spark, store, "/r")
+    with monkeypatch.context() as m:
+        m.setattr(maintain, "store_changes", lambda *_: 1 / 0)
+        keeper._batch(_numbered(spark, ("b.ts", "add", "function b() {}"), ("c.ts", "add", "function old() {}")), 1)
+    assert [n for n, _ in keeper.failures] == [1]
+    keeper._batch(_numbered(spark, ("c.ts", "add", "function c() {}")), 2)
+    assert {r.name for r in store.load("/r").graph.symbols.collect()} == {"a", "b", "c"} and len(keeper.failures) == 1 and keeper._pending is None
