@@ -37,8 +37,8 @@ BASE_RULES = [Rule("net", "/", "block", "net/"), Rule("example.net", "/en/", "al
 HOST_WORDS = "ads adserver adserv adnet adclick adtrack banner banners doubleclick popunder popup spam casino poker bingo roulette betting sportsbet slots jackpot porn xxx sex adult escort camgirls webcams dating viagra cialis pharma replica warez torrent crack keygen serials track?ng tracker telemetry pixel beacon affiliate".split()
 PATH_WORDS = "ads adserver banner banners popup sponsored affiliate tracking track pixel beacon login logout signin signup register password cart checkout basket wishlist account wp-admin wp-login cgi-bin print share redirect unsubscribe captcha".split()
 FILE_TYPES = "exe msi dmg apk iso zip rar gz 7z tar jar jpg jpeg png gif ico svg mp3 mp4 avi mov wmv css js woff ttf swf".split()
-#: How a host word stands in a host (whole label, start of a label, with a number), and a path word in a path.
-HOST_FORMS, PATH_FORMS, TYPE_FORMS = ("*.{}.*", "*.{}-*", "*.{}*"), ("*/{}", "*/{}/*", "*/{}.*", "*/{}-*"), ("*.{}", "*.{}/*")
+#: How a host word stands in a host (whole label, start of a label, before a number), and a path word in a path.
+HOST_FORMS, PATH_FORMS, TYPE_FORMS = ("*.{}.*", "*.{}-*", *(f"*.{{}}{digit}*" for digit in range(10))), ("*/{}", "*/{}/*", "*/{}.*", "*/{}-*"), ("*.{}", "*.{}/*")
 
 
 def method_globs() -> list[tuple[str, str]]:

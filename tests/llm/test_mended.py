@@ -1,6 +1,6 @@
 """Cases that earlier versions lost or failed on."""
 
-from loomgraph.llm import probminhash, tiff
+from loomgraph.llm import probminhash, tiff, url_filter
 
 
 def test_a_file_without_a_directory_gives_an_error_row(spark):
@@ -29,3 +29,11 @@ def test_keep_one_of_awkward_tables(spark):
 def test_keep_one_drops_near_copies(spark):
     text = " ".join(f"w{k}" for k in range(200))
     assert _kept(spark, [(3, text), (9, text + " tail"), (8, "tail of something else entirely, with words of its own")]) == [0, 2]
+
+
+def test_words_that_begin_like_a_blocked_one_are_not_blocked():
+    machine = url_filter.Automaton(url_filter.METHOD_GLOBS)
+    good = [".adsorption.org", ".sexton.com", ".pixels.edu", ".bannerman.ac.uk", ".www.slotsville.gov"]
+    bad = [".ads.example.com", ".ads-server.example.com", ".ads7.example.com", ".www.banner12.net", ".casino"]
+    hits = machine.match([h.encode() + b"\xff/" for h in good + bad]).any(axis=1).tolist()
+    assert hits == [False] * len(good) + [True] * (len(bad) - 1) + [False]  # a host word is no top-level name
