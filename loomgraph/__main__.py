@@ -10,13 +10,15 @@ import sys
 from . import __version__
 
 
-def watch(spark, store: str, root: str, events: str, **trigger) -> int:
-    """Keep the stored graph of ``root`` current from event files until interrupted (or, with availableNow, until none is left)."""
+def watch(spark, store: str, root: str, events: str | None, **trigger) -> int:
+    """Keep the stored graph of ``root`` current until interrupted (or, with availableNow, until nothing is left), from event files or by watching the folder."""
     from .sources.store import Store
     from .streaming.maintain import EVENTS, Maintainer
+    from .streaming.watch import folder_events
 
     keeper = Maintainer(spark, Store(spark, store), root, absolute=True)
-    query = keeper.start(spark.readStream.schema(EVENTS).json(events), f"{store}/watch-{os.path.basename(root) or 'root'}", **trigger)
+    stream = spark.readStream.schema(EVENTS).json(events) if events else folder_events(spark, root)
+    query = keeper.start(stream, f"{store}/watch-{os.path.basename(root) or 'root'}", **trigger)
     try:
         query.awaitTermination()
     except KeyboardInterrupt:
@@ -34,13 +36,11 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("command", choices=["index", "status", "recall", "callers", "impact", "watch", "version"])
     parser.add_argument("value", nargs="?", help="path of index, status and watch; query or symbol of the others")
     parser.add_argument("--options", type=json.loads, default={}, help="further arguments as a JSON object")
-    parser.add_argument("--events", help="watch: folder of JSON lines (event_seq, path, kind, content) that an editor or agent writes")
+    parser.add_argument("--events", help="watch: folder of JSON lines (event_seq, path, kind, content) that an editor or agent writes; without it the folder itself is watched")
     args = parser.parse_args(argv)
     if args.command == "version":
         print(__version__)
         return 0
-    if args.command == "watch" and not args.events:
-        parser.error("watch needs --events")
     key = {"index": "path", "status": "path", "recall": "query"}.get(args.command, "symbol")
     given = ({key: args.value} if args.value is not None else {}) | args.options
 
