@@ -36,11 +36,14 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("command", choices=["index", "status", "recall", "callers", "impact", "watch", "version"])
     parser.add_argument("value", nargs="?", help="path of index, status and watch; query or symbol of the others")
     parser.add_argument("--options", type=json.loads, default={}, help="further arguments as a JSON object")
-    parser.add_argument("--events", help="watch: folder of JSON lines (event_seq, path, kind, content) that an editor or agent writes; without it the folder itself is watched")
+    parser.add_argument("--events", help="watch: folder of JSON lines (event_seq, path, kind, content) that an editor or agent writes")
+    parser.add_argument("--folder", action="store_true", help="watch: look for changes in the folder itself")
     args = parser.parse_args(argv)
     if args.command == "version":
         print(__version__)
         return 0
+    if args.command == "watch" and bool(args.events) == args.folder:
+        parser.error("watch needs --events or --folder")
     key = {"index": "path", "status": "path", "recall": "query"}.get(args.command, "symbol")
     given = ({key: args.value} if args.value is not None else {}) | args.options
 
