@@ -335,11 +335,22 @@ def test_many_secrets_in_one_text_and_clashing_columns(spark):
 def test_leaks_with_other_values_but_not_inconsistent_ones(spark):
     item = "If Anna has 12 apples and gives 5 kg of them to her friend Bob then Anna keeps the other apples in a box"
     same = item.replace("Anna", "Carla").replace("12", "31").replace("Bob", "Dirk")
-    mixed = item.replace("Anna", "Carla", 1).replace("Bob", "Dirk")  # Anna is two people, and no 13 words are unchanged
-    merged = item.replace("Anna", "Carla").replace("Bob", "Carla")  # two people are one
+    mixed = item.replace("Anna", "Carla", 1).replace("Bob", "Dirk")  # Anna is two people; without the first, 22 words agree
+    merged = item.replace("Anna", "Carla").replace("Bob", "Carla")  # two people are one; 14 words stand before the second
     docs = _docs(spark, [f"some words {item} and more", f"x y {same}", f"x y {mixed}", f"x y {merged}", "nothing here", "x " + item.replace("Anna", "Carla", 1)])
     found = decontaminate.matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id, r.n_tokens, r.reparameterised) for r in found) == [(0, 9, 24, False), (1, 9, 24, True), (5, 9, 22, False)]
+    assert sorted((r.doc_id, r.item_id, r.n_tokens, r.reparameterised) for r in found) == [(0, 9, 24, False), (1, 9, 24, True), (2, 9, 22, True), (3, 9, 14, True), (5, 9, 22, False)]
+
+
+def test_leaks_with_other_values_in_one_case_with_joined_units_and_longer_names(spark):
+    item = "If Anna has 12 apples and drives 5 km to her friend Bob then Anna keeps the other apples in a box"
+    other = item.replace("12", "31").replace("5 km", "9 miles")
+    named = item.replace("Anna", "Carla Maria Stein").replace("12", "31").replace("Bob", "Dr Dirk Ohm")
+    texts = [other.lower(), other.upper(), item.replace("5 km", "4km"), item.replace("5 km", "4KM").replace("Anna", "Ida"), named, "so " + named]
+    short = "Why did Anna go to Rome at noon and not by train"  # 12 words, two of them changed without one to one
+    texts += [item.replace("then Anna keeps", "then Ida keeps").replace("12", "31"), short.replace("Anna", "Ida").replace("Rome", "Ida")]
+    found = decontaminate.matches(_docs(spark, texts), spark.createDataFrame([(9, item), (8, short)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_tokens, r.doc_start, r.reparameterised) for r in found) == [(0, 9, 22, 0, True), (1, 9, 22, 0, True), (2, 9, 22, 0, True), (3, 9, 22, 0, True), (4, 9, 28, 0, True), (5, 9, 28, 1, True), (6, 9, 20, 2, True)]
 
 
 def test_leaks_of_items_that_are_mostly_names_and_numbers(spark):
@@ -370,11 +381,28 @@ def test_leaks_in_any_case_punctuation_and_of_every_text_of_an_item(spark):
     assert sorted((r.doc_id, r.item_id, r.reparameterised) for r in found) == [(0, 1, False), (1, 2, False), (2, 3, False), (3, 3, False), (4, 4, False), (5, 4, False), (6, 4, False)]
 
 
-def _token_forms(text):
+def _token_views(text):
+    """Per view: templates, plain forms, and the words of each token."""
     bare = regex.sub(f"[{decontaminate.MARKS}]+", "", text).translate({c: " " for c in range(9, 14)})
-    out = regex.sub(r"(?<![^ ])\p{Lu}[^ ]*", "<a>", bare).lower()
-    out = regex.sub(rf"<n>( ?)(?:{decontaminate.UNITS})(?= |$)", r"<n>\1<u>", regex.sub(r"\p{Nd}+", "<n>", out))
-    return [x for x in out.split(" ") if x], [x for x in bare.lower().split(" ") if x]
+    units = regex.compile(rf"(?:{decontaminate.UNITS})")
+    words = []  # (plain, begins with a capital, unit)
+    for w in bare.split(" "):
+        low, cap = w.lower(), bool(regex.match(r"\p{Lu}", w))
+        joined = next((i for i in range(1, len(low)) if regex.match(r"\p{Nd}", low[i - 1]) and units.fullmatch(low[i:])), None)
+        if joined:
+            words += [(low[:joined], cap, False), (low[joined:], False, True)]
+        elif w:
+            after = bool(words and regex.match(r"\p{Nd}", words[-1][0][-1]) and units.fullmatch(low))
+            words.append((low, cap and not after, after))
+    form = lambda p, unit: "<u>" if unit else regex.sub(r"\p{Nd}+", "<n>", p)
+    first = [(form(p, unit), p, 1) for p, _, unit in words]
+    second = []
+    for p, cap, unit in words:
+        if cap and second and second[-1][0] == "<a>":
+            second[-1] = ("<a>", f"{second[-1][1]}_{p}", second[-1][2] + 1)
+        else:
+            second.append(("<a>" if cap else form(p, unit), p, 1))
+    return first, second
 
 
 def _runs_of_true(flags):
@@ -382,28 +410,48 @@ def _runs_of_true(flags):
     return [(a + 1, b - a - 1) for a, b in zip(at, at[1:]) if b - a > 1]
 
 
+def _one_to_one(slots):
+    return len(slots) == len({a for a, _ in slots}) == len({b for _, b in slots})
+
+
+def _slot_pairs(asked, given):
+    a, g = asked.split("_"), given.split("_")
+    if len(a) == len(g):
+        return set(zip(a, g))
+    if a[0] == g[0] and len(a) > 1 and len(g) > 1:
+        return {(a[0], g[0]), ("_".join(a[1:]), "_".join(g[1:]))}
+    return {(asked, given)}
+
+
 def _leak(doc, item):
-    (dt, dp), (it, ip) = _token_forms(doc), _token_forms(item)
-    n, least, found = min(8, len(ip)), min(13, len(ip)), []
-    for shift in range(1 - len(ip), len(dp)) if ip else ():
-        lo, hi = max(0, -shift), min(len(ip), len(dp) - shift)
-        p = [ip[i] == dp[i + shift] for i in range(lo, hi)]
-        t = [it[i] == dt[i + shift] for i in range(lo, hi)]
-        lit = ["<" not in it[i] for i in range(lo, hi)]
-        fits = [all(p[j : j + n]) or all(t[j : j + n]) and sum(lit[j : j + n]) >= min(4, n) for j in range(hi - lo - n + 1)]
-        for first, run in _runs_of_true(p):
-            if run >= least:
-                found.append((run, -(first + lo + shift), True))
-        for first, places in _runs_of_true(fits):
-            slots = {(ip[i], dp[i + shift]) for i in range(first + lo, first + lo + places + n - 1) if "<" in it[i]}
-            if places + n - 1 >= least and len(slots) == len({a for a, _ in slots}) == len({b for _, b in slots}):
-                found.append((places + n - 1, -(first + lo + shift), all(a == b for a, b in slots)))
+    found, views = [], _token_views(item)
+    words = views[0]
+    for dv, iv in zip(_token_views(doc), views):
+        n, least = min(8, len(iv)), min(13, len(iv))
+        for shift in range(1 - len(iv), len(dv)) if iv else ():
+            lo, hi = max(0, -shift), min(len(iv), len(dv) - shift)
+            pairs = [(iv[i], dv[i + shift]) for i in range(lo, hi)]
+            t = [a[0] == g[0] for a, g in pairs]
+            p = [a[1] == g[1] and (iv is words or same) for (a, g), same in zip(pairs, t)]
+            lit = ["<" not in a[0] for a, _ in pairs]
+            head = [x and not regex.fullmatch(decontaminate.UNITS, a[1]) for x, (a, _) in zip(lit, pairs)]
+            fits = [all(p[j : j + n]) or all(t[j : j + n]) and head[j] + sum(lit[j + 1 : j + n]) >= min(4, n) for j in range(hi - lo - n + 1)]
+            told = lambda a, b, same: (sum(g[2] for _, g in pairs[a:b]), -sum(g[2] for g in dv[: a + lo + shift]), same)
+            found += [told(first, first + run, True) for first, run in _runs_of_true(p) if run >= least]
+            for first, places in _runs_of_true(fits):
+                end = first + places + n - 1
+                for a in range(first, end - least + 1):
+                    for b in range(end, a + least - 1, -1):
+                        slots = {s for x, g in pairs[a:b] if "<" in x[0] for s in _slot_pairs(x[1], g[1])}
+                        if _one_to_one(slots):
+                            found.append(told(a, b, all(x == g for x, g in slots)))
+                            break
     return max(found, default=None)
 
 
 def test_leaks_match_brute_force(spark):
     rng = random.Random(11)
-    words = ["the", "a", "of", "car", "Anna", "Bob", "Ulm", "12", "7", "kg", "km", "and", "then", "it's", "go", "--", "x9", "dog", "runs", "home", "so", "red", "two"]
+    words = ["the", "a", "of", "car", "Anna", "Bob", "Ulm", "12", "7", "kg", "km", "5kg", "KM", "Ida", "and", "then", "it's", "go", "--", "x9", "dog", "runs", "home", "so", "red", "two"]
     items = [" ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 5, 8, 9, 12, 13, 14, 20, 40)))) for _ in range(40)]
     docs = []
     for _ in range(200):
