@@ -36,7 +36,7 @@ MARKS = r"!-/:-@\[-`{-~\u00A1-\u00A9\u00AB-\u00B1\u00B4\u00B6-\u00B8\u00BB\u00BF
 
 def _bare(text: Column) -> Column:
     """The text without punctuation and symbols, which may join the parts of a word but never two words; all white space is blanks."""
-    return F.translate(F.regexp_replace(text, f"[{MARKS}]+", ""), "\t\n\v\f\r", "     ")
+    return F.regexp_replace(F.regexp_replace(text, f"[{MARKS}]+", ""), r"[\x09-\x0D]", " ")
 
 
 def _split(bare: Column) -> Column:
@@ -51,10 +51,14 @@ def _forms(rows: DataFrame) -> DataFrame:
     """
     rest = [c for c in rows.columns if c != "bare"]
     marked = F.lower(F.regexp_replace("bare", r"\p{Lu}(?<![^ ].)[^ ]*", "^$0"))
-    rows = rows.select(*rest, F.regexp_replace(marked, rf"(?<=\p{{Nd}}) *\^?(?=(?:{UNITS})(?: |$))", " ").alias("plain"))
+    rows = rows.select(*rest, marked.alias("marked"))
+    numbers = F.col("marked").rlike(r"\p{Nd}")  # most texts without any are spared three passes
+    apart = F.regexp_replace("marked", rf"(\p{{Nd}}) *\^?(?=(?:{UNITS})(?: |$))", "$1 ")
+    rows = rows.select(*rest, numbers.alias("numbers"), F.when(numbers, apart).otherwise(F.col("marked")).alias("plain"))
     typed = F.regexp_replace(F.regexp_replace("plain", r"\p{Nd}+", NUMBER), f"{NUMBER} +(?:{UNITS})(?= |$)", f"{NUMBER} {UNIT}")
+    typed = F.when(F.col("numbers"), typed).otherwise(F.col("plain"))
     rows = rows.select(*rest, "plain", typed.alias("typed"))
-    bare, joined = (lambda c: F.translate(c, "^", "")), (lambda c: F.regexp_replace(c, r"(\^[^ ]*) +(?=\^)", "$1_"))
+    bare, joined = (lambda c: F.replace(c, F.lit("^"), F.lit(""))), (lambda c: F.regexp_replace(c, r"(\^[^ ]*) +(?=\^)", "$1_"))
     views = [(bare(F.col("typed")), bare(F.col("plain"))), (F.regexp_replace(joined("typed"), r"\^[^ ]*", NAME), bare(joined("plain")))]
     return rows.select(*rest, F.array(*(F.struct(_split(t).alias("t"), _split(p).alias("p")) for t, p in views)).alias("forms"))
 
