@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from pathlib import Path
@@ -14,10 +15,10 @@ MAX_PARENTS, MAX_HOPS = 64, 10
 
 
 def worktree_root(path: str) -> str | None:
-    """Nearest folder at or above ``path`` that holds .git, within 64 levels."""
+    """Nearest folder at or above ``path`` that holds .git, within 64 levels; a folder that may not be read holds none."""
     here = Path(path).absolute()
     for folder in [here, *here.parents][: MAX_PARENTS + 1]:
-        if (folder / ".git").exists():
+        if os.path.exists(folder / ".git"):  # False, not an error, where it may not be looked at
             return str(folder)
     return None
 

@@ -117,3 +117,22 @@ def test_many_nested_types_are_no_calls():
     inner = "".join(f"  a{k}: {{ b(x: number): C{k}; }};\n" for k in range(40))
     symbols, calls = read_source(f"type T = {{\n{inner}  m(): void;\n}};\nfunction f() {{ g(); }}\n", "a.ts")
     assert [c["to_name"] for c in calls] == ["g"] and [s["name"] for s in symbols] == ["T", "f"]
+
+
+def test_a_folder_that_may_not_be_read_has_no_git(tmp_path, monkeypatch):
+    import os
+
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "HEAD").write_text("a" * 40 + "\n")
+    (tmp_path / "shut" / "code").mkdir(parents=True)
+    real = os.stat
+
+    def stat(path, *args, **more):
+        if "shut" in os.fspath(path):
+            raise PermissionError(13, "Permission denied", path)
+        return real(path, *args, **more)
+
+    monkeypatch.setattr(os, "stat", stat)
+    assert read_head(str(tmp_path / "shut" / "code"))["sha"] == "a" * 40
+    (tmp_path / ".git" / "HEAD").unlink()
+    assert read_head(str(tmp_path / "shut" / "code"))["sha"] is None
