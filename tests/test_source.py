@@ -136,3 +136,19 @@ def test_a_folder_that_may_not_be_read_has_no_git(tmp_path, monkeypatch):
     assert read_head(str(tmp_path / "shut" / "code"))["sha"] == "a" * 40
     (tmp_path / ".git" / "HEAD").unlink()
     assert read_head(str(tmp_path / "shut" / "code"))["sha"] is None
+
+
+def test_reading_is_dealt_to_all_cores_and_loses_no_file(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.index import BATCH_FILES, extract
+
+    n = 3 * BATCH_FILES + 7
+    files = spark.range(0, n, 1, 1).select(F.concat(F.lit("f"), "id", F.lit(".ts")).alias("file"), F.when(F.col("id") == 5, None).otherwise(F.concat(F.lit("function g"), "id", F.lit("() { h(); }"))).alias("content"))
+    rows = extract(files).withColumn("part", F.spark_partition_id()).cache()
+    assert rows.select("part").distinct().count() > 1
+    got = {r.file: [s.name for s in r.symbols] for r in rows.collect()}
+    assert got == {f"f{k}.ts": [f"g{k}"] if k != 5 else [] for k in range(n)}
+    assert [r.file for r in rows.filter("error IS NOT NULL").collect()] == ["f5.ts"]
+    whole = {r.file: len(r.calls) for r in extract(files, spread=False).collect()}
+    assert whole == {r.file: len(r.calls) for r in rows.collect()} and len(whole) == n
