@@ -116,3 +116,54 @@ def test_answers_of_awkward_tasks_and_the_report(spark):
     text = report_text(evaluate(spark.createDataFrame(tasks, TASK), graph.symbols, graph.edges, files))
     assert text.splitlines()[-1].startswith("| all | 10 | 1.00 |") and len(text.splitlines()) == 2 + 7 + 1
     assert report_text(evaluate(spark.createDataFrame([], TASK), graph.symbols, graph.edges, files)).count("\n") == 1
+
+
+def test_edges_into_some_symbols_are_those_of_the_whole_graph(spark):
+    from loomgraph.operators.impact import impact
+    from loomgraph.operators.resolve import edges_into, resolve_calls
+
+    names = [("a#f", "f", "a"), ("b#f", "f", "b"), ("b#g", "g", "b"), ("c#h", "h", "c"), ("c#h", "other", "c"), ("d#i", "i", "d")]
+    symbols = spark.createDataFrame([(*n, k) for k, n in enumerate(names)], "id string, name string, file string, seq long")
+    calls = spark.createDataFrame([("b#g", "f", "b", 0), ("d#i", "f", "d", 1), ("c#h", "g", "c", 2), ("d#i", "other", "d", 3), ("a#f", None, "a", 4), ("a#f", "none", "a", 5), ("b#f", "h", "b", 6), ("d#i", "i", "d", 7)], "from_id string, to_name string, file string, seq long")
+    whole = resolve_calls(calls, symbols)
+    met = []
+
+    def calls_to(names):
+        met.append(sorted(r[0] for r in names.collect()))
+        return calls.join(names, "to_name", "left_semi")
+
+    for some in (["a#f"], ["b#f"], ["c#h", "b#g"], ["nobody"]):
+        ids = spark.createDataFrame([(x,) for x in some], "id string")
+        want = whole.filter(whole["to_id"].isin(some)).select(*whole.columns)
+        assert _rows(whole.columns, edges_into(calls_to, symbols, ids).select(*whole.columns).collect()) == _rows(whole.columns, want.collect())
+    assert met == [["f"], ["f"], ["g", "h", "other"], []]
+    targets = spark.createDataFrame([("a#f",), ("c#h",)], "target_id string")
+    plain, narrow = (impact(targets, e, symbols) for e in (whole, lambda ids: edges_into(calls_to, symbols, ids)))
+    assert _rows(plain.columns, plain.collect()) == _rows(plain.columns, narrow.collect()) and plain.count() == 4
+
+
+def test_a_search_writes_no_more_than_it_finds(spark, monkeypatch):
+    from loomgraph.operators import impact as search
+    from loomgraph.operators import resolve
+    from loomgraph.plans.shared import cut
+    from loomgraph.sources import relational
+
+    sizes = []
+
+    def counted(df, name):
+        out = cut(df, name)
+        sizes.append(out.count())
+        return out
+
+    for module in (search, resolve, relational):
+        monkeypatch.setattr(module, "cut", counted, raising=False)
+    QUERIES["impact_d3"](spark, SF)
+    assert max(sizes) < 1000  # of 14,500 calls
+
+
+def test_ends_of_calls_that_lead_nowhere(spark):
+    from loomgraph.functions.display import name_ends
+
+    symbols = spark.createDataFrame([("a", "A", 1), ("a", "B", 2), ("\0x", "odd", 3)], "id string, name string, seq long")
+    edges = spark.createDataFrame([("a", "a", "n"), ("x", None, "m"), ("a", None, "k"), ("a", "gone", "l"), (None, "a", "o")], "from_id string, to_id string, to_name string")
+    assert sorted((r.to_name, r.caller_name, r.callee_name) for r in name_ends(edges, symbols).collect()) == [("k", "B", "k"), ("l", "B", "l"), ("m", "x", "m"), ("n", "B", "B"), ("o", None, "B")]
