@@ -78,9 +78,12 @@ def name_ends(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges with the names of both ends: caller_name falls back to the id, callee_name to the called name.
 
     Symbols are looked up once per id (the last one wins), so edges do not
-    multiply.
+    multiply.  Edges that lead nowhere are dealt by their caller, since they
+    would all meet in one task otherwise.
     """
     last = symbols.groupBy("id").agg(F.max_by("name", "seq").alias("name"))
     named = edges.join(last.select(F.col("id").alias("from_id"), F.col("name").alias("_from")), "from_id", "left")
-    named = named.join(last.select(F.col("id").alias("to_id"), F.col("name").alias("_to")), "to_id", "left")
+    callee = last.select(F.col("id").alias("_id"), F.col("name").alias("_to"))
+    key = F.coalesce("to_id", F.concat(F.lit("\0"), "from_id"))
+    named = named.join(callee, (key == F.col("_id")) & F.col("to_id").isNotNull(), "left")
     return named.select(*edges.columns, F.coalesce("_from", "from_id").alias("caller_name"), F.coalesce("_to", "to_name").alias("callee_name"))
