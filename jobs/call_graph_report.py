@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from jobs.common import fresh_folder, session, settings
 from loomgraph.operators.impact import impact, impact_names, impact_stats
-from loomgraph.operators.resolve import resolution_stats, resolve_calls
+from loomgraph.operators.resolve import resolution_stats
 from loomgraph.plans.queries import GRAPH
+from loomgraph.plans.shared import cut
 from loomgraph.schema import FAN_IN
-from loomgraph.sources.relational import raw_calls, symbols
+from loomgraph.sources.relational import resolved_calls, symbols
 
 log = logging.getLogger("call_graph_report")
 SUMMARY = "id string, name string, file string, calls long, direct_count long, transitive_count long, test_count long, file_count long, truncated boolean, kind string"
@@ -50,13 +51,13 @@ def hottest(edges: DataFrame, n: int) -> DataFrame:
 def run(spark: SparkSession, tables: str, output: str, by: Settings = Settings()) -> dict[str, int]:
     """Write the three outputs; returns how many rows were read and written."""
     nodes = symbols(spark, tables).withColumn("exported", F.lit(True))
-    resolved = resolve_calls(raw_calls(spark, tables), nodes).withColumn("bucket", F.pmod(F.xxhash64("to_name"), F.lit(by.buckets)).cast("int"))
+    resolved = resolved_calls(spark, tables, nodes).withColumn("bucket", F.pmod(F.xxhash64("to_name"), F.lit(by.buckets)).cast("int"))
     resolved.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{output}/edges")
     edges = spark.read.schema(resolved.schema).parquet(f"{output}/edges")
     done = resolution_stats(nodes, edges).first().asDict()
     log.info("read %(symbol_count)d symbols, wrote %(edge_count)d calls, %(resolved_count)d of them resolved", done)
 
-    top = hottest(edges, by.targets)
+    top = cut(hottest(edges, by.targets), "top")
     found = impact(top.select("target_id"), edges, nodes, by.depth, by.level_limit or 1 << 40, stored=True)
     named = impact_names(found, nodes)
     named.write.mode("overwrite").partitionBy("depth").parquet(f"{output}/callers")
