@@ -48,10 +48,15 @@ class Settings:
 
 
 def masked(rows: DataFrame, by: Settings) -> DataFrame:
-    """Key, kept columns, masked text, labels (an array) and whether the text changed; null text stays null and has no label."""
+    """Key, kept columns, masked text, labels (an array) and whether the text changed; null text stays null and has no label.
+
+    The rules rewrite what they find and nothing else, so a text without a label is left as it is.
+    """
     text = F.col(by.text)
     labels = F.filter(F.split(F.coalesce(detect_secrets(text), F.lit("")), ","), lambda x: x != "")
-    out = rows.select(by.key, *by.keep, redact_secrets(text).alias(by.text), labels.alias("labels"), text.alias("_before"))
+    told = rows.select(by.key, *by.keep, text.alias("_before"), labels.alias("labels"))
+    before = F.col("_before")
+    out = told.select(by.key, *by.keep, F.when(F.size("labels") == 0, before).otherwise(redact_secrets(before)).alias(by.text), "labels", "_before")
     return out.withColumn("changed", ~F.col(by.text).eqNullSafe(F.col("_before"))).drop("_before")
 
 

@@ -117,3 +117,16 @@ def test_settings_files(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"nothing": 1}))
     with pytest.raises(ValueError, match="nothing"):
         settings(redact_corpus.Settings, str(tmp_path / "c.json"))
+
+
+def test_texts_without_a_label_stay_and_others_are_masked(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.functions.redact import detect_secrets, redact_secrets
+
+    texts = [None, "", "plain sk- text", "AK" + "IA" + "ABCDEFGH12345678 and '" + "b" * 41 + "'", "ghp_" + "a" * 30, '"' + "c" * 40 + "'", "é" + "sk-" + "d" * 20]
+    rows = spark.createDataFrame([(k, t, "en", "web") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = redact_corpus.masked(rows, redact_corpus.Settings()).orderBy("doc_id").collect()
+    want = rows.select(redact_secrets(F.col("text")).alias("r"), detect_secrets(F.col("text")).alias("d"), "doc_id").orderBy("doc_id").collect()
+    assert [(g.text, ",".join(g.labels), g.changed) for g in got] == [(w.r, w.d or "", w.r != t) for w, t in zip(want, texts, strict=True)]
+    assert [g.changed for g in got] == [False, False, False, True, True, False, True]
