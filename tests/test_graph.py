@@ -161,6 +161,26 @@ def test_a_search_writes_no_more_than_it_finds(spark, monkeypatch):
     assert max(sizes) < 1000  # of 14,500 calls
 
 
+@pytest.mark.parametrize("name", ["impact_d2", "impact_tests", "impact_min_depth"])  # the others are built like the first
+def test_a_search_moves_neither_symbols_nor_calls_to_its_frontier(spark, monkeypatch, name):
+    from loomgraph.operators import impact as search
+    from loomgraph.operators import resolve
+    from loomgraph.plans.shared import cut
+    from loomgraph.sources import relational
+
+    joins = []
+
+    def seen(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins.extend(line.strip() for line in plan.split("\n") if "Join" in line)
+        return cut(df, name)
+
+    for module in (search, resolve, relational):
+        monkeypatch.setattr(module, "cut", seen)
+    QUERIES[name](spark, SF)
+    assert joins and [j for j in joins if "BroadcastHashJoin" not in j] == []
+
+
 def test_ends_of_calls_that_lead_nowhere(spark):
     from loomgraph.functions.display import name_ends
 
