@@ -181,6 +181,38 @@ def test_a_search_moves_neither_symbols_nor_calls_to_its_frontier(spark, monkeyp
     assert joins and [j for j in joins if "BroadcastHashJoin" not in j] == []
 
 
+@pytest.mark.parametrize("name", ["impact_d2", "impact_min_depth"])  # the others are built like the first
+def test_a_frontier_above_the_session_limit_moves_no_table(spark, monkeypatch, name):
+    from loomgraph.operators import impact as search
+    from loomgraph.operators import resolve
+    from loomgraph.plans import shared
+    from loomgraph.sources import relational
+
+    joins = []
+
+    def seen(df, name):
+        if name in ("called", "alike", "narrowed") or name.startswith("found-"):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            joins.extend(line.strip() for line in plan.split("\n") if "Join" in line and "LeftSemi" in line)
+        return shared.cut(df, name)
+
+    for module in (search, resolve, relational):
+        monkeypatch.setattr(module, "cut", seen)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as if every frontier were too large for it
+    try:
+        df = QUERIES[name](spark, SF)
+        few = _rows(df.columns, df.collect())
+        assert joins and [j for j in joins if "BroadcastHashJoin" not in j] == []
+        monkeypatch.setattr(shared, "FEW", -1)  # more rows than that are shuffled, with the same result
+        joins.clear()
+        df = QUERIES[name](spark, SF)
+        assert few and _rows(df.columns, df.collect()) == few
+        assert [j for j in joins if "BroadcastHashJoin" in j] == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_ends_of_calls_that_lead_nowhere(spark):
     from loomgraph.functions.display import name_ends
 
