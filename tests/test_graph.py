@@ -213,6 +213,30 @@ def test_a_frontier_above_the_session_limit_moves_no_table(spark, monkeypatch, n
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+@pytest.mark.parametrize("common", ["part", "supplier"])  # the searches from a part and from a supplier
+def test_lines_stay_where_many_rows_have_a_called_name(spark, monkeypatch, common):
+    from loomgraph.plans import shared
+    from loomgraph.sources import relational
+
+    table = spark.read.parquet(f"{SF}/{common}.parquet").withColumnRenamed(f"{common[0]}_name", "to_name")
+    names = shared.cut(table.select("to_name").limit(1), "names")
+
+    def joins_of(df):
+        return [line.strip() for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line and "Inner" in line]
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as if the parts of that name were too many bytes for it
+    try:
+        stay = relational.raw_calls(spark, SF, names)
+        assert joins_of(stay) and [j for j in joins_of(stay) if "BroadcastHashJoin" not in j] == []
+        monkeypatch.setattr(shared, "FEW", -1)  # more rows than that are shuffled, with the same result
+        moved = relational.raw_calls(spark, SF, names)
+        assert [j for j in joins_of(moved) if "BroadcastHashJoin" in j] == []
+        assert stay.count() > 0 and _rows(stay.columns, stay.collect()) == _rows(moved.columns, moved.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_ends_of_calls_that_lead_nowhere(spark):
     from loomgraph.functions.display import name_ends
 
