@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import cut
+from ..schema import DEFAULT_LEVEL_LIMIT
 from .evaluate import DECLARED, percent_saved, score_sets
 from .impact import impact
 
@@ -64,10 +65,12 @@ def answer_from_graph(tasks: DataFrame, symbols: DataFrame, edges: DataFrame, pr
 
     callers: who calls the symbol (by id where the query holds # and @), of
     its first 50 calls; recall, recall-substring, recall-miss: names found;
-    kind-filter: names of a kind below ``prefix``; impact: callers up to two
-    calls away; tests-affected: test files up to three calls away;
-    string-literal: where a symbol of that name is declared, since texts are
-    not in the graph.  An unknown kind or symbol finds nothing.
+    kind-filter: names of a kind below ``prefix``; impact: names of callers up
+    to two calls away, the first 100 of each level; tests-affected: test files
+    up to three calls away; string-literal: where a symbol of that name is declared, since texts are
+    not in the graph.  An unknown kind or symbol finds nothing.  All calls are
+    searched, however many lead into a symbol, and many callers of one name
+    are one answer and take one of the 100 places.
     """
     tasks = cut(tasks.select("task_id", "kind", "query"), "tasks")
     searches = F.create_map(*(F.lit(x) for kind, (sub, most) in SEARCHES.items() for x in (kind, f"{int(sub)}{most}")))
@@ -94,10 +97,13 @@ def answer_from_graph(tasks: DataFrame, symbols: DataFrame, edges: DataFrame, pr
     listed = symbols.filter(F.col("file").startswith(prefix)).select(F.col("kind").alias("query"), F.col("name").alias("item"))
     out = out.unionByName(tasks.filter("kind = 'kind-filter'").join(listed, "query").select("task_id", "item"))
 
-    reached = impact(target.filter("kind <> 'callers'").select("target_id").distinct(), edges, symbols, max(DEPTHS.values()))
+    reached = impact(target.filter("kind <> 'callers'").select("target_id").distinct(), edges, symbols, max(DEPTHS.values()), 1 << 40, fan_in=None)
     deep = F.create_map(*(F.lit(x) for pair in DEPTHS.items() for x in pair))
     near = reached.join(target.filter("kind <> 'callers'"), "target_id").filter(F.col("depth") <= deep[F.col("kind")])
-    out = out.unionByName(near.filter("kind = 'impact'").join(last.withColumnRenamed("id", "caller_id"), "caller_id").select("task_id", "item").distinct())
+    told = near.filter("kind = 'impact'").join(last.withColumnRenamed("id", "caller_id"), "caller_id")
+    told = told.groupBy("task_id", "depth", "item").agg(F.min("disc_rank").alias("_first"))
+    told = told.withColumn("n", F.row_number().over(Window.partitionBy("task_id", "depth").orderBy("_first"))).filter(F.col("n") <= DEFAULT_LEVEL_LIMIT)
+    out = out.unionByName(told.select("task_id", "item").distinct())
     return out.unionByName(near.filter("kind = 'tests-affected' AND is_test").select("task_id", F.col("caller_file").alias("item")).distinct())
 
 

@@ -243,3 +243,21 @@ def test_ends_of_calls_that_lead_nowhere(spark):
     symbols = spark.createDataFrame([("a", "A", 1), ("a", "B", 2), ("\0x", "odd", 3)], "id string, name string, seq long")
     edges = spark.createDataFrame([("a", "a", "n"), ("x", None, "m"), ("a", None, "k"), ("a", "gone", "l"), (None, "a", "o")], "from_id string, to_id string, to_name string")
     assert sorted((r.to_name, r.caller_name, r.callee_name) for r in name_ends(edges, symbols).collect()) == [("k", "B", "k"), ("l", "B", "l"), ("m", "x", "m"), ("n", "B", "B"), ("o", None, "B")]
+
+
+def _much_called(spark):
+    """Symbols and edges: 600 functions and, last, ``late`` call ``hot``; a ``run`` of each and the module of ``late`` call those."""
+    names = [("hot", "hot", "function"), ("late", "late", "function"), ("top", "<module>", "module")]
+    names += [x for k in range(600) for x in ((f"f{k}", f"f_{k}", "function"), (f"r{k}", "run", "method"))]
+    calls = [(f"f{k}", "hot") for k in range(600)] + [("late", "hot")] + [(f"r{k}", f"f{k}") for k in range(600)] + [("top", "late")]
+    symbols = spark.createDataFrame([(i, n, kind, f"src/{i}.ts", at) for at, (i, n, kind) in enumerate(names)], "id string, name string, kind string, file string, seq long")
+    return symbols, spark.createDataFrame([(f, t, at) for at, (f, t) in enumerate(calls)], "from_id string, to_id string, seq long")
+
+
+def test_answers_search_all_calls_and_count_names_once(spark):
+    from loomgraph.operators.tasks import answer_from_graph
+
+    tasks = spark.createDataFrame([("i", "impact", "hot"), ("t", "tests-affected", "hot"), ("c", "callers", "hot")], "task_id string, kind string, query string")
+    found = sorted((r.task_id, r["item"]) for r in answer_from_graph(tasks, *_much_called(spark)).collect())
+    want = [("i", x) for x in [f"f_{k}" for k in range(100)] + ["run", "<module>"]] + [("c", f"f_{k}") for k in range(50)]
+    assert found == sorted(want)
