@@ -261,3 +261,12 @@ def test_answers_search_all_calls_and_count_names_once(spark):
     found = sorted((r.task_id, r["item"]) for r in answer_from_graph(tasks, *_much_called(spark)).collect())
     want = [("i", x) for x in [f"f_{k}" for k in range(100)] + ["run", "<module>"]] + [("c", f"f_{k}") for k in range(50)]
     assert found == sorted(want)
+
+
+def test_report_scores_answers_beyond_the_first_calls(spark):
+    from loomgraph.operators.tasks import TASK, evaluate, report
+
+    truth = [f"f_{k}" for k in range(100)] + ["run", "<module>"]
+    tasks, files = spark.createDataFrame([("i", "impact", "hot", truth)], TASK), spark.createDataFrame([], "file string, content string")
+    row = report(evaluate(tasks, *_much_called(spark), files)).first()
+    assert (row["tasks"], row.graph_f1, row.graph_bytes) == (1, 1.0, sum(len(x) + 3 for x in truth) + 1)
