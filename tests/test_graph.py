@@ -270,3 +270,44 @@ def test_report_scores_answers_beyond_the_first_calls(spark):
     tasks, files = spark.createDataFrame([("i", "impact", "hot", truth)], TASK), spark.createDataFrame([], "file string, content string")
     row = report(evaluate(tasks, *_much_called(spark), files)).first()
     assert (row["tasks"], row.graph_f1, row.graph_bytes) == (1, 1.0, sum(len(x) + 3 for x in truth) + 1)
+
+
+def _breadth_first(calls, symbols, targets, depth):
+    """(target, caller, depth, disc_rank) by a plain search: the order of the frontier, then of the calls."""
+    out = []
+    for target in targets:
+        seen, frontier = {target}, [target]
+        for level in range(1, depth + 1):
+            found = [f for at in frontier for f, t in calls if t == at]
+            fresh = [f for k, f in enumerate(found) if f not in seen and f not in found[:k]]
+            seen.update(fresh)
+            frontier = [f for f in fresh if f in symbols]
+            out += [(target, f, level, k + 1) for k, f in enumerate(frontier)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [1 << 19, -1])  # levels of more rows are numbered by many tasks
+def test_a_search_of_all_calls_equals_a_plain_one(spark, monkeypatch, most):
+    import random
+
+    from loomgraph.operators.impact import impact
+    from loomgraph.plans import shared
+
+    deal = random.Random(7)
+    calls = [(f"f{k}", "a") for k in range(510)] + [(f"g{deal.randrange(40)}", f"f{deal.randrange(510)}") for _ in range(400)] + [("gone", "a"), ("late", "a"), ("top", "late"), ("end", "top"), ("lost", "gone"), ("a", "end")] + [(f"f{deal.randrange(510)}", "g3") for _ in range(30)]
+    names = sorted({f for f, _ in calls} - {"gone"})
+    symbols = spark.createDataFrame([(n, f"{n}.ts", at) for at, n in enumerate(names)], "id string, file string, seq long")
+    edges = spark.createDataFrame([(f, t, at) for at, (f, t) in enumerate(calls)], "from_id string, to_id string, seq long")
+    monkeypatch.setattr(shared, "FEW", most)
+    found = impact(spark.createDataFrame([("a",), ("g3",)], "target_id string"), edges, symbols, 5, 10, fan_in=None).collect()
+    want = _breadth_first(calls, set(names), ["a", "g3"], 5)
+    assert sorted((r.target_id, r.caller_id, r.depth, r.disc_rank) for r in found) == [w for w in want if w[3] <= 10]
+    many = {(t, d) for t, _, d, k in want if k > 10}
+    assert many and {(r.target_id, r.depth) for r in found if r.truncated} == many
+
+
+def test_min_depth_reads_more_than_500_calls_into_a_symbol(spark, duck):
+    df = QUERIES["impact_min_depth"](spark, SF)
+    lines = duck.sql("SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey = 1)").fetchall()[0][0]
+    direct = df.filter("target_id = 'supp:1' AND min_depth = 1").count()
+    assert direct == lines > 500
