@@ -7,7 +7,8 @@ It writes
 * ``edges``: every call with its target, in folders by a hash of the called
   name, so that the callers of a symbol are read from one folder; AQE splits
   the folder of a very hot name among tasks,
-* ``callers``: who is reached from each reported symbol, in folders by depth,
+* ``callers``: who is reached from each reported symbol by all its calls, in
+  folders by depth,
 * ``summary``: a row per reported symbol with its counts, in folders by kind.
 
 Each output is overwritten as a whole, in this order, and depends on the
@@ -28,7 +29,6 @@ from loomgraph.operators.impact import impact, impact_names, impact_stats
 from loomgraph.operators.resolve import resolution_stats
 from loomgraph.plans.queries import GRAPH
 from loomgraph.plans.shared import cut
-from loomgraph.schema import FAN_IN
 from loomgraph.sources.relational import resolved_calls, symbols
 
 log = logging.getLogger("call_graph_report")
@@ -58,7 +58,7 @@ def run(spark: SparkSession, tables: str, output: str, by: Settings = Settings()
     log.info("read %(symbol_count)d symbols, wrote %(edge_count)d calls, %(resolved_count)d of them resolved", done)
 
     top = cut(hottest(edges, by.targets), "top")
-    found = impact(top.select("target_id"), edges, nodes, by.depth, by.level_limit or 1 << 40, stored=True)
+    found = impact(top.select("target_id"), edges, nodes, by.depth, by.level_limit or 1 << 40, stored=True, fan_in=None)
     named = impact_names(found, nodes)
     named.write.mode("overwrite").partitionBy("depth").parquet(f"{output}/callers")
     callers = spark.read.schema(named.schema).parquet(f"{output}/callers")
@@ -87,8 +87,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""WITH RECURSIVE {GRAPH},
 top AS (SELECT to_id AS id, count(*) AS calls FROM edges WHERE to_id IS NOT NULL GROUP BY 1 ORDER BY calls DESC, id LIMIT 20),
-ranked AS (SELECT to_id, from_id FROM (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY t, k0, k1, k2, k3, from_id) AS rn FROM edges WHERE to_id IS NOT NULL) WHERE rn <= {FAN_IN}),
-reach AS (SELECT id AS target, id, 0 AS depth FROM top UNION SELECT target, from_id, depth + 1 FROM reach JOIN ranked ON to_id = id WHERE depth < 2),
+reach AS (SELECT id AS target, id, 0 AS depth FROM top UNION SELECT target, from_id, depth + 1 FROM reach JOIN edges ON to_id = id WHERE depth < 2),
 least AS (SELECT target, r.id, file, min(depth) AS depth FROM reach r JOIN symbols s ON s.id = r.id WHERE r.id <> target GROUP BY ALL),
 told AS (SELECT target, count(*) FILTER (depth = 1) AS direct_count, count(*) FILTER (depth > 1) AS transitive_count, count(DISTINCT file) AS file_count FROM least GROUP BY target)
 SELECT top.id, name, file, calls, coalesce(direct_count, 0) AS direct_count, coalesce(transitive_count, 0) AS transitive_count, 0::BIGINT AS test_count, coalesce(file_count, 0) AS file_count, false AS truncated, kind

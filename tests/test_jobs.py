@@ -130,3 +130,10 @@ def test_texts_without_a_label_stay_and_others_are_masked(spark):
     want = rows.select(redact_secrets(F.col("text")).alias("r"), detect_secrets(F.col("text")).alias("d"), "doc_id").orderBy("doc_id").collect()
     assert [(g.text, ",".join(g.labels), g.changed) for g in got] == [(w.r, w.d or "", w.r != t) for w, t in zip(want, texts, strict=True)]
     assert [g.changed for g in got] == [False, False, False, True, True, False, True]
+
+
+def test_report_counts_callers_beyond_500_calls(spark, duck, tmp_path):
+    call_graph_report.run(spark, SF, str(tmp_path), call_graph_report.Settings(depth=1, buckets=4))
+    told = {r.id: r.direct_count for r in call_graph_report.summary(spark, str(tmp_path)).filter("kind = 'class'").collect()}
+    want = dict(duck.sql("SELECT 'supp:' || l_suppkey, count(DISTINCT l_orderkey) FROM lineitem GROUP BY 1").fetchall())
+    assert told and told == {k: want[k] for k in told} and max(told.values()) > 500
